@@ -41,7 +41,7 @@ def _leaf(p: str) -> dict[str, Column]:
     return {
         "company_id": F.expr(f"CAST({p} DIV 20 AS STRING)"),
         "diet_id": F.expr(f"{j} DIV 4 + 1"),
-        "diet_calories_id": F.expr(f"CASE WHEN {j} >= 16 THEN {p} ELSE {p} - {p} % 2 END"),
+        "diet_calories_id": F.expr(f"CASE WHEN {j} >= 16 THEN {p} ELSE {p} - {p} % 2 END + 1"),
         "tier_id": F.expr(f"CASE WHEN {j} < 16 THEN {j} % 2 + 1 END"),
         "option_key": F.expr(f"CASE WHEN {j} < 16 THEN 1 + {j} DIV 8 END"),
     }
