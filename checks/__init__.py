@@ -1,6 +1,6 @@
 """Queries over the driver's tables and the SQL they are checked against."""
 
-from . import catering_checks, menu_checks, promotion_checks  # noqa: F401
+from . import catering_checks, menu_checks, payload_checks, promotion_checks  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -9,11 +9,14 @@ is joined, so the derivation is one projection over each table.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.state import campaign_rows, fold_campaigns
 from .normalise import typed
-from .tables import Tables
+from .tables import empty_table
 
 CITIES = 23
 SLOTS = ["Śniadanie", "II śniadanie", "Obiad - zupa", "Obiad", "Podwieczorek", "Kolacja", "Zupa dnia"]
@@ -285,29 +288,74 @@ def latest_meals(dish_view: DataFrame) -> DataFrame:
     return typed(g.select("*", "v.*"), "meals")
 
 
-def star_tables(spark: SparkSession, folder: str) -> Tables:
-    """The stored tables over a star schema folder; campaigns are folded from all sightings."""
-    from ..plans.state import campaign_rows, fold_campaigns
-    from .tables import empty_table
-
-    leaves = parts_as_leaves(load(spark, folder, "part"))
-    supplier, lineitem = load(spark, folder, "supplier"), load(spark, folder, "lineitem")
-    firms = companies(supplier)
-    seen = promo_observations(load(spark, folder, "orders"))
-    menu = dishes(lineitem)
-    campaigns = fold_campaigns(empty_table(spark, "campaigns"), campaign_rows(seen, firms))
-    campaigns = campaigns.withColumn("ends_at", F.date_add("deadline", 15))
-    return Tables(
-        cities=cities(load(spark, folder, "nation"), load(spark, folder, "region")),
-        companies=firms,
-        company_cities=company_cities(supplier),
-        diets=diets(leaves),
-        tiers=tiers(leaves),
-        diet_options=diet_options(leaves),
-        diet_calories=diet_calories(leaves),
-        prices=prices(lineitem),
-        campaigns=campaigns,
-        promo_observations=seen,
-        meals=latest_meals(menu),
-        daily_menu=daily_menu(menu),
-    )
+class StarTables:
+    """The stored tables over a star schema folder, each built on first use."""
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.folder = spark, folder
+
+    def _load(self, name: str) -> DataFrame:
+        return load(self.spark, self.folder, name)
+
+    @cached_property
+    def _leaves(self) -> DataFrame:
+        return parts_as_leaves(self._load("part"))
+
+    @cached_property
+    def dishes(self) -> DataFrame:
+        return dishes(self._load("lineitem"))
+
+    @cached_property
+    def cities(self) -> DataFrame:
+        return cities(self._load("nation"), self._load("region"))
+
+    @cached_property
+    def companies(self) -> DataFrame:
+        return companies(self._load("supplier"))
+
+    @cached_property
+    def company_cities(self) -> DataFrame:
+        return company_cities(self._load("supplier"))
+
+    @cached_property
+    def diets(self) -> DataFrame:
+        return diets(self._leaves)
+
+    @cached_property
+    def tiers(self) -> DataFrame:
+        return tiers(self._leaves)
+
+    @cached_property
+    def diet_options(self) -> DataFrame:
+        return diet_options(self._leaves)
+
+    @cached_property
+    def diet_calories(self) -> DataFrame:
+        return diet_calories(self._leaves)
+
+    @cached_property
+    def prices(self) -> DataFrame:
+        return prices(self._load("lineitem"))
+
+    @cached_property
+    def promo_observations(self) -> DataFrame:
+        return promo_observations(self._load("orders"))
+
+    @cached_property
+    def campaigns(self) -> DataFrame:
+        """Folded from all sightings; ends 15 days after the deadline."""
+        rows = campaign_rows(self.promo_observations, self.companies)
+        folded = fold_campaigns(empty_table(self.spark, "campaigns"), rows)
+        return folded.withColumn("ends_at", F.date_add("deadline", 15))
+
+    @cached_property
+    def meals(self) -> DataFrame:
+        return latest_meals(self.dishes)
+
+    @cached_property
+    def daily_menu(self) -> DataFrame:
+        return daily_menu(self.dishes)
+
+
+def star_tables(spark: SparkSession, folder: str) -> StarTables:
+    return StarTables(spark, folder)
