@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.dates import bucket
+
 # Columns that cluster the files of an observation table inside a date.
 CLUSTERING = {
     "prices": ["company_id", "diet_calories_id", "captured_at"],
@@ -16,15 +18,20 @@ CLUSTERING = {
 
 
 def append_observations(
-    df: DataFrame, path: str, table: str, at: str = "captured_at", max_rows: int = 20_000_000
+    df: DataFrame,
+    path: str,
+    table: str,
+    at: str = "captured_at",
+    unit: str = "day",
+    max_rows: int = 20_000_000,
 ) -> None:
-    """Append, partitioned by capture date.
+    """Append, partitioned by capture date (the first day of its ``unit``).
 
     The rebalance hint gives one well-sized set of files per date and splits a
     date that holds most of the rows; sorting inside the files makes the
     row-group statistics of the lookup keys selective.
     """
-    dated = df.withColumn("capture_date", F.to_date(at))
+    dated = df.withColumn("capture_date", F.to_date(bucket(at, unit)))
     cols = [c for c in CLUSTERING.get(table, []) if c in df.columns]
     dated = dated.hint("rebalance", "capture_date").sortWithinPartitions("capture_date", *cols)
     (

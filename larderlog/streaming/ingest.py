@@ -8,20 +8,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.dates import bucket
 from ..schemas import REJECT_COLUMN
 from ..sources.sinks import read_state, write_state
 
 
 def append_stream(
-    payloads: DataFrame, normalise: Callable[[DataFrame], DataFrame], path: str, checkpoint: str
+    payloads: DataFrame,
+    normalise: Callable[[DataFrame], DataFrame],
+    path: str,
+    checkpoint: str,
+    unit: str = "day",
 ) -> StreamingQuery:
     """Normalise landed payloads and append them by capture date, then stop.
 
-    The normalisation is row-wise, so the stream keeps no state; the file
+    ``capture_date`` is the first day of the capture's ``unit``: a backfill over
+    years is better partitioned by month or year than into thousands of small
+    folders.  The normalisation is row-wise, so the stream keeps no state; the file
     source and the file sink together deliver every file once.
     """
     good = payloads.where(F.col(REJECT_COLUMN).isNull()).drop(REJECT_COLUMN)
-    rows = normalise(good).withColumn("capture_date", F.to_date("captured_at"))
+    rows = normalise(good).withColumn("capture_date", F.to_date(bucket("captured_at", unit)))
     return (
         rows.writeStream.format("parquet")
         .partitionBy("capture_date")
