@@ -6,9 +6,7 @@ from pyspark.sql import functions as F
 
 from larderlog.functions.keys import offer_key, slot_rank
 from larderlog.plans import menus, snapshots, state
-from larderlog.schemas import table
-from larderlog.session import work_folder
-from larderlog.sources.sinks import read_state, write_state
+from larderlog.sources.sinks import settle
 from larderlog.sources.starviews import dishes, load, star_tables
 from larderlog.sources.tables import empty_table
 
@@ -183,9 +181,7 @@ def meals_folded(spark, folder):
     lines = dishes(load(spark, folder, "lineitem"))
     early = F.col("captured_at") < F.lit(AS_OF).cast("timestamp")
     none = empty_table(spark, "meals")
-    root = work_folder(spark, "meals")
-    write_state(state.fold_meals(none, state.dish_sightings(none, lines.where(early), ["seq"])), root, 0)
-    first = read_state(spark, root, table("meals"))
+    first = settle(state.fold_meals(none, state.dish_sightings(none, lines.where(early), ["seq"])), "meals")
     second = state.fold_meals(first, state.dish_sightings(first, lines.where(~early), ["seq"]))
     return plain(second, "company_id", "name", "kcal", "first_seen_at", "last_seen_at", "updated_at")
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dates import bucket
+from ..session import work_folder
 
 # Columns that cluster the files of an observation table inside a date.
 CLUSTERING = {
@@ -68,6 +69,17 @@ def read_state(spark: SparkSession, root: str, schema, before: int | None = None
     return spark.read.schema(schema).parquet(f"{root.rstrip('/')}/version={usable[-1]}")
 
 
+def settle(df: DataFrame, purpose: str) -> DataFrame:
+    """Write an intermediate result to the shared folder and read it back.
+
+    Folds mention their input several times, so chaining them without writing
+    the state in between multiplies the plan.
+    """
+    path = work_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def snapshot_documents(
     catalogue: DataFrame, leaves: DataFrame, menus: DataFrame, promos: DataFrame, run: Column
 ) -> DataFrame:

@@ -3,6 +3,7 @@ from __future__ import annotations
 import pytest
 
 from larderlog.plans import menus, state
+from larderlog.sources.sinks import settle
 from larderlog.sources.tables import Tables, empty_table
 
 from .conftest import day, rows, ts
@@ -89,7 +90,7 @@ def dish(spark, *data):
 
 def fold(spark, meals, batch, hot_rows=2_000_000):
     seen = state.dish_sightings(meals, batch, ["seq"], hot_rows)
-    return state.fold_meals(meals, seen), state.drift_events(seen)
+    return settle(state.fold_meals(meals, seen), "meals"), state.drift_events(seen)
 
 
 SIGHTINGS = [
