@@ -41,10 +41,14 @@ def stream_payload(spark: SparkSession, kind: str, path: str, files_per_batch: i
 
 
 def parse_payload(df: DataFrame, kind: str, text: Column | str) -> DataFrame:
-    """Payloads that arrive as a text column of a table."""
+    """Payloads that arrive as a text column of a table.
+
+    The parse sits in a generator: filters and projections above it then share
+    one parse per row instead of repeating it.
+    """
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": REJECT_COLUMN}
     text = F.col(text) if isinstance(text, str) else text
-    return df.select(F.from_json(text, _with_reject(kind), options).alias("_p")).select("_p.*")
+    return df.select(F.inline(F.array(F.from_json(text, _with_reject(kind), options))))
 
 
 def split_rejects(df: DataFrame) -> tuple[DataFrame, DataFrame]:
