@@ -202,10 +202,10 @@ def priced_leaves(
 ) -> DataFrame:
     """Every offered leaf with its current and previous price, per city and order length.
 
-    ``only`` keeps the given (city_id, order_days, company_id) tiles.  For one
-    city and one length that is at most a page of companies, so it is broadcast
-    and filters the scan; for many it is joined after ranking, when one row per
-    combo is left.  ``names=False`` leaves out the descriptive columns and
+    ``only`` keeps the given tiles (unique city_id, order_days, company_id) and
+    adds their other columns.  For one city and one length that is at most a
+    page of companies, so it is broadcast and filters the scan; for many it is
+    joined after ranking, when one row per combo is left.  ``names=False`` leaves out the descriptive columns and
     their joins.
     """
     one_page = city_id is not None and days is not None
@@ -215,7 +215,7 @@ def priced_leaves(
     if days is not None:
         prices = prices.where(F.col("order_days") == days)
     if only is not None and one_page:
-        prices = prices.join(F.broadcast(only), TILE, "left_semi")
+        prices = prices.join(F.broadcast(only), TILE)
     leaves = offered_leaves(t, kcal_min, kcal_max, names)
     # A NULL composite id belongs to ready diets only, an empty one to nobody.
     ready = F.col("tier_diet_option_id").isNull() & F.col("tier_id").isNull()
@@ -223,9 +223,10 @@ def priced_leaves(
     keys = ["company_id", "diet_calories_id", "_tdo"]
     current = current_prices(prices, unit, leaves.select(*keys) if reduce_first else None)
     if only is not None and not one_page:
-        current = current.join(only, TILE, "left_semi")
+        current = current.join(only, TILE)
     out = current.join(leaves, keys).where(ready | tiered)
-    return out.select("city_id", "order_days", *[c for c in LEAF_FIELDS if c in out.columns])
+    more = [c for c in only.columns if c not in TILE] if only is not None else []
+    return out.select("city_id", "order_days", *[c for c in LEAF_FIELDS if c in out.columns], *more)
 
 
 def company_tiles(leaves: DataFrame, companies: DataFrame) -> DataFrame:
@@ -280,13 +281,11 @@ def catering_page(t: Tables, args: PageArgs, city_id: int | None = None, unit: s
     scope = (t, city_id, args.days, args.kcal_min, args.kcal_max, unit)
     tiles = company_tiles(priced_leaves(*scope, names=False), t.companies)
     page = page_of_tiles(tiles, args)
-    shown = priced_leaves(*scope, only=page.select(*TILE))
+    shown = priced_leaves(*scope, only=page)
     packed = F.struct(*_leaf_order(), F.struct(*LEAF_FIELDS).alias("leaf"))
-    arrays = shown.groupBy(*TILE).agg(
-        F.transform(F.array_sort(F.collect_list(packed)), lambda x: x["leaf"]).alias("leaves")
-    )
     return (
-        page.join(arrays, TILE)
+        shown.groupBy(*page.columns)
+        .agg(F.transform(F.array_sort(F.collect_list(packed)), lambda x: x["leaf"]).alias("leaves"))
         .join(page_totals(tiles), ["city_id", "order_days"])
         .orderBy("city_id", "order_days", "rank")
     )
