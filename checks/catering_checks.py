@@ -41,7 +41,12 @@ WHERE p.rank BETWEEN 6 AND 10
     },
 )
 def catering_page(spark, folder):
-    page = catering.catering_page(star_tables(spark, folder), PAGE, unit="month")
+    return page_rows(spark, folder, PAGE)
+
+
+def page_rows(spark, folder, args):
+    """A catering page, one row per leaf with its position in the tile."""
+    page = catering.catering_page(star_tables(spark, folder), args, unit="month")
     leaves = page.select(
         "city_id", "rank", "company_id", "company_name", "variants", "total_companies", "overall_min",
         "overall_max", F.posexplode("leaves").alias("pos", "leaf"),

@@ -55,6 +55,11 @@ def money(c: Column | str) -> Column:
     return F.regexp_substr(digits, F.lit(SIGNED_PREFIX)).try_cast("double")
 
 
+def number(c: Column | str) -> Column:
+    """Lenient number: text that is none becomes NULL."""
+    return strip(col(c).cast("string")).try_cast("double")
+
+
 def first_number(c: Column | str) -> Column:
     """First unsigned number of a text such as ``"18,87g"`` or ``"300.4 kcal / 1257 kJ"``."""
     return _number(F.regexp_substr(col(c).cast("string"), F.lit(NUMBER)))

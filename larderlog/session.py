@@ -14,8 +14,13 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Deep pages and long top-k reports keep their map-side limit.
+    "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
 }
 
+# Used only where the session names no shared folder.
+_local_root: list[str] = []
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session that somebody else created."""
@@ -27,11 +32,12 @@ def configure(spark: SparkSession) -> SparkSession:
 def work_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder in the shared directory named by ``spark.checkpoint.dir``.
 
-    Only when the setting is absent (local tests) a temporary folder is made
-    and set, so every later caller of the session sees the same place.
+    Only when the setting is absent (local tests) a temporary folder stands in,
+    the same for every later caller of the process.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="larderlog-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not _local_root:
+            _local_root.append(tempfile.mkdtemp(prefix="larderlog-"))
+        root = _local_root[0]
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

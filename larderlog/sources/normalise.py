@@ -36,13 +36,21 @@ def typed(df: DataFrame, name: str, *extra: str) -> DataFrame:
 # -- discovery --------------------------------------------------------------
 
 
-def listing_companies(listing: DataFrame) -> DataFrame:
-    """All pages of a listing, one row per company; its slug is the company id."""
-    return (
+def listing_companies(
+    listing: DataFrame, only: list[str] | None = None, first: int | None = None
+) -> DataFrame:
+    """All pages of a listing, one row per company; its slug is the company id.
+
+    A run can be narrowed to named companies or to the first ones of the list.
+    """
+    rows = (
         listing.select("city_id", "captured_at", "currentPage", F.posexplode("searchData").alias("pos", "c"))
         .select("city_id", "captured_at", "currentPage", "pos", F.col("c.name").alias("company_id"), "c.*")
         .drop("name")
     )
+    if only is not None:
+        rows = rows.where(F.col("company_id").isin(only))
+    return rows if first is None else rows.orderBy("currentPage", "pos").limit(first)
 
 
 def found_cities(search: DataFrame) -> DataFrame:

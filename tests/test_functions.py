@@ -64,6 +64,10 @@ def test_first_number(spark, value, expected):
     assert one(spark, text.first_number("v"), value) == expected
 
 
+def test_lenient_number(spark):
+    assert [one(spark, text.number("v"), v) for v in (" 1.5 ", "x", None)] == [1.5, None, None]
+
+
 def test_strip_knows_unicode_blanks(spark):
     assert one(spark, text.strip("v"), "  a b ﻿\n") == "a b"
     assert one(spark, text.blank_to_null("v"), " \t") is None

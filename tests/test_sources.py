@@ -94,6 +94,9 @@ def test_pages_are_concatenated(spark, tmp_path):
     path = landed(tmp_path, {"city_id": 1, "currentPage": 0, "totalPages": 2, "searchData": [{"name": "a"}, {"name": "b"}]},
                   {"city_id": 1, "currentPage": 1, "searchData": [{"name": "c"}]}, {"city_id": 1, "searchData": None})
     assert sorted(rows(n.listing_companies(read_payload(spark, "listing", path)), "company_id")) == [("a",), ("b",), ("c",)]
+    listing = read_payload(spark, "listing", path)
+    assert rows(n.listing_companies(listing, first=2), "company_id") == [("a",), ("b",)]
+    assert rows(n.listing_companies(listing, only=["c", "z"]), "company_id") == [("c",)]
 
 
 def test_append_and_read_back(spark, make, tmp_path):
