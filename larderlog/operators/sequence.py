@@ -1,10 +1,9 @@
 """Order-dependent operators that survive a hot key.
 
 A plain window sends all rows of a key to one task.  Keys above ``hot_rows``
-rows are therefore cut into consecutive segments: a hash-chosen set of about
-``segments`` order values per hot key gives the cut points, every segment is
-windowed on its own, and a summary with one row per segment carries the last
-value across the borders.  The result equals the plain window; cold keys take
+rows are therefore cut into consecutive segments at hash-chosen order values,
+every segment is windowed on its own, and a summary with one row per segment
+carries the last value across the borders.  The result equals the plain window; cold keys take
 the plain window in one shuffle, and when no key is hot adaptive execution
 drops the segmented branch.
 """
@@ -19,7 +18,7 @@ from pyspark.sql import functions as F
 from .joins import same_key_join
 
 HOT_ROWS = 2_000_000
-SEGMENTS = 256
+SEGMENTS = 64
 
 
 def split_hot(
@@ -37,23 +36,46 @@ def split_hot(
     )
 
 
-def _with_segment(
-    rows: DataFrame, hot: DataFrame, keys: Sequence[str], order: Sequence[str], segments: int
+def _cut(
+    rows: DataFrame, hot: DataFrame, keys: Sequence[str], name: str, hot_rows: int, segments: int
 ) -> DataFrame:
-    """Add ``_ord`` (the order tuple) and ``_seg`` (0.. per key, in order)."""
-    rows = rows.withColumn("_ord", F.struct(*order))
-    # A number in [0, 1) that depends on the row's order tuple alone.
-    ticket = F.pmod(F.xxhash64("_ord"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    """Add ``name``: the number of cut points of the key at or before the row, 0 if it has none.
+
+    Cut points are the order tuples whose hash falls below a threshold, about
+    four per ``hot_rows`` rows and ``segments`` at most; a binary search over
+    the short sorted array places each row.
+    """
+    # A number in [0, 1) that depends on the row's order tuple (and level) alone.
+    ticket = F.pmod(F.xxhash64("_ord", F.lit(name)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    wanted = F.least(F.lit(float(segments)), F.lit(4.0) * F.col("_rows") / F.lit(float(hot_rows)))
     cuts = (
         same_key_join(rows, hot, keys)
-        .where(ticket < F.lit(float(segments)) / F.col("_rows"))
+        .where(ticket < wanted / F.col("_rows"))
         .groupBy(*keys)
         .agg(F.array_sort(F.collect_set("_ord")).alias("_cuts"))
     )
-    below = F.size(F.filter("_cuts", lambda c: c <= F.col("_ord")))
-    return same_key_join(rows, cuts, keys, "left").withColumn(
-        "_seg", F.when(F.col("_cuts").isNull(), 0).otherwise(below)
-    ).drop("_cuts")
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(segments.bit_length()))])
+    place = F.aggregate(
+        steps,
+        F.lit(0),
+        lambda at, step: F.when(F.get("_cuts", at + step - 1) <= F.col("_ord"), at + step).otherwise(at),
+    )
+    placed = same_key_join(rows, cuts, keys, "left")
+    return placed.withColumn(name, F.when(F.col("_cuts").isNull(), 0).otherwise(place)).drop("_cuts")
+
+
+def _with_segment(
+    rows: DataFrame, hot: DataFrame, keys: Sequence[str], order: Sequence[str], hot_rows: int, segments: int
+) -> DataFrame:
+    """Add ``_ord`` (the order tuple) and ``_seg``, which grows with it inside a key.
+
+    Two levels: a segment that is still too large is cut once more, so a key
+    falls into up to ``segments`` squared pieces.
+    """
+    first = _cut(rows.withColumn("_ord", F.struct(*order)), hot, keys, "_s1", hot_rows, segments)
+    large = first.groupBy(*keys, "_s1").agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > hot_rows)
+    second = _cut(first, large, [*keys, "_s1"], "_s2", hot_rows, segments)
+    return second.withColumn("_seg", F.struct("_s1", "_s2")).drop("_s1", "_s2")
 
 
 def previous_values(
@@ -74,7 +96,7 @@ def previous_values(
     packed = F.struct(*values)
     plain = cold.withColumn(name, F.lag(packed).over(Window.partitionBy(*keys).orderBy(*order)))
 
-    cut = _with_segment(hot_part, hot, keys, order, segments)
+    cut = _with_segment(hot_part, hot, keys, order, hot_rows, segments)
     inside = Window.partitionBy(*keys, "_seg").orderBy(*order)
     across = Window.partitionBy(*keys).orderBy("_seg")
     carried = (
@@ -117,7 +139,7 @@ def strictly_earlier(
 
     # One row per instant first: this also absorbs a pile-up at one instant.
     instants = hot_part.groupBy(*keys, at).agg(F.max_by(packed, F.col(tie)).alias("_values"))
-    cut = _with_segment(instants, hot, keys, [at], segments)
+    cut = _with_segment(instants, hot, keys, [at], hot_rows, segments)
     inside = Window.partitionBy(*keys, "_seg").orderBy(at)
     across = Window.partitionBy(*keys).orderBy("_seg")
     carried = (
