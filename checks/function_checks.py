@@ -28,7 +28,7 @@ def numbers_in_documents(spark, folder):
 
 @check(
     """
-SELECT l_orderkey, l_linenumber, l_quantity AS kcal, CAST(l_linenumber AS DOUBLE) AS protein_g,
+SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_quantity AS kcal, CAST(l_linenumber AS DOUBLE) AS protein_g,
   NULL::DOUBLE AS carbs_g, l_tax AS fat_g FROM lineitem
 """
 )
@@ -43,7 +43,7 @@ def macros_of_lines(spark, folder):
 
 @check(
     """
-SELECT l_orderkey, l_linenumber, l_extendedprice AS price, CASE WHEN l_discount > 0 THEN -l_discount ELSE 0 END
+SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_extendedprice AS price, CASE WHEN l_discount > 0 THEN -l_discount ELSE 0 END
   AS change, NULL::DOUBLE AS nothing FROM lineitem
 """
 )

@@ -70,8 +70,8 @@ def variant_meals(spark, folder):
     return plain(rows, "slot_name", "name", "kcal", "last_seen_date", "occurrences")
 
 
-RANK = """CASE slot_name WHEN 'Śniadanie' THEN 0 WHEN 'II śniadanie' THEN 2 WHEN 'Obiad' THEN 4
-  WHEN 'Obiad - zupa' THEN 4 WHEN 'Podwieczorek' THEN 5 WHEN 'Kolacja' THEN 7 ELSE 8 END"""
+RANK = """CAST(CASE slot_name WHEN 'Śniadanie' THEN 0 WHEN 'II śniadanie' THEN 2 WHEN 'Obiad' THEN 4
+  WHEN 'Obiad - zupa' THEN 4 WHEN 'Podwieczorek' THEN 5 WHEN 'Kolacja' THEN 7 ELSE 8 END AS BIGINT)"""
 
 
 @check(

@@ -100,7 +100,7 @@ def catalogue_options(spark, folder):
 @check(
     """
 SELECT company_id, diet_id, tier_id, option_key AS diet_option_id, diet_calories_id,
-  CASE WHEN p_size <> 50 AND p_partkey % 20 < 18 THEN p_size * 100 END AS calories FROM leafparts
+  CASE WHEN p_size <> 50 AND p_partkey % 20 < 18 THEN CAST(p_size AS BIGINT) * 100 END AS calories FROM leafparts
 """
 )
 def catalogue_leaves(spark, folder):
@@ -113,7 +113,7 @@ def catalogue_leaves(spark, folder):
     """
 SELECT p.company_id, p.diet_id, tier_id, coalesce(option_key, 9) AS diet_option_id,
   tier_id || '-' || option_key AS tier_diet_option_id, diet_calories_id,
-  CASE WHEN p_size <> 50 THEN p_size * 100 END AS calories, low AS discount_price, p.diet_id = 1 AS in_promotion
+  CASE WHEN p_size <> 50 THEN CAST(p_size AS BIGINT) * 100 END AS calories, low AS discount_price, p.diet_id = 1 AS in_promotion
 FROM leafparts p JOIN (SELECT company_id, diet_id, min(p_retailprice) AS low FROM leafparts GROUP BY ALL) m
   ON m.company_id = p.company_id AND m.diet_id = p.diet_id
 WHERE p_partkey % 20 < 18
@@ -190,7 +190,7 @@ def rejected_quotes(spark, folder):
 
 MENU_LINES = """
 SELECT CAST(l_partkey // 20 AS VARCHAR) AS company_id, l_partkey AS diet_calories_id,
-  CASE WHEN l_linenumber > 3 THEN l_linenumber END AS tier_id, strftime(l_shipdate, '%Y-%m-%d') AS menu_date,
+  CASE WHEN l_linenumber > 3 THEN CAST(l_linenumber AS BIGINT) END AS tier_id, strftime(l_shipdate, '%Y-%m-%d') AS menu_date,
   'Slot ' || l_linenumber AS slot_name, CASE WHEN l_suppkey % 19 <> 0 THEN 'Dish ' || l_suppkey % 19 END AS {name},
   l_suppkey % 5 AS api_meal_slot_id, l_suppkey % 5 = l_orderkey % 5 AS is_default {more}
 FROM lineitem WHERE l_orderkey % 10 <> 0 AND l_suppkey % 11 <> 0
@@ -271,7 +271,7 @@ def promo_feeds(spark, folder):
 
 
 @check(
-    "SELECT DISTINCT p_brand || '/' || p_type AS tag_code, lower(p_type) AS label, NULL AS description, "
+    "SELECT DISTINCT p_brand || '/' || p_type AS tag_code, lower(p_type) AS label, CAST(NULL AS VARCHAR) AS description, "
     "'/img/' || p_type AS image_url FROM part"
 )
 def diet_tags(spark, folder):
@@ -280,7 +280,7 @@ def diet_tags(spark, folder):
 
 
 @check(
-    "SELECT CAST(n_nationkey AS BIGINT) AS city_id, n_name AS name, n_nationkey * 3 AS number_of_companies, "
+    "SELECT CAST(n_nationkey AS BIGINT) AS city_id, n_name AS name, CAST(n_nationkey AS BIGINT) * 3 AS number_of_companies, "
     "n_nationkey % 6 <> 0 AS city_status, false AS largest_city_for_name FROM nation"
 )
 def searched_cities(spark, folder):
@@ -341,7 +341,8 @@ def retired_diets(spark, folder):
 @check(
     """
 SELECT company_id, diet_id, tier_id, diet_option_id, diet_calories_id,
-  coalesce(CASE WHEN p_partkey % 3 <> 0 THEN p_size * 10 END, CASE WHEN p_size <> 50 THEN p_size * 100 END) AS calories,
+  CAST(coalesce(CASE WHEN p_partkey % 3 <> 0 THEN p_size * 10 END, CASE WHEN p_size <> 50 THEN p_size * 100 END)
+    AS BIGINT) AS calories,
   '2001-01-02 00:00:00' AS updated_at
 FROM leafparts
 """

@@ -197,7 +197,7 @@ SELECT l.company_id, l.diet_calories_id, l.tier_id, n AS order_days, coalesce(v.
   (SELECT string_agg(strftime(d, '%Y-%m-%d'), ',' ORDER BY d) FROM (
     SELECT CAST(x AS DATE) AS d FROM generate_series(DATE '2001-06-02', DATE '2001-07-10', INTERVAL 1 DAY) g(x)
     WHERE (sat OR dayofweek(x) <> 6) AND (sun OR dayofweek(x) <> 0) ORDER BY x LIMIT n)) AS delivery_dates
-FROM (SELECT leaves.*, unnest([1, 5, 10, 20]) AS n FROM leaves) l
+FROM (SELECT leaves.*, CAST(unnest([1, 5, 10, 20]) AS BIGINT) AS n FROM leaves) l
 JOIN (SELECT company_id, code FROM codes UNION ALL SELECT company_id, NULL FROM companies) v
   ON v.company_id = l.company_id
 """.replace("ORDER BY x LIMIT n", "QUALIFY row_number() OVER (ORDER BY x) <= n"),

@@ -63,7 +63,7 @@ VIEWS: dict[str, str] = {
   GROUP BY company_id, diet_id, tier_id, diet_option_id""",
     "diet_calories": f"""
   SELECT company_id, diet_id, tier_id, diet_option_id, diet_calories_id,
-    CASE WHEN p_size <> 50 THEN p_size * 100 END AS calories,
+    CASE WHEN p_size <> 50 THEN CAST(p_size AS BIGINT) * 100 END AS calories,
     CASE WHEN p_size % 10 = 0 AND p_size <> 50 THEN {CLOSED} END AS valid_to
   FROM leafparts""",
     "prices": f"""
@@ -75,7 +75,7 @@ VIEWS: dict[str, str] = {
     CASE WHEN coded THEN c * d // 100 ELSE 0 END AS code_discount_c
   FROM (SELECT (l_orderkey * 8 + l_linenumber) * 100000 + l_partkey % 100000 AS id, {_leaf('l_partkey')},
       (l_partkey // 20 + l_linenumber % 2) % 23 AS city_id,
-      CASE l_returnflag WHEN 'A' THEN 5 WHEN 'N' THEN 10 ELSE 20 END AS n,
+      CAST(CASE l_returnflag WHEN 'A' THEN 5 WHEN 'N' THEN 10 ELSE 20 END AS BIGINT) AS n,
       CAST(round(l_extendedprice * 100) AS BIGINT) AS c, CAST(round(l_discount * 100) AS BIGINT) AS d,
       CAST(round(l_tax * 100) AS BIGINT) AS x, l_linestatus = 'F' AS coded, l_quantity, l_linenumber,
       ['URGENT', 'HIGH', 'MEDIUM', 'LOW', 'LATE'][CAST(round(l_discount * 100) AS BIGINT) % 5 + 1] AS code,
