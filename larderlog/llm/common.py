@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..session import work_folder
 
 #: White space of every contract here: space and the controls 0x09 to 0x0D.
-SPACE = r"[\x20\x09-\x0D]"
+SPACE, WHITE = r"[\x20\x09-\x0D]", " \t\n\v\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORDS_PER_SHINGLE = 5
 

@@ -13,25 +13,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, spread_join, table, text_of
+from .common import WHITE, spread_join, table, text_of
 
 #: Least and greatest characters of a chunk.
 LEAST, MOST = 192, 4096
 
 
-def _every_fourth(offset: int) -> str:
-    """A class of about a quarter of the characters: code points 4 k + offset up to U+024F, and blocks of the rest."""
-    low = "".join(f"\\u{c:04x}" for c in range(0x21 + offset, 0x250, 4))
-    high = "".join(f"\\u{c:04x}-\\u{c + 0x3F:04x}" for c in range(0x400 + 0x40 * offset, 0xD700, 0x100))
-    return f"[{low}{high}]"
+def _every_fourth(offset: int, others: str) -> str:
+    """A class of about a quarter of the characters: code points 4 k + offset up to U+00FF, and one block of ``others``."""
+    return "[" + "".join(f"\\u{c:04x}" for c in range(0x20 + offset, 0x100, 4)) + others + "]"
 
 
-#: A chunk ends behind three characters of given classes (one place in 64), or at MOST characters.
-CHUNK = f"(?s).{{{LEAST},{MOST}}}?(?<={_every_fourth(0)}{_every_fourth(2)}{_every_fourth(1)})|.{{1,{MOST}}}"
+#: A chunk ends with three characters of given classes (one place in 64), or at MOST characters.
+ENDING = _every_fourth(0, r"\u4e00-\u5fff") + _every_fourth(2, r"\u4e00-\u5fff") + _every_fourth(1, r"\u6000-\u6fff")
+CHUNK = f"(?s).{{{LEAST - 3},{MOST - 3}}}?{ENDING}|.{{1,{MOST}}}"
 
 
 def normalised(text: Column) -> Column:
-    return F.regexp_replace(text, f"{SPACE}+", "")
+    """The text without its white space; six plain searches cost less than one pattern."""
+    for c in WHITE:
+        text = F.replace(text, F.lit(c), F.lit(""))
+    return text
 
 
 def chunks_of(norm: Column) -> Column:

@@ -4,11 +4,21 @@ from __future__ import annotations
 
 from .decontamination import OP8_SQL, op8_benchmark_leaks
 from .exact_dedup import OP6_SQL, op6_chunk_recipes
+from .lm_scoring import op10_context_mixing
+from .near_dedup import OP2_SQL, op2_chosen_path
+from .sentencepieces import op4_piece_scan
 from .sharding import op1_shard_ring
+from .token_counts import op5_token_transducer
+from .toxicity import op9_label_model
 from .url_filter import OP7_SQL, op7_url_bloom
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_shard_ring, op6_chunk_recipes, op7_url_bloom, op8_benchmark_leaks)
+    for f in (
+        op1_shard_ring, op2_chosen_path, op4_piece_scan, op5_token_transducer, op6_chunk_recipes, op7_url_bloom,
+        op8_benchmark_leaks, op9_label_model, op10_context_mixing,
+    )
+}
+ORACLES = {
+    "op2_chosen_path": OP2_SQL, "op6_chunk_recipes": OP6_SQL, "op7_url_bloom": OP7_SQL, "op8_benchmark_leaks": OP8_SQL,
 }
-ORACLES = {"op6_chunk_recipes": OP6_SQL, "op7_url_bloom": OP7_SQL, "op8_benchmark_leaks": OP8_SQL}
