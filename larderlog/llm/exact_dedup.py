@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WHITE, spread_join, table, text_of
+from .common import WHITE, settled, spread_join, table, text_of
 
 #: Least and greatest characters of a chunk.
 LEAST, MOST = 192, 4096
@@ -58,18 +58,21 @@ def recipes(docs: DataFrame) -> DataFrame:
 
     placed = cut.select("doc_id", "sha", F.posexplode("_chunks").alias("_at", "_chunk"))
     placed = placed.withColumns({"_h": F.xxhash64("_chunk"), "_n": F.length("_chunk")})
+    # Each distinct chunk once; of these only keys with several texts are of further use.
     dictionary = placed.groupBy("_h", "_n", "_chunk").agg(F.count(F.lit(1)).alias("_uses"))
-    clashing = dictionary.groupBy("_h", "_n").agg(F.count(F.lit(1)).alias("_texts")).where("_texts > 1")
-    numbered = (
-        dictionary.join(clashing.select("_h", "_n"), ["_h", "_n"])
-        .withColumn("_number", F.dense_rank().over(Window.partitionBy("_h", "_n").orderBy("_chunk")))
-        .drop("_uses")
+    clashing = settled(dictionary.groupBy("_h", "_n").agg(F.count(F.lit(1)).alias("_texts")).where("_texts > 1"), "clashing-keys")
+    if clashing.isEmpty():
+        none = F.lit(None).cast("array<struct<_at:int,_number:int>>")
+        return settled(rows.withColumn("shared_keys", none), "recipes")
+    sharing = placed.join(clashing.select("_h", "_n"), ["_h", "_n"])
+    numbered = sharing.select("_h", "_n", "_chunk").distinct().withColumn(
+        "_number", F.dense_rank().over(Window.partitionBy("_h", "_n").orderBy("_chunk"))
     )
     marks = (
-        placed.join(numbered, ["_h", "_n", "_chunk"])
+        sharing.join(numbered, ["_h", "_n", "_chunk"])
         .groupBy("doc_id", "sha").agg(F.sort_array(F.collect_set(F.struct("_at", "_number"))).alias("shared_keys"))
     )
-    return spread_join(rows, marks, ["doc_id", "sha"], ["doc_id", "points"])
+    return settled(spread_join(rows, marks, ["doc_id", "sha"], ["doc_id", "points"]), "recipes")
 
 
 def exact_groups(docs: DataFrame, salts: int = 64) -> DataFrame:
