@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontamination import OP8_SQL, op8_benchmark_leaks
 from .exact_dedup import OP6_SQL, op6_chunk_recipes
+from .licenses import op3_license_scan
 from .lm_scoring import op10_context_mixing
 from .near_dedup import OP2_SQL, op2_chosen_path
 from .sentencepieces import op4_piece_scan
@@ -15,8 +16,8 @@ from .url_filter import OP7_SQL, op7_url_bloom
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_shard_ring, op2_chosen_path, op4_piece_scan, op5_token_transducer, op6_chunk_recipes, op7_url_bloom,
-        op8_benchmark_leaks, op9_label_model, op10_context_mixing,
+        op1_shard_ring, op2_chosen_path, op3_license_scan, op4_piece_scan, op5_token_transducer, op6_chunk_recipes,
+        op7_url_bloom, op8_benchmark_leaks, op9_label_model, op10_context_mixing,
     )
 }
 ORACLES = {
