@@ -41,8 +41,12 @@ def chunks_of(norm: Column) -> Column:
     return F.regexp_extract_all(norm, F.lit(CHUNK), F.lit(0))
 
 
+def chunk_hash(chunk: Column) -> Column:
+    return F.xxhash64(chunk)
+
+
 def _keys(chunks: Column) -> Column:
-    return F.transform(chunks, lambda c: F.struct(F.xxhash64(c).alias("h"), F.length(c).alias("n")))
+    return F.transform(chunks, lambda c: F.struct(chunk_hash(c).alias("h"), F.length(c).alias("n")))
 
 
 def recipes(docs: DataFrame) -> DataFrame:
@@ -57,7 +61,7 @@ def recipes(docs: DataFrame) -> DataFrame:
     rows = cut.select("doc_id", "points", "sha", _keys(F.col("_chunks")).alias("recipe"))
 
     placed = cut.select("doc_id", "sha", F.posexplode("_chunks").alias("_at", "_chunk"))
-    placed = placed.withColumns({"_h": F.xxhash64("_chunk"), "_n": F.length("_chunk")})
+    placed = placed.withColumns({"_h": chunk_hash(F.col("_chunk")), "_n": F.length("_chunk")})
     # Each distinct chunk once; of these only keys with several texts are of further use.
     dictionary = placed.groupBy("_h", "_n", "_chunk").agg(F.count(F.lit(1)).alias("_uses"))
     clashing = settled(dictionary.groupBy("_h", "_n").agg(F.count(F.lit(1)).alias("_texts")).where("_texts > 1"), "clashing-keys")

@@ -98,7 +98,7 @@ def assign_shards(
     # At most shards * vnodes counters reach the driver.
     counts = {r["_arc"]: r["_n"] for r in tally.groupBy("_arc").agg(F.sum("_n").alias("_n")).collect()}
     total = sum(counts.values())
-    quota = even_quotas(total, shards) if headroom == 0 else [int(np.ceil(total / shards * (1 + headroom)))] * shards
+    quota = even_quotas(total, shards) if headroom == 0 else [int(np.ceil(total / shards * (1 + headroom) - 1e-9))] * shards
     plan = spark.createDataFrame(
         overflow_plan(counts, owners, quota), "_arc int, _from long, _to long, shard int, _slot long"
     )
