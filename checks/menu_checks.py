@@ -204,9 +204,9 @@ def dish_drift(spark, folder):
 
 @check(DRIFT)
 def dish_drift_hot_keys(spark, folder):
-    """The same with larger keys cut into segments."""
+    """The same in segments of a year."""
     lines = dishes(load(spark, folder, "lineitem"))
-    seen = state.dish_sightings(empty_table(spark, "meals"), lines, ["seq"], hot_rows=25)
+    seen = state.dish_sightings(empty_table(spark, "meals"), lines, ["seq"], unit="year")
     return plain(state.drift_events(seen), "company_id", "name", "kcal", "protein_g", "captured_at")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from larderlog.plans import state
-from larderlog.schemas import table
+from larderlog.schemas import REJECT_COLUMN, table
 from larderlog.session import work_folder
 from larderlog.sources import normalise
 from larderlog.sources.payloads import stream_payload
@@ -44,11 +44,36 @@ def daily_cheapest_stream(spark, folder):
 
 @check(CHANGES)
 def price_change_stream(spark, folder):
+    """Captures arrive in no order, in several files and micro-batches."""
     out = work_folder(spark, "price-changes")
+    series = price_series(load(spark, folder, "events"))
+    series.repartition(3, F.xxhash64("id")).write.parquet(f"{out}/landed")
+    quotes = spark.readStream.schema(series.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/landed")
     prices.change_stream(
-        price_series(stream(spark, folder, "events")), f"{out}/events", f"{out}/state", f"{out}/checkpoint"
+        quotes, f"{out}/events", f"{out}/state", f"{out}/checkpoint", lateness="400 days"
     ).awaitTermination()
-    return changed(spark.read.parquet(f"{out}/events"))
+    return changed(prices.read_changes(spark, f"{out}/events"))
+
+
+@check(
+    """
+SELECT 'not json ' || o_orderkey AS raw, count(*) AS n FROM orders WHERE o_orderkey % 3 = 0 GROUP BY ALL
+"""
+)
+def stream_rejects(spark, folder):
+    """Unreadable payloads of a stream keep their raw text."""
+    out = work_folder(spark, "rejects")
+    key = F.col("o_orderkey")
+    good = F.to_json(F.struct(key.cast("string").alias("company_id"), F.col("o_orderdate").alias("captured_at")))
+    load(spark, folder, "orders").select(
+        F.when(key % 3 == 0, F.concat(F.lit("not json "), key.cast("string"))).otherwise(good).alias("value")
+    ).write.text(f"{out}/landed")
+    ingest.append_stream(
+        stream_payload(spark, "quote", f"{out}/landed"), normalise.price_rows, f"{out}/prices", f"{out}/checkpoint",
+        unit="year",
+    ).awaitTermination()
+    bad = spark.read.parquet(f"{out}/prices-rejects").withColumnRenamed(REJECT_COLUMN, "raw")
+    return plain(bad.groupBy("raw").agg(F.count(F.lit(1)).alias("n")))
 
 
 @check(CAMPAIGN_SQL + "FROM campaigns")

@@ -1,81 +1,26 @@
-"""Order-dependent operators that survive a hot key.
+"""Order-dependent operators for keys of any size.
 
-A plain window sends all rows of a key to one task.  Keys above ``hot_rows``
-rows are therefore cut into consecutive segments at hash-chosen order values,
-every segment is windowed on its own, and a summary with one row per segment
-carries the last value across the borders.  The result equals the plain window; cold keys take
-the plain window in one shuffle, and when no key is hot adaptive execution
-drops the segmented branch.
+A plain window sends all rows of a key to one task.  Here every key is cut into
+segments of time, windowed inside (key, segment), and one summary row per segment
+hands its last value on to the next segment of the key.  The result equals the
+plain window; the wide rows are exchanged once, the summaries are narrow.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import same_key_join
 
-HOT_ROWS = 2_000_000
-SEGMENTS = 64
 
-
-def split_hot(
-    df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows of ordinary keys, rows of hot keys, hot keys with their row count).
-
-    The count is a partial aggregate; at most ``rows / hot_rows`` keys are hot.
-    """
-    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > hot_rows)
-    return (
-        same_key_join(df, hot.select(*keys), keys, "left_anti"),
-        same_key_join(df, hot.select(*keys), keys, "left_semi"),
-        hot,
-    )
-
-
-def _cut(
-    rows: DataFrame, hot: DataFrame, keys: Sequence[str], name: str, hot_rows: int, segments: int
-) -> DataFrame:
-    """Add ``name``: the number of cut points of the key at or before the row, 0 if it has none.
-
-    Cut points are the order tuples whose hash falls below a threshold, about
-    four per ``hot_rows`` rows and ``segments`` at most; a binary search over
-    the short sorted array places each row.
-    """
-    # A number in [0, 1) that depends on the row's order tuple (and level) alone.
-    ticket = F.pmod(F.xxhash64("_ord", F.lit(name)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    wanted = F.least(F.lit(float(segments)), F.lit(4.0) * F.col("_rows") / F.lit(float(hot_rows)))
-    cuts = (
-        same_key_join(rows, hot, keys)
-        .where(ticket < wanted / F.col("_rows"))
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_set("_ord")).alias("_cuts"))
-    )
-    steps = F.array(*[F.lit(1 << i) for i in reversed(range(segments.bit_length()))])
-    place = F.aggregate(
-        steps,
-        F.lit(0),
-        lambda at, step: F.when(F.get("_cuts", at + step - 1) <= F.col("_ord"), at + step).otherwise(at),
-    )
-    placed = same_key_join(rows, cuts, keys, "left")
-    return placed.withColumn(name, F.when(F.col("_cuts").isNull(), 0).otherwise(place)).drop("_cuts")
-
-
-def _with_segment(
-    rows: DataFrame, hot: DataFrame, keys: Sequence[str], order: Sequence[str], hot_rows: int, segments: int
-) -> DataFrame:
-    """Add ``_ord`` (the order tuple) and ``_seg``, which grows with it inside a key.
-
-    Two levels: a segment that is still too large is cut once more, so a key
-    falls into up to ``segments`` squared pieces.
-    """
-    first = _cut(rows.withColumn("_ord", F.struct(*order)), hot, keys, "_s1", hot_rows, segments)
-    large = first.groupBy(*keys, "_s1").agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > hot_rows)
-    second = _cut(first, large, [*keys, "_s1"], "_s2", hot_rows, segments)
-    return second.withColumn("_seg", F.struct("_s1", "_s2")).drop("_s1", "_s2")
+def _carried(rows: DataFrame, keys: Sequence[str], packed: Column, order: Column) -> DataFrame:
+    """(keys, _seg, _carry): the last value before each segment of a key."""
+    last = rows.groupBy(*keys, "_seg").agg(F.max_by(packed, order).alias("_last"))
+    across = Window.partitionBy(*keys).orderBy("_seg")
+    return last.withColumn("_carry", F.lag("_last").over(across)).drop("_last")
 
 
 def previous_values(
@@ -83,32 +28,21 @@ def previous_values(
     keys: Sequence[str],
     order: Sequence[str],
     values: Sequence[str],
+    segment: Sequence[Column],
     name: str = "previous",
-    hot_rows: int = HOT_ROWS,
-    segments: int = SEGMENTS,
 ) -> DataFrame:
     """Add struct ``name`` with ``values`` of the preceding row; NULL for the first row.
 
-    ``order`` must be a total order without NULLs.  A previous row whose values
-    are NULL still gives a non-NULL struct.
+    ``order`` must be a total order without NULLs, and the tuple ``segment`` must
+    grow with it (a truncated time, say).  A previous row whose values are NULL
+    still gives a non-NULL struct.
     """
-    cold, hot_part, hot = split_hot(df, keys, hot_rows)
     packed = F.struct(*values)
-    plain = cold.withColumn(name, F.lag(packed).over(Window.partitionBy(*keys).orderBy(*order)))
-
-    cut = _with_segment(hot_part, hot, keys, order, hot_rows, segments)
+    rows = df.withColumn("_seg", F.struct(*[s.alias(f"s{i}") for i, s in enumerate(segment)]))
     inside = Window.partitionBy(*keys, "_seg").orderBy(*order)
-    across = Window.partitionBy(*keys).orderBy("_seg")
-    carried = (
-        cut.groupBy(*keys, "_seg")
-        .agg(F.max_by(packed, F.col("_ord")).alias("_last"))
-        .withColumn("_carry", F.lag("_last").over(across))
-        .select(*keys, "_seg", "_carry")
-    )
-    stitched = same_key_join(
-        cut.withColumn(name, F.lag(packed).over(inside)), carried, [*keys, "_seg"], "left"
-    ).withColumn(name, F.coalesce(F.col(name), F.col("_carry")))
-    return plain.unionByName(stitched.select(*plain.columns))
+    carried = _carried(rows, keys, packed, F.struct(*order))
+    stitched = same_key_join(rows.withColumn(name, F.lag(packed).over(inside)), carried, [*keys, "_seg"], "left")
+    return stitched.withColumn(name, F.coalesce(F.col(name), F.col("_carry"))).drop("_seg", "_carry")
 
 
 def strictly_earlier(
@@ -118,43 +52,22 @@ def strictly_earlier(
     tie: str,
     values: Sequence[str],
     name: str = "previous",
-    hot_rows: int = HOT_ROWS,
-    segments: int = SEGMENTS,
+    unit: str = "day",
 ) -> DataFrame:
     """As-of self join: ``values`` of the newest row with a strictly smaller ``at``.
 
     Rows at the same instant share their predecessor; among rows of one instant
     the highest ``tie`` speaks for it.  Rows with a NULL key or time have none
-    and are left out, as in an equality join.
+    and are left out, as in an equality join.  ``unit`` is the length of a
+    segment; it does not change the result.
     """
     usable = df.dropna(subset=[*keys, at])
-    packed = F.struct(*values)
-    cold, hot_part, hot = split_hot(usable, keys, hot_rows)
-    earlier = (
-        Window.partitionBy(*keys)
-        .orderBy(F.unix_micros(at))
-        .rangeBetween(Window.unboundedPreceding, -1)
-    )
-    plain = cold.withColumn(name, F.max_by(packed, F.struct(at, tie)).over(earlier))
-
     # One row per instant first: this also absorbs a pile-up at one instant.
-    instants = hot_part.groupBy(*keys, at).agg(F.max_by(packed, F.col(tie)).alias("_values"))
-    cut = _with_segment(instants, hot, keys, [at], hot_rows, segments)
+    instants = usable.groupBy(*keys, at).agg(F.max_by(F.struct(*values), F.col(tie)).alias("_values"))
+    instants = instants.withColumn("_seg", F.date_trunc(unit, at))
     inside = Window.partitionBy(*keys, "_seg").orderBy(at)
-    across = Window.partitionBy(*keys).orderBy("_seg")
-    carried = (
-        cut.groupBy(*keys, "_seg")
-        .agg(F.max_by("_values", at).alias("_last"))
-        .withColumn("_carry", F.lag("_last").over(across))
-        .select(*keys, "_seg", "_carry")
-    )
-    lookup = (
-        same_key_join(
-            cut.withColumn("_before", F.lag("_values").over(inside)), carried, [*keys, "_seg"], "left"
-        )
-        .withColumn(name, F.coalesce("_before", "_carry"))
-        .select(*keys, at, name)
-    )
-    stitched = hot_part.join(lookup, [*keys, at], "left")
-    return plain.unionByName(stitched.select(*plain.columns))
-
+    carried = _carried(instants, keys, F.col("_values"), F.col(at))
+    lookup = same_key_join(
+        instants.withColumn("_inside", F.lag("_values").over(inside)), carried, [*keys, "_seg"], "left"
+    ).select(*keys, at, F.coalesce("_inside", "_carry").alias(name))
+    return usable.join(lookup, [*keys, at], "left").select(*df.columns, name)

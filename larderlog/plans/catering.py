@@ -203,27 +203,23 @@ def priced_leaves(
     """Every offered leaf with its current and previous price, per city and order length.
 
     ``only`` keeps the given tiles (unique city_id, order_days, company_id) and
-    adds their other columns.  For one city and one length that is at most a
-    page of companies, so it is broadcast and filters the scan; for many it is
-    joined after ranking, when one row per combo is left.  ``names=False`` leaves out the descriptive columns and
-    their joins.
+    adds their other columns; its keys are part of the ranking key, so it is
+    joined before the ranking and other companies' prices go no further.
+    ``names=False`` leaves out the descriptive columns and their joins.
     """
-    one_page = city_id is not None and days is not None
     prices = t.prices
     if city_id is not None:
         prices = prices.where(F.col("city_id") == city_id)
     if days is not None:
         prices = prices.where(F.col("order_days") == days)
-    if only is not None and one_page:
-        prices = prices.join(F.broadcast(only), TILE)
+    if only is not None:
+        prices = prices.join(only, TILE)
     leaves = offered_leaves(t, kcal_min, kcal_max, names)
     # A NULL composite id belongs to ready diets only, an empty one to nobody.
     ready = F.col("tier_diet_option_id").isNull() & F.col("tier_id").isNull()
     tiered = F.col("tier_diet_option_id").isNotNull() & F.col("tier_id").isNotNull()
     keys = ["company_id", "diet_calories_id", "_tdo"]
     current = current_prices(prices, unit, leaves.select(*keys) if reduce_first else None)
-    if only is not None and not one_page:
-        current = current.join(only, TILE)
     out = current.join(leaves, keys).where(ready | tiered)
     more = [c for c in only.columns if c not in TILE] if only is not None else []
     return out.select("city_id", "order_days", *[c for c in LEAF_FIELDS if c in out.columns], *more)
@@ -252,7 +248,8 @@ def page_totals(tiles: DataFrame) -> DataFrame:
 def page_of_tiles(tiles: DataFrame, args: PageArgs) -> DataFrame:
     """Tiles of the page with their rank label, per (city, order length).
 
-    The rank filter sits on the window, so map tasks keep page * size rows.
+    Tiles are narrow and few, one per company after the aggregation, so ranking
+    all of a city in one task is cheap however deep the page.
     """
     order = [F.asc_nulls_last("cheapest"), F.asc("company_id")]
     upto = top_rows(tiles, ["city_id", "order_days"], order, k=args.offset + args.size, rank="rank")

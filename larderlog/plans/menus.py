@@ -176,9 +176,12 @@ def menu_calendar(t: Tables, offers: DataFrame, dates: list[str], city_id: int |
         .select("offer_id", "o.*")
         .withColumn("menu_date", F.explode(F.array(*[F.lit(d).cast("date") for d in dates])))
     )
-    menu = current_daily_menu(t.daily_menu)
+    # Dates, city and leaf are part of the menu key, so other rows can go before the ranking.
+    stored = t.daily_menu.where(F.col("menu_date").isin([F.lit(d).cast("date") for d in dates]))
     if city_id is not None:
-        menu = menu.where(F.col("city_id") == city_id)
+        stored = stored.where(F.col("city_id") == city_id)
+    leaf = ["company_id", "diet_calories_id"]
+    menu = current_daily_menu(same_key_join(stored, spine.select(*leaf).distinct(), leaf, "left_semi"))
     option = F.struct(
         F.col("api_meal_slot_id").alias("pick_id"), F.col("meal_name").alias("name"),
         F.coalesce("is_default", F.lit(False)).alias("is_default"),

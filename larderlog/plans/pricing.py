@@ -9,7 +9,8 @@ from ..functions.dates import bucket, day_text
 from ..functions.keys import parse_offer_key
 from ..functions.lists import comma_joined, has_any
 from ..operators.keyed import best_per_bucket, latest_rows
-from ..operators.sequence import HOT_ROWS, strictly_earlier
+from ..operators.joins import same_key_join
+from ..operators.sequence import strictly_earlier
 from ..sources.tables import Tables
 
 SERIES = ["company_id", "diet_calories_id", "city_id", "order_days"]
@@ -56,13 +57,14 @@ def latest_prices(prices: DataFrame) -> DataFrame:
     return latest_rows(prices, QUOTED)
 
 
-def price_changes(prices: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def price_changes(prices: DataFrame, unit: str = "day") -> DataFrame:
     """Rows whose per-day price differs from the newest strictly earlier capture.
 
-    First captures vanish; a change from or to NULL counts.
+    First captures vanish; a change from or to NULL counts.  ``unit`` cuts a
+    combination's captures for the work only.
     """
     value = "per_day_cost_with_discounts"
-    rows = strictly_earlier(prices, QUOTED, "captured_at", "id", [value], "_before", hot_rows)
+    rows = strictly_earlier(prices, QUOTED, "captured_at", "id", [value], "_before", unit)
     before = F.col("_before")[value]
     return (
         rows.where(F.col("_before").isNotNull() & ~F.col(value).eqNullSafe(before))
@@ -86,8 +88,10 @@ def quote_breakdown(t: Tables, offers: DataFrame, city_id: int | None = None, da
         prices = prices.where(F.col("order_days") == days)
     keys = ["company_id", "diet_calories_id", "_tdo"]
     rows = prices.withColumn("_tdo", F.coalesce("tier_diet_option_id", F.lit("")))
-    newest = latest_rows(rows, [*keys, "city_id", "order_days", "promo_codes"])
     wanted = parsed.withColumn("_tdo", F.coalesce("tier_diet_option_id", F.lit("")))
+    # The offers' columns are part of the ranking key, so other rows can go first.
+    asked = same_key_join(rows, wanted.select(*keys).distinct(), keys, "left_semi")
+    newest = latest_rows(asked, [*keys, "city_id", "order_days", "promo_codes"])
     return wanted.join(newest.drop("tier_diet_option_id"), keys, "left").select(
         "offer_id", "error", "city_id",
         F.col("order_days").alias("days_count"),

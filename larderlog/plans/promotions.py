@@ -9,6 +9,7 @@ from ..functions.dates import as_date, as_time
 from ..functions.keys import polish_order
 from ..functions.lists import is_empty
 from ..functions.text import fold_case, strip
+from ..operators.joins import same_key_join
 from ..operators.keyed import top_rows
 
 
@@ -73,9 +74,10 @@ def promo_targets(campaigns: DataFrame, as_of=None, now=None) -> DataFrame:
 def no_code_coverage(prices: DataFrame, now=None, hours: int = 6) -> DataFrame:
     """Per company: quotes without any code captured in the last hours."""
     recent = F.col("captured_at") > as_time(now) - F.expr(f"INTERVAL {int(hours)} HOURS")
-    return prices.groupBy("company_id").agg(
-        F.count_if(is_empty("promo_codes") & recent).alias("recent")
-    )
+    counted = prices.where(recent & is_empty("promo_codes")).groupBy("company_id").agg(F.count(F.lit(1)).alias("recent"))
+    companies = prices.select("company_id").distinct()
+    kept = same_key_join(companies, counted, ["company_id"], "left")
+    return kept.select("company_id", F.coalesce("recent", F.lit(0)).alias("recent"))
 
 
 def promo_rollup(observations: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from ..functions.dates import as_date, as_time
 from ..operators.folding import Policy, replace_groups, retire, upsert
 from ..operators.keyed import latest_rows
-from ..operators.sequence import HOT_ROWS, previous_values
+from ..operators.sequence import previous_values
 from ..schemas import table
 from ..sources.normalise import known_companies, typed
 
@@ -146,15 +146,16 @@ def expire_campaigns(campaigns: DataFrame, as_of=None, now=None) -> DataFrame:
     )
 
 
-DISH_ORDER = ["diet_calories_id", "tier_id", "menu_date", "slot_pos", "option_pos"]
+DISH_ORDER = ["city_id", "diet_calories_id", "tier_id", "menu_date", "slot_pos", "option_pos"]
 
 
 def dish_sightings(
-    meals: DataFrame, dishes: DataFrame, order: list[str] = DISH_ORDER, hot_rows: int = HOT_ROWS
+    meals: DataFrame, dishes: DataFrame, order: list[str] = DISH_ORDER, unit: str = "day"
 ) -> DataFrame:
     """Named dishes of a batch with ``previous``: the fingerprint stored or seen just before.
 
-    ``order`` breaks ties among sightings of one capture.
+    ``order`` breaks ties among sightings of one capture; ``unit`` cuts a dish's
+    sightings for the work only.
     """
     named = dishes.where(F.col("name").isNotNull())
     types = {f.name: f.dataType for f in table("meals").fields}
@@ -178,7 +179,8 @@ def dish_sightings(
     )
     full_order = ["_origin", "captured_at", *[f"_{c}" for c in order]]
     seen = previous_values(
-        batch.unionByName(stored), ["company_id", "name"], full_order, ["fingerprint"], "previous", hot_rows
+        batch.unionByName(stored), ["company_id", "name"], full_order, ["fingerprint"],
+        [F.col("_origin"), F.date_trunc(unit, "captured_at")],
     )
     return seen.where(F.col("_origin") == 1)
 

@@ -14,8 +14,6 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    # Deep pages and long top-k reports keep their map-side limit.
-    "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
 }
 
 # Used only where the session names no shared folder.
@@ -32,11 +30,13 @@ def configure(spark: SparkSession) -> SparkSession:
 def work_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder in the shared directory named by ``spark.checkpoint.dir``.
 
-    Only when the setting is absent (local tests) a temporary folder stands in,
-    the same for every later caller of the process.
+    Only in local mode, where all tasks share one machine, a temporary folder
+    stands in for an absent setting; on a cluster its absence is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _local_root:
             _local_root.append(tempfile.mkdtemp(prefix="larderlog-"))
         root = _local_root[0]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.dates import bucket
-from ..schemas import REJECT_COLUMN
+from ..sources.payloads import split_rejects
 from ..sources.sinks import read_state, write_state
 
 
@@ -19,20 +19,30 @@ def append_stream(
     path: str,
     checkpoint: str,
     unit: str = "day",
+    rejects: str | None = None,
 ) -> StreamingQuery:
     """Normalise landed payloads and append them by capture date, then stop.
 
     ``capture_date`` is the first day of the capture's ``unit``: a backfill over
     years is better partitioned by month or year than into thousands of small
-    folders.  The normalisation is row-wise, so the stream keeps no state; the file
-    source and the file sink together deliver every file once.
+    folders.  Unreadable payloads go to ``rejects`` (``path`` with ``-rejects``)
+    with their raw text.  Both are partitioned by micro-batch too, and a batch
+    that is run again replaces its own partitions, so every file counts once.
     """
-    good = payloads.where(F.col(REJECT_COLUMN).isNull()).drop(REJECT_COLUMN)
-    rows = normalise(good).withColumn("capture_date", F.to_date(bucket("captured_at", unit)))
+    def write(rows: DataFrame, to: str, batch_id: int, *by: str) -> None:
+        rows.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic"
+        ).partitionBy(*by, "batch_id").parquet(to)
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        good, bad = split_rejects(batch)
+        rows = normalise(good).withColumn("capture_date", F.to_date(bucket("captured_at", unit)))
+        # One well-sized set of files per date, whatever the number of tasks.
+        write(rows.hint("rebalance", "capture_date"), path, batch_id, "capture_date")
+        write(bad, rejects or f"{path.rstrip('/')}-rejects", batch_id)
+
     return (
-        rows.writeStream.format("parquet")
-        .partitionBy("capture_date")
-        .option("path", path)
+        payloads.writeStream.foreachBatch(step)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.keyed import top_rows
-from ..operators.sequence import HOT_ROWS, strictly_earlier
+from ..operators.sequence import strictly_earlier
 from ..plans.pricing import QUOTED
 from ..schemas import table
 from ..sources.sinks import read_state, write_state
@@ -54,33 +54,46 @@ def read_updates(spark, path: str, keys: list[str]) -> DataFrame:
 
 
 def change_stream(
-    quotes: DataFrame, events: str, state: str, checkpoint: str, hot_rows: int = HOT_ROWS
+    quotes: DataFrame, events: str, state: str, checkpoint: str, lateness: str = "2 days", unit: str = "day"
 ) -> StreamingQuery:
-    """Price changes as they arrive, equal to the batch query on captures in time order.
+    """Price changes as they arrive; ``read_changes`` of ``events`` equals the batch query.
 
-    The state is the two newest instants per combo: two, because a batch may
-    bring more rows of the newest stored instant, whose predecessor is the one
-    before it.  Batches are idempotent: versions and event folders carry the
-    batch number.
+    The state holds, per combo, all captures within ``lateness`` of its newest
+    one and the instant before them.  A capture that slips in between two others
+    gives out its successor once more, also as "no change any more".  Captures
+    older than that are written to ``events`` with ``-late`` and change nothing.
+    Batches are idempotent: versions and event folders carry the batch number.
     """
     fields = {f.name: f for f in table("prices").fields}
     schema = type(table("prices"))([fields[c] for c in CHANGE_STATE])
-    value = "per_day_cost_with_discounts"
+    value, at = "per_day_cost_with_discounts", F.col("captured_at")
+    late_path = f"{events.rstrip('/')}-late"
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        stored = read_state(batch.sparkSession, state, schema, before=batch_id)
-        both = stored.withColumn("_new", F.lit(False)).unionByName(
-            batch.select(*CHANGE_STATE).withColumn("_new", F.lit(True))
-        )
-        seen = strictly_earlier(both, QUOTED, "captured_at", "id", [value], "_before", hot_rows)
+        stored = read_state(batch.sparkSession, state, schema, before=batch_id).withColumn("_new", F.lit(False))
+        new = batch.select(*CHANGE_STATE).dropna(subset=[*QUOTED, "captured_at"]).withColumn("_new", F.lit(True))
+        newest = stored.groupBy(*QUOTED).agg((F.max("captured_at") - F.expr(f"INTERVAL {lateness}")).alias("_floor"))
+        new = new.join(newest, QUOTED, "left")
+        is_late = F.coalesce(at < F.col("_floor"), F.lit(False))
+        new.where(is_late).select(*CHANGE_STATE).write.mode("overwrite").parquet(f"{late_path}/batch_id={batch_id}")
+        new = new.where(~is_late).drop("_floor")
+
+        both = stored.unionByName(new)
+        seen = strictly_earlier(both, QUOTED, "captured_at", "id", [value], "_before", unit)
+        touched = new.groupBy(*QUOTED).agg(F.min("captured_at").alias("_first"))
         before = F.col("_before")[value]
-        changes = seen.where("_new AND _before IS NOT NULL").where(~F.col(value).eqNullSafe(before))
-        changes.select(
-            *CHANGE_STATE, before.alias("prev_per_day"), (F.col(value) - before).alias("delta")
+        changed = F.col("_before").isNotNull() & ~F.col(value).eqNullSafe(before)
+        told = seen.join(touched, QUOTED).withColumn("changed", changed)
+        told = told.where(F.when(F.col("_new"), F.col("changed")).otherwise(at > F.col("_first")))
+        told.select(
+            *CHANGE_STATE, before.alias("prev_per_day"), (F.col(value) - before).alias("delta"), "changed"
         ).write.mode("overwrite").parquet(f"{events}/batch_id={batch_id}")
-        newest = both.drop("_new").dropna(subset=[*QUOTED, "captured_at"])
-        instants = top_rows(newest, [*QUOTED, "captured_at"], [F.desc("id")])
-        write_state(top_rows(instants, QUOTED, [F.desc("captured_at")], k=2), state, batch_id)
+
+        floors = both.groupBy(*QUOTED).agg((F.max("captured_at") - F.expr(f"INTERVAL {lateness}")).alias("_floor"))
+        kept = both.join(floors, QUOTED)
+        older = top_rows(kept.where(at < F.col("_floor")), QUOTED, [F.desc("captured_at"), F.desc("id")])
+        kept = kept.where(at >= F.col("_floor")).unionByName(older).select(*CHANGE_STATE)
+        write_state(kept, state, batch_id)
 
     return (
         quotes.writeStream.foreachBatch(step)
@@ -88,3 +101,9 @@ def change_stream(
         .trigger(availableNow=True)
         .start()
     )
+
+
+def read_changes(spark, events: str) -> DataFrame:
+    """The changes that stand after all batches."""
+    last = read_updates(spark, events, [*QUOTED, "captured_at", "id"])
+    return last.where("changed").drop("changed")

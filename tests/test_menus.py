@@ -88,8 +88,8 @@ def dish(spark, *data):
     return df.withColumns({c: F.lit(None) for c in state.DISH_ATTRIBUTES if c not in ("fingerprint", "kcal")})
 
 
-def fold(spark, meals, batch, hot_rows=2_000_000):
-    seen = state.dish_sightings(meals, batch, ["seq"], hot_rows)
+def fold(spark, meals, batch, unit="day"):
+    seen = state.dish_sightings(meals, batch, ["seq"], unit)
     return settle(state.fold_meals(meals, seen), "meals"), state.drift_events(seen)
 
 
@@ -98,9 +98,9 @@ SIGHTINGS = [
     (5, "Y", "g", "2026-05-01"), (6, None, "h", "2026-05-01")]
 
 
-@pytest.mark.parametrize("hot_rows", [2, 2_000_000])
-def test_dish_drift(spark, hot_rows):
-    meals, drift = fold(spark, empty_table(spark, "meals"), dish(spark, *SIGHTINGS), hot_rows)
+@pytest.mark.parametrize("unit", ["hour", "year"])
+def test_dish_drift(spark, unit):
+    meals, drift = fold(spark, empty_table(spark, "meals"), dish(spark, *SIGHTINGS), unit)
     assert sorted(rows(drift, "name", "fingerprint", "kcal")) == [("X", "f1", 4.0), ("X", "f2", 2.0)]
     got = {r.name: r for r in meals.collect()}
     assert set(got) == {"X", "Y"}

@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from larderlog.plans import pricing, state
-from larderlog.schemas import table
+from larderlog.schemas import REJECT_COLUMN, table
 from larderlog.sources import normalise
 from larderlog.sources.payloads import stream_payload
 from larderlog.sources.sinks import read_state, state_versions
@@ -40,10 +40,29 @@ def test_price_changes_in_batches_equal_batch_query(make, spark, tmp_path):
     assert state_versions(spark, str(tmp_path / "state")) == [0, 1, 2]
     cols = ["id", "prev_per_day", "delta"]
     want = sorted(rows(pricing.price_changes(make("prices", *QUOTES)), *cols), key=str)
-    assert sorted(rows(spark.read.parquet(str(tmp_path / "events")), *cols), key=str) == want
+    assert sorted(rows(prices.read_changes(spark, str(tmp_path / "events")), *cols), key=str) == want
     assert [r[0] for r in want] == [3, 5, 6]
 
 
+def test_a_capture_that_slips_in(make, spark, tmp_path):
+    series = [quote(1, 1, "2026-05-01", 9.0), quote(3, 1, "2026-05-03", 5.0), quote(4, 1, "2026-05-04", 6.0), quote(2, 1, "2026-05-02", 5.0)]
+    stream = in_files(make, spark, tmp_path, series[:3], series[3:])
+    events = str(tmp_path / "events")
+    prices.change_stream(stream, events, str(tmp_path / "state"), str(tmp_path / "check"), lateness="9 days").awaitTermination()
+    cols = ["id", "prev_per_day", "delta"]
+    got = sorted(rows(prices.read_changes(spark, events), *cols))
+    assert got == sorted(rows(pricing.price_changes(make("prices", *series)), *cols)) == [(2, 9.0, -4.0), (4, 5.0, 1.0)]
+    assert spark.read.parquet(f"{events}-late").count() == 0
+
+
+def test_a_capture_beyond_the_lateness_is_set_aside(make, spark, tmp_path):
+    stream = in_files(make, spark, tmp_path, [quote(2, 1, "2026-05-20", 5.0)], [quote(1, 1, "2026-05-01", 9.0)])
+    events = str(tmp_path / "events")
+    prices.change_stream(stream, events, str(tmp_path / "state"), str(tmp_path / "check")).awaitTermination()
+    assert rows(spark.read.parquet(f"{events}-late"), "id") == [(1,)]
+    assert prices.read_changes(spark, events).count() == 0
+
+
 def test_daily_cheapest(make, spark, tmp_path):
     stream = in_files(make, spark, tmp_path, QUOTES[:1], QUOTES[1:4], QUOTES[4:])
     out, check = str(tmp_path / "out"), str(tmp_path / "check")
@@ -72,6 +91,7 @@ def test_quotes_are_ingested_once(spark, tmp_path):
     assert run() == 1
     land("2.json", good)
     assert run() == 2
+    assert rows(spark.read.parquet(f"{out}-rejects"), REJECT_COLUMN) == [('{"broken',)]
 
 
 def test_fold_stream_equals_one_fold(make, spark, tmp_path):
