@@ -61,14 +61,16 @@ class Pieces:
 
     def merged(self, text: str) -> list[str]:
         """Pieces of a short text by merging, the best score first, then the leftmost."""
-        parts = list(text)
-        while len(parts) > 1:
-            scores = [self.rank.get(x + y, NEVER) for x, y in zip(parts, parts[1:])]
-            best = max(scores)
-            if best == NEVER:
-                break
+        parts, rank = list(text), self.rank
+        scores = [rank.get(x + y, NEVER) for x, y in zip(parts, parts[1:])]
+        while scores and (best := max(scores)) > NEVER:
             i = scores.index(best)
-            parts[i:i + 2] = [parts[i] + parts[i + 1]]
+            parts[i] += parts.pop(i + 1)
+            del scores[i]
+            if i:
+                scores[i - 1] = rank.get(parts[i - 1] + parts[i], NEVER)
+            if i < len(scores):
+                scores[i] = rank.get(parts[i] + parts[i + 1], NEVER)
         return parts
 
     def stay_apart(self, x: str, y: str) -> bool:
@@ -88,7 +90,7 @@ class Pieces:
         last[start] = entry
         ids, longest, apart = self.ids, self.longest, self.stay_apart
         for i in range(start + 1, len(text) + 1):
-            for j in range(i - 1, max(start, i - longest) - 1, -1):
+            for j in range(max(start, i - longest), i):  # long pieces are the likely ones
                 before = last[j]
                 if before is not None:
                     piece = text[j:i]

@@ -64,13 +64,16 @@ class Transducer(dict):
         return n
 
     def _emitted(self, parts: list[str]) -> int:
-        ranks = self.ranks
-        while len(parts) > 1:
-            best = min((ranks.get(pair, 1 << 30), i) for i, pair in enumerate(zip(parts, parts[1:])))
-            if best[0] == 1 << 30:
-                break
-            i = best[1]
-            parts[i:i + 2] = [parts[i] + parts[i + 1]]
+        ranks, never = self.ranks, 1 << 30
+        waiting = [ranks.get(pair, never) for pair in zip(parts, parts[1:])]
+        while waiting and (best := min(waiting)) < never:
+            i = waiting.index(best)
+            parts[i] += parts.pop(i + 1)
+            del waiting[i]
+            if i:
+                waiting[i - 1] = ranks.get((parts[i - 1], parts[i]), never)
+            if i < len(waiting):
+                waiting[i] = ranks.get((parts[i], parts[i + 1]), never)
         return len(parts)
 
     def _emitted_by_long(self, parts: list[str]) -> int:
