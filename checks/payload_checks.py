@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from larderlog.plans import catering, menus as menu_plans, state
+from larderlog.session import work_folder
 from larderlog.sources import normalise as n
+from larderlog.sources import sinks
 from larderlog.sources.payloads import parse_payload, split_rejects
+from larderlog.sources.sinks import append_observations
 from larderlog.sources.starviews import load, parts_as_leaves
-from larderlog.sources.tables import empty_table
+from larderlog.sources.tables import empty_table, read_tables
 
 from . import payload_texts as texts
 from .registry import check, plain
@@ -298,6 +301,108 @@ def picked_city(spark, folder):
     return plain(catering.pick_search_hit(rows, "nation_8"), "city_id", "name")
 
 
+@check(
+    """
+SELECT n_name AS name FROM (
+  SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS pos FROM nation)
+WHERE n_nationkey % 6 <> 0 ORDER BY pos, n_nationkey LIMIT 5
+"""
+)
+def city_suggestions(spark, folder):
+    rows = n.found_cities(parsed(spark, folder, "city_search", texts.city_searches))
+    return plain(catering.suggest_cities(rows), "name")
+
+
+@check("SELECT CAST(s_suppkey AS VARCHAR) AS company_id FROM supplier WHERE s_suppkey < 30 AND s_suppkey % 2 = 1 "
+       "ORDER BY s_suppkey // 10, s_suppkey LIMIT 12")
+def narrowed_listing(spark, folder):
+    """A run narrowed to named companies, and of these to the first of the list."""
+    only = [str(i) for i in range(1, 30, 2)]
+    return plain(n.listing_companies(parsed(spark, folder, "listing", texts.listing), only, 12), "company_id")
+
+
+@check(
+    f"""
+SELECT CAST(s_suppkey AS VARCHAR) AS company_id, CAST(s_suppkey % 100 AS DOUBLE) AS avg_score,
+  CASE WHEN s_suppkey % 2 = 0 THEN s_acctbal > 0 ELSE false END AS awarded, 'CHEAP' AS price_category
+FROM supplier
+"""
+)
+def company_snapshots(spark, folder):
+    rows = n.company_snapshot_rows(n.company_rows(catalogue(spark, folder), card(spark, folder)))
+    return plain(rows, "company_id", "avg_score", "awarded", "price_category")
+
+
+@check(
+    """
+SELECT 'awarded-and-top' AS source, CAST(s_suppkey AS VARCHAR) AS company, 'TOP' || s_suppkey % 5 AS code
+FROM supplier WHERE s_suppkey % 3 = 0
+UNION ALL SELECT 'constant', NULL, 'START' FROM supplier WHERE s_suppkey % 4 = 0
+UNION ALL SELECT 'recommended-diets', CAST(o_custkey // 14 AS VARCHAR), substr(o_orderpriority, 3)
+FROM orders WHERE o_orderstatus <> 'P'
+UNION ALL SELECT 'banner', NULL, substr(o_orderpriority, 3) FROM orders WHERE o_orderstatus <> 'F'
+"""
+)
+def raw_observations(spark, folder):
+    """What the raw record of every feed says about company and code."""
+    rows = n.promo_rows(
+        parsed(spark, folder, "listing", texts.listing), catalogue(spark, folder),
+        parsed(spark, folder, "banner", texts.banners), parsed(spark, folder, "recommended", texts.recommended),
+    )
+    said = lambda *paths: F.coalesce(*[F.get_json_object("raw", p) for p in paths])
+    return plain(
+        rows.select(
+            "source", said("$.company_id", "$.companyData.companyId").alias("company"),
+            said("$.code", "$.activePromotionInfo.code", "$.activePromotion.code").alias("code"),
+        )
+    )
+
+
+@check(
+    f"""
+SELECT CAST(l_partkey // 20 AS VARCHAR) AS company_id, l_partkey AS diet_calories_id, l_extendedprice AS total_cost,
+  strftime(l_shipdate, {STAMP}) AS captured_at FROM lineitem WHERE {QUOTED}
+"""
+)
+def appended_prices(spark, folder):
+    """Written by capture year and read back as a stored table."""
+    out = work_folder(spark, "appended")
+    rows = n.price_rows(parsed(spark, folder, "quote", texts.quotes))
+    append_observations(rows, f"{out}/prices", "prices", unit="year")
+    prices = read_tables(spark, out, ["prices"]).prices
+    return plain(prices, "company_id", "diet_calories_id", "total_cost", "captured_at")
+
+
+@check(
+    """
+SELECT CAST(s_suppkey AS VARCHAR) AS company_id, s_suppkey % 23 AS city_id, day AS snapshot_date,
+  count(diet_calories_id) AS leaves, count(diet_calories_id) FILTER (diet_calories_id % 2 = 0) AS quotes,
+  'CHEAP' AS category
+FROM supplier CROSS JOIN (VALUES ('2001-01-01'), ('2001-01-02')) runs(day)
+LEFT JOIN (FROM leafparts WHERE p_partkey % 20 < 18) ON company_id = CAST(s_suppkey AS VARCHAR)
+WHERE s_suppkey IN (SELECT CAST(company_id AS BIGINT) FROM leafparts)
+GROUP BY ALL
+"""
+)
+def snapshot_documents(spark, folder):
+    """Two runs of all companies; quotes exist for every second leaf."""
+    days = F.explode(F.array(*[F.lit(d).cast("timestamp") for d in ("2001-01-01", "2001-01-02")]))
+    twice = lambda df: df.drop("captured_at").withColumn("captured_at", days)
+    whole, cards = twice(catalogue(spark, folder)), twice(card(spark, folder))
+    leaves = n.snapshot_leaves(whole)
+    prices = leaves.where("diet_calories_id % 2 = 0").select(
+        "city_id", "company_id", "captured_at", "diet_calories_id", "tier_diet_option_id", F.lit(10).alias("order_days")
+    )
+    docs = sinks.snapshot_documents(whole, leaves, card=cards.drop("dietPriceInfo"), prices=prices)
+    quoted = F.aggregate("leaves", F.lit(0), lambda acc, x: acc + F.coalesce(F.size(x["quotes"]), F.lit(0)))
+    return plain(
+        docs.select(
+            "company_id", "city_id", "snapshot_date", F.coalesce(F.size("leaves"), F.lit(0)).alias("leaves"),
+            F.coalesce(quoted, F.lit(0)).alias("quotes"), F.col("card.companyPriceCategory").alias("category"),
+        )
+    )
+
+
 # -- two runs of a catalogue ------------------------------------------------
 
 RUNS = {

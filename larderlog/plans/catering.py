@@ -71,7 +71,7 @@ def pick_search_hit(hits: DataFrame, name: str) -> DataFrame:
 def suggest_cities(hits: DataFrame) -> DataFrame:
     """Names to offer when nothing matches; a missing status counts as active."""
     ok = F.coalesce("city_status", F.lit(True))
-    return hits.where(ok).orderBy("pos").limit(SUGGESTIONS).select("name")
+    return hits.where(ok).orderBy("pos", "city_id").limit(SUGGESTIONS).select("name")
 
 
 def kcal_bounds(t: Tables, city_id: int | None = None) -> DataFrame:

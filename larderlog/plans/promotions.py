@@ -83,11 +83,13 @@ def no_code_coverage(prices: DataFrame, now=None, hours: int = 6) -> DataFrame:
 def promo_rollup(observations: DataFrame) -> DataFrame:
     """One row per (company, code): attributes of the most trusted feed, all sources sorted.
 
-    ``observations`` carries ``feed`` (priority); rows without company or code
-    and banners do not take part.
+    ``observations`` carries ``feed`` (priority) and may carry the place in it
+    (``feed_page``, ``feed_pos``); the first record of a feed wins.  Rows without
+    company or code and banners do not take part.
     """
     attrs = ["discount_percents", "deadline", "promo_text", "separate"]
-    at = F.struct("feed", "captured_at", "id")
+    places = [c for c in ("feed_page", "feed_pos") if c in observations.columns]
+    at = F.struct("feed", "captured_at", *places, "id")
     return (
         observations.where(
             (F.coalesce("company_id", F.lit("")) != "")

@@ -42,7 +42,9 @@ def _policy(keys: list[str], overwrite: list[str], keep: list[str] = [], reopen:
 
 
 def fold_companies(current: DataFrame, rows: DataFrame) -> DataFrame:
-    return upsert(current, rows, _policy(["company_id"], COMPANY_ATTRIBUTES), ["captured_at"])
+    """Several cities of one capture: the highest city's row stands."""
+    places = ["city_id"] if "city_id" in rows.columns else []
+    return upsert(current, rows, _policy(["company_id"], COMPANY_ATTRIBUTES), ["captured_at", *places])
 
 
 def fold_company_cities(current: DataFrame, rows: DataFrame) -> DataFrame:
@@ -53,11 +55,13 @@ def fold_company_cities(current: DataFrame, rows: DataFrame) -> DataFrame:
 def fold_cities(current: DataFrame, rows: DataFrame) -> DataFrame:
     """A known city only ever changes its name and number of companies."""
     rows = rows.withColumns({"created_at": F.col("captured_at"), "updated_at": F.col("captured_at")})
-    return upsert(current, rows, _policy(["city_id"], ["name", "number_of_companies"]), ["captured_at"])
+    places = [c for c in ("query", "pos") if c in rows.columns]
+    return upsert(current, rows, _policy(["city_id"], ["name", "number_of_companies"]), ["captured_at", *places])
 
 
 def fold_diet_tags(current: DataFrame, rows: DataFrame) -> DataFrame:
-    return upsert(current, rows, Policy(["tag_code"], ["label", "image_url"]), ["captured_at"])
+    policy = Policy(["tag_code"], ["label", "image_url"])
+    return upsert(current, rows, policy, ["captured_at", "label", "image_url"])
 
 
 def fold_diets(current: DataFrame, rows: DataFrame) -> DataFrame:
@@ -115,7 +119,8 @@ def campaign_rows(observations: DataFrame, companies: DataFrame | None = None) -
             **{c: F.col("captured_at") for c in ("first_seen_at", "last_seen_at", "created_at", "updated_at")},
         }
     )
-    return typed(rows, "campaigns", "captured_at", F.coalesce("id", F.lit(0)).alias("id"))
+    places = [(F.coalesce(c, F.lit(0)) if c in rows.columns else F.lit(0)).alias(c) for c in ("feed_page", "feed_pos")]
+    return typed(rows, "campaigns", "captured_at", *places, F.coalesce("id", F.lit(0)).alias("id"))
 
 
 def fold_campaigns(current: DataFrame, rows: DataFrame) -> DataFrame:
@@ -126,7 +131,7 @@ def fold_campaigns(current: DataFrame, rows: DataFrame) -> DataFrame:
         keep=CAMPAIGN_ATTRIBUTES,
         fixed={"is_active": F.lit(True)},
     )
-    return upsert(current, rows, policy, ["captured_at", "id"])
+    return upsert(current, rows, policy, ["captured_at", "feed_page", "feed_pos", "id"])
 
 
 def expire_campaigns(campaigns: DataFrame, as_of=None, now=None) -> DataFrame:

@@ -91,6 +91,7 @@ def company_rows(catalogue: DataFrame, card: DataFrame) -> DataFrame:
     side = card.select(*RUN, "companySettings", "companyPriceCategory")
     rows = catalogue.join(side, RUN, "left").select(
         "company_id",
+        "city_id",
         F.coalesce(f"{h}.name", "company_id").alias("name"),
         F.col(f"{h}.logoUrl").alias("logo_url"),
         F.col(f"{h}.rateValue").alias("avg_score"),
@@ -108,7 +109,7 @@ def company_rows(catalogue: DataFrame, card: DataFrame) -> DataFrame:
         F.col("captured_at").alias("updated_at"),
         "captured_at",
     )
-    return typed(rows, "companies", "captured_at")
+    return typed(rows, "companies", "captured_at", "city_id")
 
 
 def company_snapshot_rows(companies: DataFrame) -> DataFrame:
@@ -514,6 +515,7 @@ def _promo(df: DataFrame, source: str, info: str, raw: Column) -> DataFrame:
         F.col(f"{info}.promoDeadline").alias("deadline"),
         F.col(f"{info}.separate").alias("separate"),
         F.to_json(raw).alias("raw"),
+        *[F.col(c).alias(f"feed_{name}") for c, name in (("currentPage", "page"), ("pos", "pos")) if c in df.columns],
     )
 
 
@@ -523,7 +525,11 @@ def promo_rows(
     banners: DataFrame | None = None,
     recommended: DataFrame | None = None,
 ) -> DataFrame:
-    """Union of the promotion feeds that are given, with their ``feed`` priority."""
+    """Union of the promotion feeds that are given, with their ``feed`` priority.
+
+    ``feed_page`` and ``feed_pos`` are the place of a record in its list; feeds
+    that bring one record per payload have zeros.
+    """
     feeds: dict[str, DataFrame] = {}
     if listing is not None:
         c = listing_companies(listing)
@@ -565,11 +571,15 @@ def promo_rows(
     for c in ("target", "deep_link", "banner_image_url"):
         if c not in out.columns:
             out = out.withColumn(c, F.lit(None).cast("string"))
+    for c in ("feed_page", "feed_pos"):
+        out = out.withColumn(c, F.coalesce(c, F.lit(0)).cast("int") if c in out.columns else F.lit(0))
     out = out.withColumn(
         "id",
         F.xxhash64("captured_at", "code", "source", "company_id", "city_id", "promo_text", "raw"),
     )
-    return typed(out, "promo_observations", "feed", "target", "deep_link", "banner_image_url")
+    return typed(
+        out, "promo_observations", "feed", "feed_page", "feed_pos", "target", "deep_link", "banner_image_url"
+    )
 
 
 def known_companies(observations: DataFrame, companies: DataFrame) -> DataFrame:

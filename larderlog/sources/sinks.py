@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dates import bucket
+from ..operators.joins import same_key_join
 from ..session import work_folder
 
 # Columns that cluster the files of an observation table inside a date.
@@ -81,23 +82,41 @@ def settle(df: DataFrame, purpose: str) -> DataFrame:
 
 
 def snapshot_documents(
-    catalogue: DataFrame, leaves: DataFrame, menus: DataFrame, promos: DataFrame, run: Column
+    catalogue: DataFrame,
+    leaves: DataFrame,
+    menus: DataFrame | None = None,
+    promos: DataFrame | None = None,
+    listing: DataFrame | None = None,
+    card: DataFrame | None = None,
+    prices: DataFrame | None = None,
 ) -> DataFrame:
-    """One nested document per (city, company): header, leaves, menus, promotions.
+    """One nested document per (city, company, run): header, summary, card, leaves with quotes, menus, promotions.
 
-    Each part is collected per company, which the catalogue bounds; the city as
-    a whole is a set of documents, never one row.
+    A run is the capture time that all its parts carry.  Each part is collected
+    per company and run, which the catalogue bounds; the city as a whole is a
+    set of documents, never one row.  ``listing`` and ``card`` are one row per
+    company and run; of ``prices`` each leaf gets its quotes of the run.
     """
-    keys = ["city_id", "company_id"]
+    keys = ["city_id", "company_id", "captured_at"]
 
     def nested(df: DataFrame, name: str) -> DataFrame:
         rest = [c for c in df.columns if c not in keys]
         return df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*rest))).alias(name))
 
+    if prices is not None:
+        leaf = ["diet_calories_id", "tier_diet_option_id"]
+        rest = [c for c in prices.columns if c not in (*keys, *leaf)]
+        quotes = prices.groupBy(*keys, *leaf).agg(F.array_sort(F.collect_list(F.struct(*rest))).alias("quotes"))
+        leaves = same_key_join(leaves, quotes, [*keys, *leaf], "left")
     out = catalogue.select(*keys, "companyHeader", "companyParams", "menuSettings")
     for df, name in ((leaves, "leaves"), (menus, "menus"), (promos, "promotions")):
-        out = out.join(nested(df, name), keys, "left")
-    return out.withColumn("snapshot_date", F.to_date(run)).withColumn("snapshot_timestamp", run)
+        if df is not None:
+            out = out.join(nested(df, name), keys, "left")
+    for df, name in ((listing, "summary"), (card, "card")):
+        if df is not None:
+            whole = F.struct(*[c for c in df.columns if c not in keys]).alias(name)
+            out = out.join(df.select(*keys, whole), keys, "left")
+    return out.withColumn("snapshot_date", F.to_date("captured_at")).withColumnRenamed("captured_at", "snapshot_timestamp")
 
 
 def write_snapshot(documents: DataFrame, path: str) -> None:

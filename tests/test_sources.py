@@ -128,9 +128,8 @@ def test_snapshot_documents(spark, tmp_path):
             {**OPTION, "dietCalories": [{"dietCaloriesId": 1, "calories": 5}]}]}]} for c in "ab"], name="c"))
     menus = read_payload(spark, "menu", landed(tmp_path, {**RUN, "date": "2026-05-01", "meals": [
         {"name": "S", "options": [{"dietCaloriesMealId": 7, "name": "X", "details": {"fat": "1g"}}]}]}, name="m"))
-    promos = n.promo_rows(catalogue=catalogue).select("city_id", "company_id", "code")
-    documents = sinks.snapshot_documents(
-        catalogue, n.snapshot_leaves(catalogue), n.compact_menu_days(menus), promos, F.lit("2026-05-01 06:00").cast("timestamp"))
+    promos = n.promo_rows(catalogue=catalogue).select("city_id", "company_id", "captured_at", "code")
+    documents = sinks.snapshot_documents(catalogue, n.snapshot_leaves(catalogue), n.compact_menu_days(menus), promos)
     out = str(tmp_path / "out")
     for _ in range(2):
         sinks.write_snapshot(documents, out)
