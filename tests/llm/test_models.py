@@ -94,6 +94,16 @@ def test_training_helps_on_held_out_texts(spark):
     assert bits / size < 2.6  # bytes alone have more than four
 
 
+def test_classes_tell_kinds_of_text_apart():
+    rnd = np.random.default_rng(5)
+    kind = rnd.integers(0, 3, 200)
+    doc = np.repeat(np.arange(200), 60)
+    slot = rnd.integers(0, 400, len(doc)) + 400 * kind[doc]
+    prior, log_p = lm_scoring.fit_classes(doc, slot, np.ones(len(doc)))
+    best = np.array([(prior + log_p[slot[doc == d]].sum(0)).argmax() for d in range(200)])
+    assert all(len({*best[kind == k]} & {*best[kind != k]}) == 0 for k in range(3))
+
+
 def test_pair_probabilities_are_a_distribution():
     """Over all words of one byte and their continuations no more than everything is given out."""
     rnd = np.random.default_rng(3)
