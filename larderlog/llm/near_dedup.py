@@ -40,6 +40,8 @@ MISSED = 1e-7
 BROADCAST_IDS = 1_000_000
 #: Stand-in ids for rows without doc_id begin here.
 NO_ID = 1 << 62
+#: Candidate pairs per member above which a node's candidates are confirmed together.
+PAIRS_A_MEMBER, NO_MEMBER = 4, -(1 << 63)
 
 
 def trees_for(similarity: float, missed: float = MISSED) -> int:
@@ -118,16 +120,66 @@ def _confirmed(percent: int):
     return run
 
 
-def _confirm(docs: DataFrame, pairs: DataFrame, percent: int, purpose: str) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
+def _cluster_links(percent: int):
+    """Links that join each cluster's similar members, by exact counts of shared shingles; rows come sorted by cluster."""
+    def links_of(ids: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+        ids, first = np.unique(ids, return_index=True)
+        sets = [sets[i] for i in first]
+        size = np.array([len(x) for x in sets])
+        owner = np.repeat(np.arange(len(sets)), size)
+        order = np.argsort(np.concatenate(sets), kind="stable")
+        flat, owner = np.concatenate(sets)[order], owner[order]
+        starts = np.concatenate(([0], np.nonzero(flat[1:] != flat[:-1])[0] + 1, [len(flat)]))
+        shared = np.zeros((len(sets), len(sets)), dtype=np.int32)
+        for s, e in zip(starts[:-1], starts[1:]):
+            if e - s > 1:
+                shared[np.ix_(owner[s:e], owner[s:e])] += 1
+        linked = 100 * shared >= percent * (size[:, None] + size[None, :] - shared)
+        # One link to reach each member from its component's first is enough.
+        found, left = [], np.ones(len(sets), dtype=bool)
+        for root in range(len(sets)):
+            if left[root]:
+                left[root], front = False, [root]
+                while front:
+                    i = front.pop()
+                    near = np.nonzero(linked[i] & left)[0]
+                    left[near] = False
+                    front += near.tolist()
+                    found += [(int(ids[i]), int(ids[j])) for j in near]
+        return found
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here, ids, sets = None, [], []
+        for rows in batches:
+            links = []
+            for cluster, own, data in zip(rows["cluster"], rows["_id"], rows["shingles"]):
+                if cluster != here:
+                    links += links_of(np.array(ids), sets) if ids else []
+                    here, ids, sets = cluster, [], []
+                ids.append(own)
+                sets.append(np.frombuffer(data, np.uint64))
+            yield pd.DataFrame(links, columns=["a", "b"], dtype=np.int64)
+        if ids:
+            yield pd.DataFrame(links_of(np.array(ids), sets), columns=["a", "b"], dtype=np.int64)
+
+    return run
+
+
+def _confirm(docs: DataFrame, pairs: DataFrame, percent: int, purpose: str, clusters: DataFrame | None = None) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets are similar enough, and links inside the clusters (cluster, _id)."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("_id"))
+    ids = (ids if clusters is None else ids.unionByName(clusters.select("_id"))).distinct()
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     texts = docs.join(ids, "_id", "left_semi").dropDuplicates(["_id", "_text"]).select("_id", "text")
     sets = settled(texts.mapInPandas(_full_sets, "_id long, shingles binary"), f"{purpose}-sets")
     both = pairs.join(sets.select(F.col("_id").alias("a"), F.col("shingles").alias("set_a")), "a").join(
         sets.select(F.col("_id").alias("b"), F.col("shingles").alias("set_b")), "b"
     )
-    return settled(both.mapInPandas(_confirmed(percent), "a long, b long").distinct(), f"{purpose}-links")
+    links = both.mapInPandas(_confirmed(percent), "a long, b long")
+    if clusters is not None:
+        dealt = clusters.join(sets, "_id").repartition("cluster").sortWithinPartitions("cluster", "_id")
+        links = links.unionByName(dealt.mapInPandas(_cluster_links(percent), "a long, b long"))
+    return settled(links.distinct(), f"{purpose}-links")
 
 
 def _alike(n: Column, m: Column, percent: int) -> Column:
@@ -136,7 +188,12 @@ def _alike(n: Column, m: Column, percent: int) -> Column:
 
 
 def _node_pairs(percent: int, differing: int):
-    """Candidate pairs across labels inside each node; rows come sorted by node."""
+    """Candidates across labels inside each node; rows come sorted by node.
+
+    A node with few candidate pairs gives the pairs; one with many gives the
+    members that have any, as a cluster (with NO_MEMBER for ``b``), so that what
+    leaves a node stays in proportion to its members.
+    """
     def pairs_of(ids, labels, sizes, sketch):
         differ = np.zeros((len(ids), len(ids)), dtype=np.uint16)
         for w in range(4):
@@ -159,7 +216,7 @@ def _node_pairs(percent: int, differing: int):
             yield found(rest)
 
     def found(rows: pd.DataFrame) -> pd.DataFrame:
-        a, b = [], []
+        a, b, cluster = [], [], []
         if len(rows):
             node = rows["node"].to_numpy()
             starts = np.concatenate(([0], np.nonzero(node[1:] != node[:-1])[0] + 1, [len(node)]))
@@ -168,10 +225,17 @@ def _node_pairs(percent: int, differing: int):
             for s, e in zip(starts[:-1], starts[1:]):
                 if e - s > 1:
                     x, y = pairs_of(ids[s:e], labels[s:e], sizes[s:e], sketch[s:e])
+                    crowd = np.unique(np.concatenate((x, y)))
+                    if len(x) > PAIRS_A_MEMBER * len(crowd):
+                        x, y, own = crowd, np.full(len(crowd), NO_MEMBER), np.full(len(crowd), node[s])
+                    else:
+                        own = np.zeros(len(x), dtype=np.int64)
                     a.append(x)
                     b.append(y)
+                    cluster.append(own)
         none = np.empty(0, dtype=np.int64)
-        return pd.DataFrame({"a": np.concatenate([none, *a]), "b": np.concatenate([none, *b])})
+        whole = [np.concatenate([none, *part]) for part in (a, b, cluster)]
+        return pd.DataFrame(dict(zip(("a", "b", "cluster"), whole)))
 
     return run
 
@@ -181,7 +245,7 @@ _MEMBER = ["node", "_id", "n", "label", *_SKETCH]
 
 def _compare_nodes(rows: DataFrame, percent: int, differing: int) -> DataFrame:
     dealt = rows.select(*_MEMBER).repartition("node").sortWithinPartitions("node")
-    return dealt.mapInPandas(_node_pairs(percent, differing), "a long, b long")
+    return dealt.mapInPandas(_node_pairs(percent, differing), "a long, b long, cluster long")
 
 
 def _sized(rows: DataFrame) -> DataFrame:
@@ -259,8 +323,10 @@ def similar_groups(docs: DataFrame, percent: int = 80) -> DataFrame:
     pairs = candidates[0]
     for more_pairs in candidates[1:]:
         pairs = pairs.unionByName(more_pairs)
-    pairs = settled(pairs.distinct().join(star, ["a", "b"], "left_anti"), "node-pairs")
-    links = _confirm(texts, pairs, percent, "node")
+    found = settled(pairs.distinct(), "node-candidates")
+    pairs = found.where(F.col("b") != NO_MEMBER).select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
+    clusters = found.where(F.col("b") == NO_MEMBER).select("cluster", F.col("a").alias("_id"))
+    links = _confirm(texts, pairs, percent, "node", clusters)
 
     all_links = labels.select(F.col("id").alias("a"), F.col("label").alias("b")).unionByName(links)
     final = components(all_links)

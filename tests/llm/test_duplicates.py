@@ -75,10 +75,11 @@ def _near(rows, percent):
     return {(i, len(s), union.find(i), union.find(i) == i) for i, s in sets}
 
 
-@pytest.mark.parametrize(("percent", "members"), [(85, 1024), (80, 1024), (85, 4)])
-def test_near_groups_against_brute_force(spark, monkeypatch, percent, members):
-    """With four members a node, everything branches and ends in blocks."""
+@pytest.mark.parametrize(("percent", "members", "pairs"), [(85, 1024, 4), (80, 1024, 0), (85, 4, 4)])
+def test_near_groups_against_brute_force(spark, monkeypatch, percent, members, pairs):
+    """With four members a node, everything branches and ends in blocks; with no pair a member, all candidates are clusters."""
     monkeypatch.setattr(near_dedup, "NODE_MEMBERS", members)
+    monkeypatch.setattr(near_dedup, "PAIRS_A_MEMBER", pairs)
     monkeypatch.setattr(near_dedup, "LEVELS", 2)
     rows = corpus(7)
     got = {tuple(r) for r in near_dedup.similar_groups(frame(spark, rows), percent).collect() if r["doc_id"] is not None}
