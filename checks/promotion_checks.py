@@ -40,14 +40,14 @@ def promo_sightings(spark, folder):
     )
 
 
-@check(CAMPAIGN_SQL + "FROM campaigns")
+@check(CAMPAIGN_SQL + ", is_active FROM campaigns")
 def campaigns_folded(spark, folder):
     """Two batches folded one after the other equal one SQL aggregate over all sightings."""
     seen, firms = sightings(spark, folder)
     early = F.col("captured_at") < F.lit(AS_OF).cast("timestamp")
     first = state.fold_campaigns(empty_table(spark, "campaigns"), state.campaign_rows(seen.where(early), firms))
     second = state.fold_campaigns(first, state.campaign_rows(seen.where(~early), firms))
-    return plain(second.where("is_active"), *CAMPAIGN_COLUMNS)
+    return plain(second, *CAMPAIGN_COLUMNS, "is_active")
 
 
 @check(
@@ -103,11 +103,12 @@ def promo_targets(spark, folder):
 @check(
     """
 SELECT company_id, count(*) FILTER (len(promo_codes) = 0
-  AND captured_at > TIMESTAMP '1998-06-01' - INTERVAL 6 HOUR) AS recent FROM prices GROUP BY company_id
+  AND captured_at > TIMESTAMP '1998-11-20' - INTERVAL 6 HOUR) AS recent FROM prices GROUP BY company_id
 """
 )
 def no_code_coverage(spark, folder):
-    return plain(promotions.no_code_coverage(star_tables(spark, folder).prices, now=AS_OF))
+    """As of the last days of the data, so that few companies have recent quotes."""
+    return plain(promotions.no_code_coverage(star_tables(spark, folder).prices, now="1998-11-20"))
 
 
 @check(
@@ -160,13 +161,19 @@ def primary_promo(spark, folder):
 
 @check(
     """
-SELECT company_id, promo_codes[1] AS code, max(code_discount_c) > 0 AS works, count(*) AS quotes,
-  CAST(max(code_discount_c) AS DOUBLE) / 100 AS best_discount
-FROM prices WHERE len(promo_codes) > 0 GROUP BY ALL
+SELECT company_id, promo_codes[1] AS code, max(granted) > 0 AS works, count(*) AS quotes,
+  CAST(max(granted) AS DOUBLE) / 100 AS best_discount
+FROM (SELECT *, CASE WHEN CAST(company_id AS BIGINT) % 3 = 0 THEN 0 ELSE code_discount_c END AS granted FROM prices)
+WHERE len(promo_codes) > 0 GROUP BY ALL
 """
 )
 def promo_validity(spark, folder):
-    return plain(promotions.promo_validity(star_tables(spark, folder).prices))
+    """Every third company grants nothing for its codes."""
+    prices = star_tables(spark, folder).prices
+    amount = "total_promo_code_discount"
+    nothing = F.col("company_id").cast("bigint") % 3 == 0
+    granted = F.when(nothing, F.lit(0)).otherwise(F.col(amount)).cast(prices.schema[amount].dataType)
+    return plain(promotions.promo_validity(prices.withColumn(amount, granted)))
 
 
 LEAVES = {

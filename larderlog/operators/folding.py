@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import same_key_join
@@ -111,13 +111,15 @@ def retire(
     several days at once equal to folding them one by one.
     """
     last = seen.groupBy(*keys).agg(F.max(at).alias("_last_listed"))
-    runs = seen.groupBy(scope).agg(F.collect_set(at).alias("_runs"))
+    runs = seen.select(scope, F.col(at).alias("_last_listed")).distinct()
+    order = Window.partitionBy(scope).orderBy("_last_listed")
+    runs = runs.withColumn("_next", F.lead("_last_listed").over(order))
+    first = seen.groupBy(scope).agg(F.min(at).alias("_first"))
     out = same_key_join(current, last, keys, "left")
-    out = same_key_join(out, runs, [scope], "left")
-    missed = F.filter(
-        "_runs", lambda r: F.col("_last_listed").isNull() | (r > F.col("_last_listed"))
-    )
-    return out.withColumn(closed, F.coalesce(F.col(closed), F.array_min(missed))).select(*current.columns)
+    out = same_key_join(out, runs, [scope, "_last_listed"], "left")
+    out = same_key_join(out, first, [scope], "left")
+    missed = F.when(F.col("_last_listed").isNull(), F.col("_first")).otherwise(F.col("_next"))
+    return out.withColumn(closed, F.coalesce(F.col(closed), missed)).select(*current.columns)
 
 
 def first_known(df: DataFrame, keys: Sequence[str], value: str, priority: Sequence[str]) -> DataFrame:

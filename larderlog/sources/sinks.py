@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,19 +48,27 @@ def append_observations(
 def write_state(df: DataFrame, root: str, version: int) -> str:
     """Write the next state as its own version; plain Parquet has no MERGE.
 
-    Writing a version again (a retried batch) replaces it.
+    Writing a version again (a retried batch) replaces it.  Its number is noted
+    in ``versions`` once its rows are written: a version without note does not
+    count.
     """
-    path = f"{root.rstrip('/')}/version={version}"
+    root = root.rstrip("/")
+    path = f"{root}/version={version}"
     df.write.mode("overwrite").parquet(path)
+    note = df.sparkSession.range(1).select(F.lit(version).cast("long").alias("version"))
+    note.write.mode("overwrite").parquet(f"{root}/versions/{version}")
     return path
 
 
 def state_versions(spark: SparkSession, root: str) -> list[int]:
-    """Committed versions under ``root`` (a version without _SUCCESS does not count)."""
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/version=*/_SUCCESS"))
-    return sorted(int(s.getPath().getParent().getName().split("=")[1]) for s in found or [])
+    """Committed versions under ``root``."""
+    try:
+        notes = spark.read.schema("version long").parquet(f"{root.rstrip('/')}/versions/*")
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return []
+        raise
+    return sorted(r["version"] for r in notes.distinct().collect())
 
 
 def read_state(spark: SparkSession, root: str, schema, before: int | None = None) -> DataFrame:
