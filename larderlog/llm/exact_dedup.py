@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.joins import same_key_join
 from .common import WHITE, settled, spread_join, table, text_of
 
 #: Least and greatest characters of a chunk.
@@ -95,7 +96,8 @@ def exact_groups(docs: DataFrame, salts: int = 64) -> DataFrame:
     parts = salted.groupBy(*key, "_part").agg(best.alias("_best"), F.count(F.lit(1)).alias("_rows"))
     groups = parts.groupBy(*key).agg(F.min("_best").alias("_best"), F.sum("_rows").alias("group_size"))
     groups = groups.select(*key, F.col("_best.id").alias("keep_id"), "group_size")
-    judged = spread_join(rows, groups, key, ["doc_id"], salts=salts)
+    # Back by the parts that exist, at most ``salts`` of a group.
+    judged = same_key_join(salted, same_key_join(parts.select(*key, "_part"), groups, key), [*key, "_part"])
     return judged.select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
