@@ -67,7 +67,7 @@ def strictly_earlier(
     instants = instants.withColumn("_seg", F.date_trunc(unit, at))
     inside = Window.partitionBy(*keys, "_seg").orderBy(at)
     carried = _carried(instants, keys, F.col("_values"), F.col(at))
-    lookup = same_key_join(
-        instants.withColumn("_inside", F.lag("_values").over(inside)), carried, [*keys, "_seg"], "left"
-    ).select(*keys, at, F.coalesce("_inside", "_carry").alias(name))
+    # No key is NULL here, so the join keeps the partitioning of the window.
+    lookup = instants.withColumn("_inside", F.lag("_values").over(inside)).join(carried, [*keys, "_seg"], "left")
+    lookup = lookup.select(*keys, at, F.coalesce("_inside", "_carry").alias(name))
     return usable.join(lookup, [*keys, at], "left").select(*df.columns, name)
