@@ -31,7 +31,7 @@ from .common import settled, spread_join, table, text_of
 #: Characters of a chunk; longer documents are cut.  Chunks whose matrices one task combines.
 CHUNK, SPAN = 32_768, 64
 #: Word segments and pairs of pieces that a task remembers.
-SEGMENTS, PAIRS = 400_000, 400_000
+SEGMENTS, PAIRS = 200_000, 200_000
 SPACE_MARK = "▁"
 NEVER = -np.inf
 
@@ -114,6 +114,10 @@ class Pieces:
             out += [known] if known is not None else [self.byte_ids[b] for b in p.encode("utf-8")]
         return out
 
+    @staticmethod
+    def marked(text: str) -> str:
+        return SPACE_MARK + text.replace(" ", SPACE_MARK) if text else ""
+
     def segment(self, text: str) -> tuple[int, ...]:
         known = self.segments.get(text)
         if known is None:
@@ -223,6 +227,13 @@ def _unpacked(rows: int, data: bytes) -> np.ndarray:
     return np.frombuffer(data, dtype=np.float32).reshape(rows, -1)
 
 
+def _slices(batches: Iterator[pd.DataFrame], rows: int = 200) -> Iterator[pd.DataFrame]:
+    """A few rows at a time: what a task makes of them is larger than they are."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.iloc[at:at + rows]
+
+
 def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[list]:
     """Lists of rows that agree on ``keys``; rows come sorted by them."""
     held, here = [], None
@@ -241,8 +252,9 @@ def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[list]:
 def _short(file: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = pieces_of(file)
-        for rows in batches:
-            yield pd.DataFrame({"doc_id": rows["doc_id"], "text": rows["text"], "ids": [p.encode(t) for t in rows["marked"]]})
+        for rows in _slices(batches):
+            ids = [np.array(p.encode(p.marked(t)), dtype=np.int32) for t in rows["text"]]
+            yield pd.DataFrame({"doc_id": rows["doc_id"], "text": rows["text"], "ids": ids})
 
     return run
 
@@ -312,10 +324,8 @@ def _traced_chunks(file: str):
 def _decoded(file: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = pieces_of(file)
-        for rows in batches:
-            out = rows.copy()
-            out["decoded"] = [p.decode(ids) for ids in rows["ids"]]
-            yield out
+        for rows in _slices(batches):
+            yield rows.assign(decoded=[p.decode(ids) for ids in rows["ids"]])
 
     return run
 
@@ -327,12 +337,13 @@ def encode_pieces(docs: DataFrame, file: str, chunk: int = CHUNK, span: int = SP
     begin or end.  Null and empty texts have no ids; repeated rows are encoded
     row by row; an empty table gives no rows; other columns are ignored.
     """
-    rows = docs.select("doc_id", text_of().alias("text")).withColumn("marked", marked(F.col("text")))
-    done = rows.where(F.length("marked") <= chunk).mapInPandas(_short(file), "doc_id long, text string, ids array<int>")
+    rows = docs.select("doc_id", text_of().alias("text"))
+    short = F.length("text") < chunk  # a mark goes in front
+    done = rows.where(short).mapInPandas(_short(file), "doc_id long, text string, ids array<int>")
 
     # Chunks with as much of their neighbours as a piece may span.
     margin = pieces_of(file).longest
-    giant = rows.where(F.length("marked") > chunk).withColumn("key", F.unhex(F.sha2("text", 256)))
+    giant = rows.where(~short).withColumn("key", F.unhex(F.sha2("text", 256))).withColumn("marked", marked(F.col("text")))
     last = F.floor((F.length("marked") - 1) / chunk).cast("int")
     cut = giant.dropDuplicates(["key"]).select("key", "marked", last.alias("last"), F.explode(F.sequence(F.lit(0), last)).alias("at"))
     at = F.col("at") * chunk
