@@ -75,7 +75,7 @@ class Matcher:
                     rest += w * w
                     if rest >= similar * similar * 0.999:
                         strong.add(t)
-        self.strong = re.compile("|".join(map(re.escape, sorted(strong))), re.IGNORECASE) if strong else None
+        self.strong = frozenset(strong)
 
     def vector(self, terms: Counter) -> dict[str, float]:
         v = {t: n * self.idf.get(t, self.unknown) for t, n in terms.items()}
@@ -83,16 +83,17 @@ class Matcher:
         return {t: w / norm for t, w in v.items()}
 
     def best(self, text: str) -> tuple[str | None, float]:
-        if self.strong is None or not self.strong.search(text):
+        terms = terms_of(text)
+        if self.strong.isdisjoint(terms):
             return None, 0.0
-        v = self.vector(terms_of(text))
+        v = self.vector(terms)
         score, name = max((sum(w * v.get(t, 0.0) for t, w in template.items()), name) for name, template in self.templates)
         return (name, score) if score >= self.similar else (None, 0.0)
 
     def of_file(self, text: str, whole: bool) -> tuple[str | None, float, str | None]:
         """Best (licence, cosine, version) among the lines, and the whole text if ``whole``; the first among equals."""
         found: tuple[str | None, float, str | None] = (None, 0.0, None)
-        if self.strong is None or not self.strong.search(text):
+        if self.strong.isdisjoint(_TERM.findall(text.lower())):
             return found
         for unit in [*text.split("\n"), *([text] if whole else [])]:
             name, score = self.best(unit)
