@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import spread_join, table
+from .common import settled, spread_join, table
 
 SIMILAR = 0.7
 #: Public licence notices, by licence.
@@ -145,10 +145,10 @@ def scan_licenses(files: DataFrame, templates: dict[str, list[str]] = TEMPLATES,
     total = df.pop("", 0)
     idf = {t: math.log((total + 1) / (df.get(t, 0) + 1)) + 1 for t in terms}
     matcher = Matcher(templates, idf, math.log(total + 1) + 1, similar)
-    own = files.mapInPandas(
+    own = settled(files.mapInPandas(
         _own_licences(matcher),
         "doc_id long, path string, is_licence_file boolean, license string, similarity double, version string",
-    )
+    ), "own-licences")
 
     folder = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
     rank = F.struct((-F.col("similarity")).alias("s"), F.col("path").alias("p"))
