@@ -3,6 +3,7 @@ from collections import Counter
 from zlib import crc32
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from larderlog.llm import lm_scoring, toxicity
@@ -116,3 +117,16 @@ def test_pair_probabilities_are_a_distribution():
     weights, refined = lm_scoring.Mixer.averaged([(1.0, mixer.weights, mixer.hits)])
     total = (10 ** lm_scoring.log10_of([(1, w) for w in [*short, lm_scoring.END]], code, n0, n1, owners, weights, refined)).sum()
     assert 0 < total <= 1 + 1e-9
+
+
+def test_most_contexts_of_rare_words_have_a_slot():
+    rnd = np.random.default_rng(11)
+    words = sorted({bytes(w) for w in rnd.integers(97, 123, (30000, 7), dtype=np.uint8)})
+    code = lm_scoring.prefix_code(np.bincount(np.frombuffer(b"".join(words), dtype=np.uint8), minlength=256))
+    pairs = pd.DataFrame({"cls": 0, "word": words, "n": 1})
+    got = pd.concat(lm_scoring._slot_counts(code)(iter([pairs])))
+    n0, n1, owners = (np.zeros(int(lm_scoring.FIRST[-1]), dtype=np.int64) for _ in range(3))
+    n0[got["slot"]], n1[got["slot"]], owners[got["slot"]] = got["n0"], got["n1"], got["mark"]
+    _, _, slots, marks = lm_scoring.bit_events([(0, w) for w in words], code)
+    known = sum(lm_scoring.looked_up(slots, marks, n0, n1, owners)) > 0
+    assert known[3].mean() > 0.78 and known[4].mean() > 0.78
