@@ -4,7 +4,8 @@ Many weak voters (groups of mined terms, a small insult lexicon, patterns) vote
 on every document.  A generative label model, in which each voter depends on the
 hidden label and on one other voter, estimates their accuracies and
 correlations by EM over the vote patterns of all documents; documents with a
-training label keep it.  A linear classifier learns the model's posterior from a
+training label keep it.  Terms are mined from distinct labelled texts; every term with
+enough support and significance is dealt to a voter.  A linear classifier learns the model's posterior from a
 bounded sample and gives the score.
 """
 
@@ -20,12 +21,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settled, table
+from .common import settled, table, text_of
 
-#: Bounds: labelled rows that terms are mined from, documents that the linear classifier is fitted on.
-LABELLED_ROWS, FITTED_ROWS = 200_000, 20_000
-#: Mined terms, voters they are dealt to, and the least toxic documents and share of them a term needs.
-TERMS, TERM_VOTERS, LEAST_DOCS, LEAST_SHARE = 192, 8, 3, 0.6
+#: Bounds: distinct labelled texts that terms are mined from, documents that the linear classifier is fitted on.
+LABELLED_TEXTS, FITTED_ROWS = 200_000, 20_000
+#: Voters that terms are dealt to, and the least toxic texts and share of them a term needs.
+TERM_VOTERS, LEAST_DOCS, LEAST_SHARE = 8, 3, 0.6
+#: Least log-likelihood ratio of a term against the share of toxic texts (chi-squared of one degree, 0.1 %).
+SIGNIFICANT = 10.83
 PREFIXES = (4, 6)
 THRESHOLD = 0.3
 
@@ -59,14 +62,35 @@ def _term_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"term": terms, "clean": [seen[0][t] for t in terms], "toxic": [seen[1][t] for t in terms]})
 
 
+def distinct_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(text, toxic): each labelled text once, at most LABELLED_TEXTS; of copies the largest label counts."""
+    sha = F.unhex(F.sha2(text_of(), 256))
+    named = docs.select("doc_id", sha.alias("_sha")).join(labels, "doc_id")
+    chosen = named.groupBy("_sha").agg(F.max("toxic").alias("toxic"), F.min("doc_id").alias("doc_id"))
+    # At most LABELLED_TEXTS rows of 44 bytes are broadcast.
+    chosen = chosen.orderBy("_sha").limit(LABELLED_TEXTS)
+    texts = docs.select("doc_id", text_of().alias("text"), sha.alias("_sha"))
+    return texts.join(F.broadcast(chosen), ["doc_id", "_sha"]).groupBy("_sha").agg(
+        F.first("text").alias("text"), F.first("toxic").alias("toxic")
+    ).select("text", "toxic")
+
+
 def mine_terms(labelled: DataFrame) -> list[str]:
-    """The terms of (text, toxic) that mark toxic documents best, at most TERMS."""
+    """All terms of (text, toxic) that mark toxic documents with enough support and significance, the best first."""
     counts = labelled.select("text", "toxic").mapInPandas(_term_counts, "term string, clean long, toxic long")
-    counts = counts.groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    share = F.col("toxic") / (F.col("toxic") + F.col("clean"))
-    good = counts.where((F.col("term") != "") & (F.col("toxic") >= LEAST_DOCS) & (share >= LEAST_SHARE))
+    counts = settled(counts.groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "term-counts")
+    every = counts.where("term = ''").first()
+    if every is None or not every["clean"] or not every["toxic"]:
+        base = 0.5
+    else:
+        base = every["toxic"] / (every["toxic"] + every["clean"])
+    n = F.col("toxic") + F.col("clean")
+    share = F.col("toxic") / n
+    part = lambda k, p: F.when(k > 0, k * F.log(k / (n * p))).otherwise(0.0)
+    ratio = 2 * (part(F.col("toxic"), base) + part(F.col("clean"), 1 - base))
+    good = counts.where((F.col("term") != "") & (F.col("toxic") >= LEAST_DOCS) & (share >= LEAST_SHARE) & (share > base) & (ratio >= SIGNIFICANT))
     weight = F.col("toxic") * F.log((F.col("toxic") + 1) / (F.col("clean") + 1))
-    return [r["term"] for r in good.orderBy(weight.desc(), "term").limit(TERMS).collect()]
+    return [r["term"] for r in good.orderBy(weight.desc(), "term").collect()]
 
 
 def _observed(terms: list[str]):
@@ -161,26 +185,34 @@ class LabelModel:
         return self
 
 
-def _design(votes: np.ndarray, hits, terms: int) -> np.ndarray:
-    """Features of the linear classifier: terms, voters, number of terms."""
-    x = np.zeros((len(votes), terms + VOTERS + 1))
-    for i, h in enumerate(hits):
-        x[i, list(h)] = 1
-        x[i, -1] = min(len(h), 8)
-    x[:, terms:terms + VOTERS] = (votes[:, None] >> np.arange(VOTERS)) & 1
-    return x
+def _design(votes: np.ndarray, hits, terms: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features of the linear classifier as (row, column, value): terms, voters, number of terms."""
+    every, none = np.arange(len(votes)), np.empty(0, dtype=np.int64)
+    size = np.array([len(h) for h in hits], dtype=np.int64)
+    voted, voter = np.nonzero((votes[:, None] >> np.arange(VOTERS)) & 1)
+    row = np.concatenate((np.repeat(every, size), voted, every))
+    column = np.concatenate([none, *hits, voter + terms, np.full(len(votes), terms + VOTERS)]).astype(np.int64)
+    value = np.concatenate((np.ones(size.sum() + len(voted)), np.minimum(size, 8)))
+    return row, column, value
+
+
+def _dot(x, w: np.ndarray, rows: int) -> np.ndarray:
+    row, column, value = x
+    return np.bincount(row, weights=value * w[column], minlength=rows)
 
 
-def fit_linear(x: np.ndarray, q: np.ndarray, steps: int = 300, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
+def fit_linear(x, columns: int, q: np.ndarray, steps: int = 300, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
     """Logistic regression on soft labels by accelerated gradient steps."""
-    w, b = np.zeros(x.shape[1]), math.log((q.mean() + 1e-3) / (1 - q.mean() + 1e-3)) if len(q) else -3.0
+    w, b = np.zeros(columns), math.log((q.mean() + 1e-3) / (1 - q.mean() + 1e-3)) if len(q) else -3.0
     if not len(q):
         return w, b
-    rate = 4 / (np.square(x).sum(1).max() + 1)
+    row, column, value = x
+    rate = 4 / (np.bincount(row, weights=np.square(value)).max() + 1)
     vw, vb = w.copy(), b
     for k in range(steps):
-        err = 1 / (1 + np.exp(-np.clip(x @ vw + vb, -40, 40))) - q
-        nw, nb = vw - rate * (x.T @ err / len(q) + ridge * vw), vb - rate * err.mean()
+        err = 1 / (1 + np.exp(-np.clip(_dot(x, vw, len(q)) + vb, -40, 40))) - q
+        slope = np.bincount(column, weights=value * err[row], minlength=columns)
+        nw, nb = vw - rate * (slope / len(q) + ridge * vw), vb - rate * err.mean()
         vw, vb = nw + k / (k + 3) * (nw - w), nb + k / (k + 3) * (nb - b)
         w, b = nw, nb
     return w, b
@@ -197,9 +229,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     usable = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)")
     usable = usable.where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    # At most LABELLED_ROWS rows of 12 bytes are broadcast.
-    sample = usable.orderBy(F.xxhash64("doc_id")).limit(LABELLED_ROWS)
-    terms = mine_terms(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"))
+    terms = mine_terms(distinct_texts(docs, usable))
 
     seen = docs.select("doc_id", held_out().alias("held_out"), "text")
     schema = "doc_id long, held_out boolean, votes int, hits array<int>"
@@ -214,13 +244,13 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     target = model.posterior(votes) if len(votes) else np.zeros(0)
     known = fitted["label"].notna().to_numpy()
     target[known] = fitted["label"][known].to_numpy(dtype=float)
-    w, b = fit_linear(_design(votes, fitted["hits"], len(terms)), target)
+    w, b = fit_linear(_design(votes, fitted["hits"], len(terms)), len(terms) + VOTERS + 1, target)
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             x = _design(rows["votes"].to_numpy(dtype=np.int64), rows["hits"], len(terms))
             out = rows[["doc_id", "held_out", "votes"]].copy()
-            out["score"] = 1 / (1 + np.exp(-np.clip(x @ w + b, -40, 40)))
+            out["score"] = 1 / (1 + np.exp(-np.clip(_dot(x, w, len(rows)) + b, -40, 40)))
             yield out
 
     scores = seen.mapInPandas(scored, "doc_id long, held_out boolean, votes int, score double")

@@ -130,3 +130,23 @@ def test_most_contexts_of_rare_words_have_a_slot():
     _, _, slots, marks = lm_scoring.bit_events([(0, w) for w in words], code)
     known = sum(lm_scoring.looked_up(slots, marks, n0, n1, owners)) > 0
     assert known[3].mean() > 0.78 and known[4].mean() > 0.78
+
+
+def test_copies_of_one_toxic_text_leave_the_other_terms(spark):
+    rnd = np.random.default_rng(7)
+    word = lambda: "".join(chr(97 + c) for c in rnd.integers(0, 26, 9))
+    marks, copied = [word() for _ in range(20)], " ".join(word() for _ in range(300))
+    rows = [(i, f"{word()} {marks[i % 20]} {word()}", 1) for i in range(200)]
+    rows += [(1000 + i, f"{word()} {word()} {word()}", 0) for i in range(800)]
+    rows += [(5000 + i, copied, 1) for i in range(1000)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, toxic int")
+    terms = toxicity.mine_terms(toxicity.distinct_texts(docs, labels))
+    assert {*marks} <= {*terms} and not {*copied.split()} & {*terms}
+
+
+def test_every_term_with_support_and_significance_is_mined(spark):
+    named = [f"{a}{b}xyz" for a in "abcdefghijklmnopqrst" for b in "abcdefghijklmnopqrst"]
+    rows = [(w, 1) for w in named for _ in range(5)] + [("clean", 0)] * 9000
+    terms = toxicity.mine_terms(spark.createDataFrame(rows, "text string, toxic int"))
+    assert {*named} <= {*terms} and "clean" not in terms
