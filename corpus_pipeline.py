@@ -1,10 +1,10 @@
 """Cleaning a corpus: toxicity, exact and near duplicates, benchmark leaks, encoding.
 
 Every stage takes (spark, docs, sf_dir) and returns what it keeps; its rows are
-written to the shared folder and read again as the next stage's documents.  Rows
-that repeat a doc_id count as one document: it goes if one of its rows is toxic
-or leaks a benchmark item, and stays if a duplicate stage keeps one of its rows.
-Rows without doc_id are judged together as one document likewise.
+written to the shared folder and read again as the next stage's documents.  A
+document is a pair of doc_id and text: each is judged by its own text, also if
+its doc_id is null or repeats with other texts.  Of equal pairs the duplicate
+stages keep one row.
 """
 
 from __future__ import annotations
@@ -12,44 +12,86 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larderlog.llm.common import settled, table
+from larderlog.llm.common import settled, spread_join, table, text_key
 from larderlog.llm.decontamination import contaminated
 from larderlog.llm.exact_dedup import exact_groups
 from larderlog.llm.near_dedup import similar_groups
 from larderlog.llm.sentencepieces import decode_pieces, encode_pieces
-from larderlog.llm.toxicity import toxicity_scores
+from larderlog.llm.toxicity import toxicity_of_texts
 
-#: Ids of at most so many documents (16 MB) are broadcast; more are joined by shuffle.
+#: Keys of at most so many documents (16 to 50 MB) are broadcast; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 PIECE_MODEL = "piece_bpe_32k.model"
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose doc_id is not among ``ids`` (one column, null equal to null)."""
-    ids = settled(ids.select(F.col("doc_id").alias("_gone")).distinct(), "dropped-ids")
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+#: Stand-in ids of rows whose doc_id does not tell them apart begin here, below those of near_dedup.
+STAND_IN = 1 << 61
 
 
-def _never_kept(judged: DataFrame) -> DataFrame:
-    return judged.groupBy("doc_id").agg(F.bool_or("kept").alias("_kept")).where("NOT _kept")
+def _small(rows: DataFrame) -> DataFrame:
+    """The frame with a broadcast hint if it is proven small; else Spark joins it by shuffle."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
+
+
+def _told_apart(docs: DataFrame) -> DataFrame:
+    """The documents with ``_row``: the doc_id, or a stand-in where it is null or has an earlier text too."""
+    keyed = docs.withColumn("_sha", text_key())
+    texts = keyed.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_doc"))
+    repeated = texts.agg(F.min("_sha").alias("_first"), F.max("_sha").alias("_last")).where("_first <> _last")
+    repeated = settled(repeated.select("_doc", "_first"), "repeated-ids")
+    stand_in = F.lit(STAND_IN) + F.shiftrightunsigned(F.xxhash64("doc_id", "_sha"), 3)
+    own = F.col("doc_id").isNotNull() & F.coalesce(F.col("_first") == F.col("_sha"), F.lit(True))
+    if repeated.count() <= BROADCAST_IDS:
+        joined = keyed.join(F.broadcast(repeated), F.col("doc_id") == F.col("_doc"), "left")
+    else:
+        joined = spread_join(keyed, repeated.withColumnRenamed("_doc", "doc_id"), ["doc_id"], ["_sha"])
+    return joined.withColumn("_row", F.when(own, F.col("doc_id")).otherwise(stand_in)).select(*docs.columns, "_row")
+
+
+def _judged_apart(rows: DataFrame) -> DataFrame:
+    """(doc_id, text) for an operator that takes each row's ``_row`` as its doc_id."""
+    return rows.select(F.col("_row").alias("doc_id"), "text")
+
+
+def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows whose ``_row`` is not among ``gone`` (doc_id)."""
+    gone = _small(settled(gone.select(F.col("doc_id").alias("_gone")).distinct(), "dropped-rows"))
+    return rows.join(gone, F.col("_row") == F.col("_gone"), "left_anti")
+
+
+def _once(rows: DataFrame) -> DataFrame:
+    """One row of each ``_row``; only those that repeat are moved."""
+    several = rows.groupBy(F.col("_row").alias("_several")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_several")
+    several = settled(several, "repeated-rows")
+    if several.isEmpty():
+        return rows
+    several, same = _small(several), F.col("_row") == F.col("_several")
+    return rows.join(several, same, "left_anti").unionByName(rows.join(several, same, "left_semi").dropDuplicates(["_row"]))
+
+
+def _without_duplicates(docs: DataFrame, groups) -> DataFrame:
+    rows = _told_apart(docs)
+    return _once(_without(rows, groups(_judged_apart(rows)).where("NOT kept"))).drop("_row")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scores = toxicity_scores(docs, table(spark, sf_dir, "labels"))
-    return _without(docs, scores.where("predicted = 1"))
+    # The score depends on the text alone, so equal texts share their decision.
+    scores = toxicity_of_texts(docs, table(spark, sf_dir, "labels"))
+    toxic = _small(settled(scores.where("predicted = 1").select("text_sha").distinct(), "toxic-texts"))
+    return docs.withColumn("_sha", text_key()).join(toxic, F.col("_sha") == F.col("text_sha"), "left_anti").drop("_sha")
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, _never_kept(exact_groups(docs)))
+    return _without_duplicates(docs, exact_groups)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, _never_kept(similar_groups(docs)))
+    return _without_duplicates(docs, similar_groups)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, contaminated(docs, table(spark, sf_dir, "benchmark")))
+    rows = _told_apart(docs)
+    return _without(rows, contaminated(_judged_apart(rows), table(spark, sf_dir, "benchmark"))).drop("_row")
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,6 +25,11 @@ def text_of(c: str | Column = "text") -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
+def text_key(c: str | Column = "text") -> Column:
+    """SHA-256 of the text, null as empty."""
+    return F.unhex(F.sha2(text_of(c).cast("binary"), 256))
+
+
 def lowered(c: Column) -> Column:
     """A-Z lower-cased, every other character as it is."""
     return F.translate(c, UPPER, LOWER)

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settled, table, text_of
+from .common import settled, table, text_key, text_of
 
 #: Bounds: distinct labelled texts that terms are mined from, documents that the linear classifier is fitted on.
 LABELLED_TEXTS, FITTED_ROWS = 200_000, 20_000
@@ -64,7 +64,7 @@ def _term_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def distinct_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(text, toxic): each labelled text once, at most LABELLED_TEXTS; of copies the largest label counts."""
-    sha = F.unhex(F.sha2(text_of(), 256))
+    sha = text_key()
     named = docs.select("doc_id", sha.alias("_sha")).join(labels, "doc_id")
     chosen = named.groupBy("_sha").agg(F.max("toxic").alias("toxic"), F.min("doc_id").alias("doc_id"))
     # At most LABELLED_TEXTS rows of 44 bytes are broadcast.
@@ -113,7 +113,7 @@ def _observed(terms: list[str]):
                 v |= (text.count("!") >= 3) << (TERM_VOTERS + 3)
                 votes.append(v)
                 found.append(hits)
-            out = rows[["doc_id", "held_out"]].copy()
+            out = rows[["doc_id", "held_out", "text_sha"]].copy()
             out["votes"], out["hits"] = votes, found
             yield out
 
@@ -219,7 +219,12 @@ def fit_linear(x, columns: int, q: np.ndarray, steps: int = 300, ridge: float =
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted, votes of every row of (doc_id, text).
+    """The rows of ``toxicity_of_texts`` without the text's hash."""
+    return toxicity_of_texts(docs, labels).drop("text_sha")
+
+
+def toxicity_of_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, held_out, score, predicted, votes, text_sha (SHA-256) of every row of (doc_id, text).
 
     ``labels``: (doc_id, toxic); the largest label of a doc_id counts, null ones
     don't.  Labels of held-out rows are never read into the model; without any
@@ -231,8 +236,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     usable = usable.where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     terms = mine_terms(distinct_texts(docs, usable))
 
-    seen = docs.select("doc_id", held_out().alias("held_out"), "text")
-    schema = "doc_id long, held_out boolean, votes int, hits array<int>"
+    seen = docs.select("doc_id", held_out().alias("held_out"), text_key().alias("text_sha"), "text")
+    schema = "doc_id long, held_out boolean, text_sha binary, votes int, hits array<int>"
     seen = settled(seen.mapInPandas(_observed(terms), schema), "votes")
     marked = seen.join(usable, "doc_id", "left").withColumn("label", F.when(~F.col("held_out"), F.col("toxic")))
     patterns = marked.groupBy("votes", "label").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 3 * 2 ** VOTERS rows
@@ -249,12 +254,12 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             x = _design(rows["votes"].to_numpy(dtype=np.int64), rows["hits"], len(terms))
-            out = rows[["doc_id", "held_out", "votes"]].copy()
+            out = rows[["doc_id", "held_out", "votes", "text_sha"]].copy()
             out["score"] = 1 / (1 + np.exp(-np.clip(_dot(x, w, len(rows)) + b, -40, 40)))
             yield out
 
-    scores = seen.mapInPandas(scored, "doc_id long, held_out boolean, votes int, score double")
-    return scores.select("doc_id", "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "votes")
+    scores = seen.mapInPandas(scored, "doc_id long, held_out boolean, votes int, text_sha binary, score double")
+    return scores.select("doc_id", "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "votes", "text_sha")
 
 
 def op9_label_model(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
+import hashlib
 import importlib
 
 import corpus_pipeline
-from larderlog.llm import licenses, queries
+from larderlog.llm import licenses, queries, toxicity
 from tests.llm.fixtures import corpus, frame
 
 SF = "/root/testdata/sf0.001"
@@ -80,3 +81,26 @@ def test_toxic_documents_go(spark):
 def test_every_operator_has_its_query():
     assert [f"op{n}" for n in range(1, 11)] == sorted((k.split("_")[0] for k in queries.QUERIES), key=lambda x: int(x[2:]))
     assert importlib.import_module("__spark_entry__").queries().keys() >= {*queries.QUERIES, "pipeline"}
+
+
+def test_rows_without_or_with_repeated_ids_are_judged_by_their_own_text(spark):
+    leak = spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"]
+    insult = "you pathetic idiot moron and your worthless stupid loser scum face!!! @#$%"
+    text = lambda k: " ".join(f"{k}w{i}" for i in range(60))
+    rows = [(i, text(f"d{i}")) for i in range(30)] + [(100 + i, f"{insult} {i}") for i in range(10)]
+    rows += [(None, text("a")), (None, text("b")), (None, text("b")), (None, f"{insult} null"), (None, "see " + leak)]
+    rows += [(7, f"{insult} seven"), (8, "look " + leak), (9, text("d1")), (9, text("e"))]
+    docs = frame(spark, rows)
+    steps = dict(corpus_pipeline.STAGES)
+    texts = lambda df: sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"]) for r in df.collect())
+    rest = lambda gone: sorted((i is None, i or 0, t) for i, t in rows if not gone(i, t))
+    safe = steps["decontamination"](spark, docs, SF)
+    assert texts(safe) == rest(lambda i, t: leak in t)
+    for stage in ("exact_dedup", "near_dedup"):
+        once = texts(steps[stage](spark, docs.where(~docs.text.contains(insult)), SF))
+        assert [t for n, _, t in once if n and t == text("b")] == [text("b")] and (True, 0, text("a")) in once
+        assert [i for _, i, t in once if t == text("d1")] == [1] and (False, 9, text("e")) in once and (False, 9, text("d9")) in once
+    judged = toxicity.toxicity_of_texts(docs, spark.read.parquet(f"{SF}/labels.parquet")).where("predicted = 1").collect()
+    bad = {bytes(r["text_sha"]) for r in judged}
+    clean = texts(steps["toxicity"](spark, docs, SF))
+    assert clean == rest(lambda i, t: hashlib.sha256(t.encode()).digest() in bad)
