@@ -23,6 +23,7 @@ from .common import settled, spread_join, table
 SIMILAR = 0.7
 #: Public licence notices, by licence.
 TEMPLATES = {
+    "AGPL": ["This program is licensed under the GNU Affero General Public License, version 3."],
     "Apache": [
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
@@ -31,20 +32,54 @@ TEMPLATES = {
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
         "Use of this source code is governed by a BSD-style license.",
     ],
+    "BSL": ["Distributed under the Boost Software License, Version 1.0."],
+    "CC-BY": [
+        "Licensed under CC BY 4.0.",
+        "This work is licensed under a Creative Commons Attribution International License.",
+    ],
     "CC-BY-NC": [
         "Licensed under CC BY-NC 4.0.",
         "This work is licensed under a Creative Commons Attribution-NonCommercial International License.",
     ],
+    "CC-BY-NC-SA": [
+        "Licensed under CC BY-NC-SA 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike International License.",
+    ],
+    "CC-BY-ND": [
+        "Licensed under CC BY-ND 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives International License.",
+    ],
+    "CC-BY-SA": [
+        "Licensed under CC BY-SA 4.0.",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike International License.",
+    ],
+    "CC0": [
+        "Released under CC0 1.0.",
+        "This work is dedicated to the public domain under the Creative Commons CC0 Universal Public Domain Dedication.",
+    ],
+    "EPL": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0."],
     "GPL": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.",
     ],
+    "ISC": [
+        "Released under the ISC License.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+    ],
+    "LGPL": [
+        "This library is licensed under the GNU Lesser General Public License, version 3.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.",
+    ],
     "MIT": [
         "Released under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.",
     ],
     "MPL": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
+    "Proprietary": ["All rights reserved."],
+    "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
+#: No licence but a notice that none is given; it counts where a file has no other.
+RESERVED = "Proprietary"
 
 _TERM = re.compile(r"[a-z]+")
 _VERSION = re.compile(r"\d+(?:\.\d+)*")
@@ -91,13 +126,17 @@ class Matcher:
         return (name, score) if score >= self.similar else (None, 0.0)
 
     def of_file(self, text: str, whole: bool) -> tuple[str | None, float, str | None]:
-        """Best (licence, cosine, version) among the lines, and the whole text if ``whole``; the first among equals."""
+        """Best (licence, cosine, version) among the lines, and the whole text if ``whole``; the first among equals.
+
+        Reserved rights come last: they often stand above the licence proper.
+        """
         found: tuple[str | None, float, str | None] = (None, 0.0, None)
         if self.strong.isdisjoint(_TERM.findall(text.lower())):
             return found
         for unit in [*text.split("\n"), *([text] if whole else [])]:
             name, score = self.best(unit)
-            if name and score > found[1] + 1e-12:
+            over = (name != RESERVED, score) > (found[0] != RESERVED, found[1] + 1e-12)
+            if name and (found[0] is None or over):
                 number = _VERSION.search(unit)
                 found = (name, score, number.group() if number else None)
         return found
@@ -112,7 +151,8 @@ def _document_frequency(terms: list[str]):
             for text in rows["text"]:
                 seen.update(known.intersection(_TERM.findall((text or "").lower())))
                 seen[""] += 1
-        yield pd.DataFrame({"term": list(seen), "n": list(seen.values())})
+        if seen:
+            yield pd.DataFrame({"term": list(seen), "n": list(seen.values())})
 
     return run
 
@@ -132,7 +172,8 @@ def scan_licenses(files: DataFrame, templates: dict[str, list[str]] = TEMPLATES,
     """Licence of every row of (doc_id, path, text, is_licence_file).
 
     Returns doc_id, path, license, similarity, version, via (``own``,
-    ``directory`` or null), from_path.  Null and empty texts have no licence of
+    ``reserved``, ``directory`` or null), from_path.  A file that only reserves
+    its rights is proprietary (``reserved``) and inherits nothing.  Null and empty texts have no licence of
     their own; a row without path inherits nothing and passes nothing on; of
     several licence files in a directory the most similar counts, then the first
     path; repeated rows are judged alike.  An empty table gives no rows; other
@@ -165,7 +206,7 @@ def scan_licenses(files: DataFrame, templates: dict[str, list[str]] = TEMPLATES,
     return judged.select(
         "doc_id", "path", F.coalesce("license", "_given.license").alias("license"), "similarity",
         F.when(mine, F.col("version")).otherwise(F.col("_given.version")).alias("version"),
-        F.when(mine, "own").when(F.col("_given").isNotNull(), "directory").alias("via"),
+        F.when(F.col("license") == RESERVED, "reserved").when(mine, "own").when(F.col("_given").isNotNull(), "directory").alias("via"),
         F.when(mine, F.col("path")).otherwise(F.col("_given.path")).alias("from_path"),
     )
 

@@ -104,3 +104,27 @@ def test_rows_without_or_with_repeated_ids_are_judged_by_their_own_text(spark):
     bad = {bytes(r["text_sha"]) for r in judged}
     clean = texts(steps["toxicity"](spark, docs, SF))
     assert clean == rest(lambda i, t: hashlib.sha256(t.encode()).digest() in bad)
+
+
+def test_all_kinds_of_licence_lines_are_found(spark):
+    """Brute force over the five kinds of lines in the documents."""
+    kinds = {"Apache": "licensed under the apache license", "CC-BY-NC": "licensed under cc by-nc", "GPL": "gnu general public license",
+             "MIT": "released under the mit license", "Proprietary": "all rights reserved"}
+    sf = SF.replace("0.001", "0.1")
+    own = {r["doc_id"]: r["license"] for r in licenses.op3_license_scan(spark, sf).where("via IN ('own', 'reserved')").collect()}
+    named = {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").where("text IS NOT NULL").select("doc_id", "text").collect():
+        if hits := {k for k, line in kinds.items() if line in r["text"].lower()}:
+            named[r["doc_id"]] = hits - {"Proprietary"} or hits
+    assert own.keys() == named.keys() and all(own[i] in hits for i, hits in named.items())
+
+
+def test_reserved_rights_stop_inheritance_and_yield_to_a_licence(spark):
+    line = "All rights reserved."
+    files = [(1, "a/LICENSE", licenses.TEMPLATES["MIT"][0], True), (2, "a/x.txt", f"Text\n{line}", False), (3, "a/y.txt", "text", False),
+             (4, "b/x.txt", f"{line}\nLicensed under CC BY 3.0.", False), (5, "b/y.txt", f"Released under the ISC License.\n{line}", False),
+             (6, "c/x.txt", "Licensed under CC BY-SA 4.0.", False), (7, "c/y.txt", licenses.TEMPLATES["LGPL"][1], False)]
+    df = spark.createDataFrame(files, "doc_id long, path string, text string, is_licence_file boolean")
+    got = {r["doc_id"]: (r["license"], r["via"]) for r in licenses.scan_licenses(df).collect()}
+    assert got == {1: ("MIT", "own"), 2: ("Proprietary", "reserved"), 3: ("MIT", "directory"), 4: ("CC-BY", "own"), 5: ("ISC", "own"),
+                   6: ("CC-BY-SA", "own"), 7: ("LGPL", "own")}
