@@ -150,3 +150,11 @@ def test_every_term_with_support_and_significance_is_mined(spark):
     rows = [(w, 1) for w in named for _ in range(5)] + [("clean", 0)] * 9000
     terms = toxicity.mine_terms(spark.createDataFrame(rows, "text string, toxic int"))
     assert {*named} <= {*terms} and "clean" not in terms
+
+
+def test_the_class_is_judged_at_every_token():
+    tokens = lm_scoring.tokens_of("ein kurzer Text")
+    log_p = np.full((1 << lm_scoring.WORD_BITS, lm_scoring.CLASSES), -9.0, dtype=np.float32)
+    log_p[lm_scoring._SLOTS[tokens[0]], 3] = -1
+    log_p[lm_scoring._SLOTS[tokens[2]], 5] = 5
+    assert lm_scoring._classes_of(tokens, np.zeros(lm_scoring.CLASSES), log_p) == [0, 3, 3, 5]
