@@ -63,6 +63,7 @@ def _spelled(text: str) -> np.ndarray:
     letter = _Table.letters[points]
     points = np.where(letter, points, np.uint32(32))
     keep = letter.copy()
+    keep[:1] = True
     keep[1:] |= letter[:-1]
     return points[keep]
 
