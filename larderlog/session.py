@@ -8,12 +8,14 @@ import uuid
 from pyspark.sql import SparkSession
 
 # Day buckets depend on the time zone; skewed joins and oversized or tiny
-# shuffle partitions are left to adaptive execution.
+# shuffle partitions are left to adaptive execution.  Batches for Python workers
+# are bounded by bytes, as one text may be as long as ten thousand others.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8388608",
 }
 
 # Used only where the session names no shared folder.
