@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from larderlog.plans import promotions, state, work
+from larderlog.schemas import table
+from larderlog.session import work_folder
+from larderlog.sources.buckets import BucketedState
 from larderlog.sources.normalise import known_companies
 from larderlog.sources.starviews import companies, load, promo_observations, star_tables
 from larderlog.sources.tables import empty_table
@@ -50,6 +53,18 @@ def campaigns_folded(spark, folder):
     return plain(second, *CAMPAIGN_COLUMNS, "is_active")
 
 
+@check(CAMPAIGN_SQL + ", is_active FROM campaigns")
+def campaigns_folded_bucketed(spark, folder):
+    """A batch per year of sightings; each rewrites only the key-hash buckets it touches."""
+    seen, firms = sightings(spark, folder)
+    kept = BucketedState(spark, work_folder(spark, "campaign-buckets"), table("campaigns"), ["code", "source", "company_id"], 16)
+    first, last = seen.agg(F.min(F.year("captured_at")), F.max(F.year("captured_at"))).first()
+    for year in range(first, last + 1):
+        rows = state.campaign_rows(seen.where(F.year("captured_at") == year), firms)
+        kept.fold(rows, state.fold_campaigns, year)
+    return plain(kept.read(), *CAMPAIGN_COLUMNS, "is_active")
+
+
 @check(
     """
 SELECT code, source, company_id, NOT (last_seen_at < TIMESTAMP '2001-06-01' - INTERVAL 24 HOUR

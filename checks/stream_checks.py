@@ -8,6 +8,7 @@ from larderlog.plans import state
 from larderlog.schemas import REJECT_COLUMN, table
 from larderlog.session import work_folder
 from larderlog.sources import normalise
+from larderlog.sources.buckets import BucketedState
 from larderlog.sources.payloads import stream_payload
 from larderlog.sources.sinks import read_state
 from larderlog.sources.starviews import companies, load, price_series, promo_observations
@@ -91,6 +92,22 @@ def campaign_stream(spark, folder):
     return plain(read_state(spark, f"{out}/state", table("campaigns")), *CAMPAIGN_COLUMNS)
 
 
+@check(CAMPAIGN_SQL + "FROM campaigns")
+def campaign_bucket_stream(spark, folder):
+    """Sightings land in eight files, one micro-batch each; at most two versions of a bucket can be read."""
+    firms = companies(load(spark, folder, "supplier"))
+    out = work_folder(spark, "campaign-buckets")
+    landed = load(spark, folder, "orders")
+    landed.repartition(8, "o_orderpriority", "o_orderstatus").write.parquet(f"{out}/landed")
+    orders = spark.readStream.schema(landed.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/landed")
+    kept = BucketedState(spark, f"{out}/state", table("campaigns"), ["code", "source", "company_id"], buckets=16, keep=2)
+    ingest.bucketed_fold_stream(
+        promo_observations(orders), state.fold_campaigns, kept, f"{out}/checkpoint",
+        lambda batch: state.campaign_rows(batch, firms),
+    ).awaitTermination()
+    return plain(kept.read(), *CAMPAIGN_COLUMNS)
+
+
 @check(
     f"""
 SELECT CAST(l_partkey // 20 AS VARCHAR) AS company_id, l_partkey AS diet_calories_id, l_extendedprice AS total_cost,

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.dates import bucket
+from ..sources.buckets import BucketedState
 from ..sources.payloads import split_rejects
 from ..sources.sinks import read_state, write_state
 
@@ -73,6 +74,29 @@ def fold_stream(
     )
 
 
+def bucketed_fold_stream(
+    rows: DataFrame,
+    fold: Callable[[DataFrame, DataFrame], DataFrame],
+    state: BucketedState,
+    checkpoint: str,
+    prepare: Callable[[DataFrame], DataFrame] = lambda batch: batch,
+) -> StreamingQuery:
+    """Fold every micro-batch into a bucketed state; a batch costs the buckets it touches.
+
+    ``prepare`` normalises a batch before its keys are hashed.  A batch that is
+    run again after a failure gives the same version.
+    """
+    def step(batch: DataFrame, batch_id: int) -> None:
+        state.fold(prepare(batch), fold, batch_id)
+
+    return (
+        rows.writeStream.foreachBatch(step)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def without_redelivery(rows: DataFrame, keys: list[str], at: str = "captured_at", delay: str = "2 days") -> DataFrame:
     """Drop observations delivered again within the watermark delay."""
     return rows.withWatermark(at, delay).dropDuplicatesWithinWatermark([*keys, at])
