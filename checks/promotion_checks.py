@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from larderlog.plans import promotions, state, work
+from larderlog.plans import offers, promotions, state, work
 from larderlog.schemas import table
 from larderlog.session import work_folder
 from larderlog.sources.buckets import BucketedState
@@ -144,6 +144,37 @@ def promo_rollup(spark, folder):
     return plain(rows, "company_id", "code", "discount_percents", "deadline", "promo_text", "sources")
 
 
+def _in_force(*keys: str) -> str:
+    """Every sighting with the five-day quote in force, by an as-of join."""
+    same = " AND ".join(f"o.{k} = p.{k}" for k in keys)
+    return f"""
+SELECT o.id, o.code, p.id AS price_id, CAST(p.per_day_net_c AS DOUBLE) / 100 AS price_per_day,
+  strftime(p.captured_at, {STAMP}) AS quoted_at
+FROM observations o ASOF LEFT JOIN (
+  SELECT * FROM prices WHERE order_days = 5
+  QUALIFY row_number() OVER (PARTITION BY {', '.join(keys)}, captured_at ORDER BY id DESC) = 1) p
+  ON {same} AND o.captured_at >= p.captured_at
+"""
+
+
+def _sighted_prices(spark, folder, *keys):
+    seen = known_companies(*sightings(spark, folder))
+    rows = offers.prices_in_force(seen, star_tables(spark, folder).prices, keys, unit="month")
+    return plain(rows, "id", "code", "price_id", "price_per_day", "quoted_at")
+
+
+@check(_in_force("company_id", "city_id"))
+def promo_prices(spark, folder):
+    """The price in force at every promotion sighting, per company and city."""
+    return _sighted_prices(spark, folder, "company_id", "city_id")
+
+
+@check(_in_force("city_id"))
+def promo_prices_hot_keys(spark, folder):
+    """A few cities hold all rows of both tables."""
+    return _sighted_prices(spark, folder, "city_id")
+
+
 CHIPS = {
     "chips": """SELECT DISTINCT ON (company_id, code) company_id, code, discount_c,
         CASE WHEN company_id IS NULL THEN 'global' ELSE 'company' END AS scope

@@ -9,6 +9,7 @@ plain window; the wide rows are exchanged once, the summaries are narrow.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -71,3 +72,46 @@ def strictly_earlier(
     lookup = instants.withColumn("_inside", F.lag("_values").over(inside)).join(carried, [*keys, "_seg"], "left")
     lookup = lookup.select(*keys, at, F.coalesce("_inside", "_carry").alias(name))
     return usable.join(lookup, [*keys, at], "left").select(*df.columns, name)
+
+
+def as_of_values(
+    df: DataFrame,
+    other: DataFrame,
+    keys: Sequence[str],
+    at: str,
+    values: Sequence[str],
+    tie: str,
+    other_at: str | None = None,
+    strict: bool = False,
+    name: str = "matched",
+    unit: str = "day",
+) -> DataFrame:
+    """As-of join of two tables: ``values`` of the newest row of ``other`` not later than each row's ``at``.
+
+    Every row of ``df`` stays; ``name`` is NULL where nothing came before, where
+    a key is NULL or the time is.  With ``strict`` a row at the same instant does not count.  Of
+    rows of ``other`` at one instant the highest ``tie`` speaks.  Matched rows whose values are
+    NULL give a non-NULL struct.
+
+    Both sides are reduced to their distinct instants, which absorbs pile-ups, and
+    meet in one window per (key, segment of time); a narrow summary row per segment carries the last
+    value on.  The rows themselves are joined once, by equality.  ``unit`` is
+    the length of a segment; it does not change the result.
+    """
+    value = F.struct(*values)
+    known = other.select(*keys, F.col(other_at or at).alias("_at"), value.alias("_value"), F.col(tie).alias("_tie"))
+    known = known.dropna(subset=[*keys, "_at"]).groupBy(*keys, "_at").agg(F.max_by("_value", "_tie").alias("_value"))
+    asked = df.select(*keys, F.col(at).alias("_at")).dropna().distinct().withColumn("_asked", F.lit(True))
+    both = known.unionByName(asked, allowMissingColumns=True).groupBy(*keys, "_at").agg(
+        F.first("_value", True).alias("_value"), F.max("_asked").alias("_asked")
+    ).withColumn("_seg", F.date_trunc(unit, "_at"))
+
+    own = F.when(F.col("_value").isNotNull(), F.col("_at"))
+    last = both.groupBy(*keys, "_seg").agg(F.max_by("_value", own).alias("_last"))
+    earlier = Window.partitionBy(*keys).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select(*keys, "_seg", F.last("_last", True).over(earlier).alias("_carry"))
+    inside = Window.partitionBy(*keys, "_seg").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1 if strict else 0)
+    lookup = both.withColumn("_inside", F.last("_value", True).over(inside)).where("_asked").join(carried, [*keys, "_seg"])
+    lookup = lookup.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_at", F.coalesce("_inside", "_carry").alias(name))
+    same = [F.col(k) == F.col(f"_k_{k}") for k in keys] + [F.col(at) == F.col("_at")]
+    return df.join(lookup, reduce(Column.__and__, same), "left").select(*[df[c] for c in df.columns], name)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import as_date
 from ..functions.keys import offer_key
 from ..operators.keyed import top_rows
+from ..operators.sequence import as_of_values
 from ..sources.tables import Tables
 from .arguments import OFFER_DAYS, offer_limit
 
@@ -51,6 +54,25 @@ def offer_prices(prices: DataFrame, days: int = OFFER_DAYS) -> DataFrame:
     ).select("city_id", "diet_calories_id", F.col("per_day_cost_with_discounts").alias("price_per_day"))
 
 
+def prices_in_force(
+    asked: DataFrame, prices: DataFrame, keys: Sequence[str] = ("company_id", "city_id"), at: str = "captured_at",
+    days: int = OFFER_DAYS, unit: str = "day",
+) -> DataFrame:
+    """Adds the quote in force at each row's instant: the newest of the offer length up to then.
+
+    ``asked`` has the ``keys`` and a time, a promotion sighting for instance; the rule is
+    that of ``offer_prices`` at that instant.  Quotes of one instant are told apart by
+    their id, the highest stands.  Without a quote the three columns are NULL.
+    """
+    quotes = prices.where(F.col("order_days") == days)
+    quotes = quotes.withColumnsRenamed({"id": "price_id", "per_day_cost_with_discounts": "price_per_day"})
+    found = as_of_values(
+        asked, quotes.withColumn("quoted_at", F.col("captured_at")), list(keys), at, ["price_id", "price_per_day", "quoted_at"],
+        "price_id", other_at="captured_at", name="_quote", unit=unit,
+    )
+    return found.select(*asked.columns, "_quote.price_id", "_quote.price_per_day", "_quote.quoted_at")
+
+
 def _campaigns(t: Tables, as_of) -> DataFrame:
     return t.campaigns.where(
         F.col("is_active") & (F.col("ends_at").isNull() | (F.col("ends_at") >= as_date(as_of)))

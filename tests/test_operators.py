@@ -11,6 +11,7 @@ from larderlog.operators.compare import snapshot_diff
 from larderlog.operators.folding import Policy, first_known, replace_groups, retire, upsert
 from larderlog.operators.joins import keep_known, same_key_join
 from larderlog.operators.keyed import best_per_bucket, current_with_previous, latest_rows
+from larderlog.operators import sequence
 from larderlog.operators.sequence import previous_values, strictly_earlier
 
 from .conftest import rows, ts
@@ -195,3 +196,23 @@ def test_snapshot_diff(spark):
     b = spark.createDataFrame([(1, None, 6), (1, 2, None), (4, 2, 1), (3, 3, 0)], "k int, n int, v int")
     assert sorted(rows(snapshot_diff(a, b, ["k", "n"], ["v"])), key=str) == [
         (1, None, "changed", 5, 6), (2, 2, "removed", 1, None), (3, 3, "changed", None, 0), (4, 2, "added", None, 1)]
+
+
+@pytest.mark.parametrize("strict", [False, True])
+@pytest.mark.parametrize("unit", ["hour", "day", "year"])
+def test_as_of_join_against_brute_force(spark, strict, unit):
+    rnd = random.Random(unit + str(strict))
+    key = lambda: rnd.choice(["a", "a", "a", "b", None])
+    when = lambda: None if rnd.random() < 0.05 else datetime(2026, 1, 1) + timedelta(hours=rnd.randrange(60))
+    left = [(i, key(), when(), "left") for i in range(150)]
+    right = [(i, key(), when(), rnd.choice([None, 1.0, 2.0])) for i in range(80)]
+    df = spark.createDataFrame(left, "id long, k string, at timestamp, _value string")
+    other = spark.createDataFrame(right, "rid long, k string, seen timestamp, price double")
+    got = sequence.as_of_values(df, other, ["k"], "at", ["rid", "price"], "rid", "seen", strict, "m", unit).collect()
+    assert len(got) == len(left)
+    for r in got:
+        fits = [(t, i, p) for i, k, t, p in right if k is not None and k == r["k"] and t and r["at"] and (t < r["at"] if strict else t <= r["at"])]
+        want = max(fits, key=lambda x: x[:2])[1:] if fits else None
+        assert (tuple(r["m"]) if r["m"] else None) == want
+    assert sequence.as_of_values(df, other.limit(0), ["k"], "at", ["rid"], "rid", "seen").where("matched IS NOT NULL").count() == 0
+    assert sequence.as_of_values(df.limit(0), other, ["k"], "at", ["rid"], "rid", "seen").count() == 0
