@@ -10,6 +10,7 @@ from larderlog.functions.text import joined_line
 from larderlog.operators.keyed import best_per_bucket
 from larderlog.plans import catering, offers, pricing, snapshots
 from larderlog.plans.arguments import page_args
+from larderlog.session import work_folder
 from larderlog.sources.starviews import load, price_series, star_tables
 
 from .registry import AS_OF, MICROS, check, plain
@@ -232,6 +233,66 @@ def latest_prices(spark, folder):
     )
 
 
+def _latest_view(spark, folder, unit):
+    """A batch per week of captures; every seventh capture comes late, with the last batch."""
+    series = price_series(load(spark, folder, "events")).withColumn(
+        "_batch", F.when(F.col("id") % 7 == 0, 99).otherwise(F.weekofyear("captured_at"))
+    )
+    view = pricing.latest_view(spark, work_folder(spark, "latest-view"), unit)
+    for (batch,) in sorted(series.select("_batch").distinct().collect()):
+        view.add(series.where(F.col("_batch") == batch), batch)
+    return view
+
+
+LATEST = """
+SELECT DISTINCT ON (company_id, diet_calories_id, codes) company_id, diet_calories_id, codes AS promo_codes, id,
+  CAST(per_day_net_c AS DOUBLE) / 100 AS price
+FROM price_series {} ORDER BY company_id, diet_calories_id, codes, captured_at DESC, id DESC
+"""
+
+
+def _latest(rows):
+    return plain(rows.select(
+        "company_id", "diet_calories_id", "promo_codes", "id", F.col("per_day_cost_with_discounts").alias("price")
+    ))
+
+
+@check(LATEST.format(""))
+def latest_prices_incremental(spark, folder):
+    return _latest(_latest_view(spark, folder, "week").view())
+
+
+@check(LATEST.format("WHERE captured_at < TIMESTAMP '2024-01-16'"))
+def latest_prices_as_of(spark, folder):
+    """What was the latest price at the end of an earlier day."""
+    return _latest(_latest_view(spark, folder, "day").view(until="2024-01-15"))
+
+
+@check(
+    """
+SELECT city_id, company_id, diet_calories_id, coalesce(tier_diet_option_id, '') AS tdo, order_days,
+  strftime(bucket, '%Y-%m-%d') AS bucket, CAST(total_c AS DOUBLE) / 100 AS total_cost, id
+FROM cheapest
+"""
+)
+def cheapest_incremental(spark, folder):
+    """Quotes come in four batches, the last with captures of all years; three are rolled up meanwhile."""
+    rows, out = star_tables(spark, folder).prices, work_folder(spark, "cheapest-view")
+    year = F.year("captured_at")
+    batch = F.when(F.col("id") % 10 == 0, 4).when(year < 1994, 1).when(year < 1996, 2).otherwise(3)
+    fine = pricing.cheapest_view(spark, f"{out}/fine", "month", "month")
+    coarse = pricing.cheapest_view(spark, f"{out}/coarse", "month", "year")
+    for n in (1, 2, 3):
+        fine.add(rows.where(batch == n), n)
+    fine.roll_up(coarse, 0, 3)
+    fine.add(rows.where(batch == 4), 4)
+    best = fine.view(rolled=coarse, through=3)
+    return plain(best.select(
+        "city_id", "company_id", "diet_calories_id", F.coalesce("tier_diet_option_id", F.lit("")).alias("tdo"), "order_days",
+        F.to_date(bucket("captured_at", "month")).alias("bucket"), "total_cost", "id",
+    ))
+
+
 CHANGES = """
 SELECT p.id, p.company_id, p.diet_calories_id, p.codes, strftime(p.captured_at, '%Y-%m-%d %H:%M:%S.%f') AS captured_at,
   CAST(p.per_day_net_c AS DOUBLE) / 100 AS price, CAST(b.per_day_net_c AS DOUBLE) / 100 AS prev_per_day,

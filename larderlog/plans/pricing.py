@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dates import bucket, day_text
@@ -11,6 +11,8 @@ from ..functions.lists import comma_joined, has_any
 from ..operators.keyed import best_per_bucket, latest_rows
 from ..operators.joins import same_key_join
 from ..operators.sequence import strictly_earlier
+from ..schemas import table
+from ..sources.partials import BestRows
 from ..sources.tables import Tables
 
 SERIES = ["company_id", "diet_calories_id", "city_id", "order_days"]
@@ -57,6 +59,19 @@ def latest_prices(prices: DataFrame) -> DataFrame:
     return latest_rows(prices, QUOTED)
 
 
+def latest_view(spark: SparkSession, root: str, unit: str = "day") -> BestRows:
+    """``latest_prices`` kept up to date while captures are appended; ``until`` gives those of an earlier day."""
+    newest = [F.desc_nulls_last("captured_at"), F.desc_nulls_last("id")]
+    return BestRows(spark, root, table("prices"), QUOTED, newest, unit=unit)
+
+
+def cheapest_view(spark: SparkSession, root: str, cell: str = "day", unit: str = "day") -> BestRows:
+    """Lowest total per combination and ``cell`` of time, kept up to date while captures are appended."""
+    keys = ["city_id", "company_id", "diet_calories_id", F.coalesce("tier_diet_option_id", F.lit("")), "order_days"]
+    order = [F.asc_nulls_last("total_cost"), F.desc("captured_at"), F.desc("id")]
+    return BestRows(spark, root, table("prices"), [*keys, bucket("captured_at", cell)], order, unit=unit)
+
+
 def price_changes(prices: DataFrame, unit: str = "day") -> DataFrame:
     """Rows whose per-day price differs from the newest strictly earlier capture.
 
