@@ -11,6 +11,7 @@ from larderlog.operators.keyed import best_per_bucket
 from larderlog.plans import catering, offers, pricing, snapshots
 from larderlog.plans.arguments import page_args
 from larderlog.session import work_folder
+from larderlog.sources.sinks import write_compared
 from larderlog.sources.starviews import load, price_series, star_tables
 
 from .registry import AS_OF, MICROS, check, plain
@@ -370,8 +371,7 @@ SIDES = {
 }
 
 
-@check(
-    """
+PRICE_DIFF = """
 SELECT coalesce(a.company_id, b.company_id) AS company_id, coalesce(a.city_id, b.city_id) AS city_id,
   coalesce(a.diet_calories_id, b.diet_calories_id) AS diet_calories_id,
   coalesce(a.tier_diet_option_id, b.tier_diet_option_id, '') AS tdo, coalesce(a.order_days, b.order_days) AS order_days,
@@ -381,9 +381,10 @@ FROM a FULL JOIN b ON a.company_id = b.company_id AND a.city_id = b.city_id
   AND a.diet_calories_id = b.diet_calories_id AND a.order_days = b.order_days
   AND a.tier_diet_option_id IS NOT DISTINCT FROM b.tier_diet_option_id
 WHERE a.company_id IS NULL OR b.company_id IS NULL OR a.v IS DISTINCT FROM b.v
-""",
-    SIDES,
-)
+"""
+
+
+@check(PRICE_DIFF, SIDES)
 def price_snapshot_diff(spark, folder):
     prices = star_tables(spark, folder).prices
     keys = ["company_id", "city_id", "diet_calories_id", "tier_diet_option_id", "order_days"]
@@ -395,6 +396,20 @@ def price_snapshot_diff(spark, folder):
     return plain(diff.withColumn("tdo", F.coalesce("tier_diet_option_id", F.lit(""))).drop("tier_diet_option_id"))
 
 
+@check(PRICE_DIFF, SIDES)
+def price_snapshot_diff_pruned(spark, folder):
+    """The same over stored snapshots with digests per city and company."""
+    prices, out = star_tables(spark, folder).prices, work_folder(spark, "price-snapshots")
+    early = F.col("captured_at") < F.lit(AS_OF).cast("timestamp")
+    for name, which in (("a", early), ("b", ~early)):
+        side = prices.where(which).groupBy(*snapshots.PRICE_ITEM).agg(F.min("total_cost").alias("total_cost"))
+        write_compared(side, f"{out}/{name}", snapshots.PRICE_LEVELS, snapshots.PRICE_ITEM, ["total_cost"])
+    diff = snapshots.stored_diff(
+        spark, f"{out}/a", f"{out}/b", side.schema, snapshots.PRICE_LEVELS, snapshots.PRICE_ITEM, ["total_cost"]
+    )
+    return plain(diff.withColumn("tdo", F.coalesce("tier_diet_option_id", F.lit(""))).drop("tier_diet_option_id"))
+
+
 # -- offers -----------------------------------------------------------------
 
 OFFERS = {

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from larderlog.functions.keys import offer_key, slot_rank
 from larderlog.plans import menus, snapshots, state
-from larderlog.sources.sinks import settle
+from larderlog.session import work_folder
+from larderlog.sources.sinks import settle, write_compared
 from larderlog.sources.starviews import dishes, load, star_tables
 from larderlog.sources.tables import empty_table
 
@@ -243,6 +244,39 @@ def menu_snapshot_diff(spark, folder):
     return plain(snapshots.menu_diff(*sides), *keys, "meal_name", "status")
 
 
+LATER_MENUS = {
+    side: f"""SELECT company_id, city_id, diet_calories_id, tier_id, menu_date, slot_name, coalesce(name, '') AS name,
+        bool_or(is_default) AS v FROM dishes WHERE {which} GROUP BY ALL"""
+    for side, which in (("a", "captured_at < TIMESTAMP '1998-06-01'"), ("b", "true"))
+}
+
+
+@check(
+    """
+SELECT b.company_id, b.city_id, b.diet_calories_id, b.tier_id, strftime(b.menu_date, '%Y-%m-%d') AS menu_date, b.slot_name,
+  b.name AS meal_name, CASE WHEN a.company_id IS NULL THEN 'added' ELSE 'changed' END AS status,
+  a.v AS is_default_before, b.v AS is_default_after
+FROM b LEFT JOIN a ON a.company_id = b.company_id AND a.city_id = b.city_id AND a.slot_name = b.slot_name
+  AND a.diet_calories_id = b.diet_calories_id AND a.tier_id IS NOT DISTINCT FROM b.tier_id AND a.name = b.name
+  AND a.menu_date = b.menu_date
+WHERE a.company_id IS NULL OR a.v <> b.v
+""",
+    LATER_MENUS,
+)
+def menu_snapshot_diff_pruned(spark, folder):
+    """Stored menus before and after the last year's captures: the days of earlier years have equal digests."""
+    menu, out = star_tables(spark, folder).daily_menu, work_folder(spark, "menu-snapshots")
+    levels = [["menu_year"], ["menu_year", "menu_date", "company_id"]]
+    keys, values = [*snapshots.MENU_ITEM, "menu_year"], ["is_default"]
+    for name, which in (("a", F.col("captured_at") < F.lit(AS_OF).cast("timestamp")), ("b", F.lit(True))):
+        side = menu.where(which).withColumn("menu_year", F.year("menu_date"))
+        side = side.groupBy(*[k for k in keys if k != "meal_name"], F.coalesce("meal_name", F.lit("")).alias("meal_name"))
+        side = side.agg(F.bool_or("is_default").alias("is_default"))
+        write_compared(side, f"{out}/{name}", levels, keys, values)
+    diff = snapshots.stored_diff(spark, f"{out}/a", f"{out}/b", side.schema, levels, keys, values)
+    return plain(diff.drop("menu_year"))
+
+
 @check(f"SELECT slot_name, count(*) AS n, {RANK} AS rank FROM dishes GROUP BY slot_name")
 def slot_order(spark, folder):
     rows = dishes(load(spark, folder, "lineitem")).groupBy("slot_name").agg(F.count("*").alias("n"))

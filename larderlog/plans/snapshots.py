@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.compare import snapshot_diff
+from ..operators.compare import differing_partitions, pruned_snapshot_diff, snapshot_diff
 from ..operators.keyed import top_rows
+from ..sources.sinks import read_compared, settle
 
+#: Folders whose names are handed to the scan of a stored snapshot.
+MOST_FOLDERS = 10_000
+#: Days, then companies within a day, whose digests tell whether their rows are compared.
+MENU_LEVELS = [["menu_date"], ["menu_date", "company_id"]]
+PRICE_LEVELS = [["city_id"], ["city_id", "company_id"]]
+PRICE_ITEM = ["company_id", "city_id", "diet_calories_id", "tier_diet_option_id", "order_days"]
 MENU_ITEM = ["company_id", "city_id", "diet_calories_id", "tier_id", "menu_date", "slot_name", "meal_name"]
 
 
@@ -42,5 +49,27 @@ def menu_diff(before: DataFrame, after: DataFrame, values: list[str] | None = No
 
 
 def price_diff(before: DataFrame, after: DataFrame) -> DataFrame:
-    keys = ["company_id", "city_id", "diet_calories_id", "tier_diet_option_id", "order_days"]
-    return snapshot_diff(before, after, keys, ["total_cost"])
+    return snapshot_diff(before, after, PRICE_ITEM, ["total_cost"])
+
+
+def stored_diff(
+    spark: SparkSession, before: str, after: str, schema, levels: list[list[str]], keys: list[str], values: list[str]
+) -> DataFrame:
+    """Difference of two snapshots that ``sinks.write_compared`` wrote.
+
+    Digests of both are compared first, coarse partitions before fine ones; rows
+    of equal partitions are not shuffled, and files of equal coarse partitions are not read.
+    """
+    digests = (spark.read.parquet(f"{path.rstrip('/')}/digests") for path in (before, after))
+    wanted = settle(differing_partitions(*digests, levels), "differing")
+    # The scan is told the differing values of each folder column; where there are very many, it reads all.
+    told = []
+    for c in levels[0]:
+        found = [r[0] for r in wanted.select(c).distinct().limit(MOST_FOLDERS + 1).collect()]
+        if len(found) <= MOST_FOLDERS:
+            named = F.col(c).isin([v for v in found if v is not None])
+            told.append(named | F.col(c).isNull() if None in found else named)
+    sides = [read_compared(spark, path, schema) for path in (before, after)]
+    for condition in told:
+        sides = [side.where(condition) for side in sides]
+    return pruned_snapshot_diff(*sides, wanted, keys, values)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dates import bucket
+from ..operators.compare import partition_digests
 from ..operators.joins import same_key_join
 from ..session import work_folder
 
@@ -137,3 +140,21 @@ def write_snapshot(documents: DataFrame, path: str) -> None:
         .partitionBy("city_id", "snapshot_date")
         .json(path)
     )
+
+
+def write_compared(rows: DataFrame, path: str, levels: Sequence[Sequence[str]], keys: Sequence[str], values: Sequence[str]) -> None:
+    """Write one snapshot with the digests by which ``plans.snapshots.stored_diff`` prunes.
+
+    Rows are partitioned by the columns of the first level and sorted by those
+    of the last inside the files; digests are one narrow row per partition of the last level.
+    """
+    path = path.rstrip("/")
+    coarse, fine = list(levels[0]), list(levels[-1])
+    clustered = rows.select(*dict.fromkeys([*keys, *values])).hint("rebalance", *coarse).sortWithinPartitions(*coarse, *fine)
+    clustered.write.mode("overwrite").partitionBy(*coarse).parquet(f"{path}/rows")
+    written = read_compared(rows.sparkSession, path, rows.select(*dict.fromkeys([*keys, *values])).schema)
+    partition_digests(written, fine, keys, values).write.mode("overwrite").parquet(f"{path}/digests")
+
+
+def read_compared(spark: SparkSession, path: str, schema) -> DataFrame:
+    return spark.read.schema(schema).parquet(f"{path.rstrip('/')}/rows")
