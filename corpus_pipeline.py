@@ -4,7 +4,10 @@ Every stage takes (spark, docs, sf_dir) and returns what it keeps; its rows are
 written to the shared folder and read again as the next stage's documents.  A
 document is a pair of doc_id and text: each is judged by its own text, also if
 its doc_id is null or repeats with other texts.  Of equal pairs the duplicate
-stages keep one row.
+stages keep one row.  Null and empty texts are one text without words: not
+toxic, exact duplicates of each other, near duplicates of nothing.  Texts are read whole,
+however long.  An empty table stays empty.  Every other column is handed on
+as it is, whatever its name.
 """
 
 from __future__ import annotations
@@ -33,65 +36,77 @@ def _small(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """Each document as one struct ``kept`` beside its doc_id, text and key: no column's name can clash."""
+    return docs.select(F.struct("*").alias("kept"), "doc_id", "text", text_key().alias("sha"))
+
+
 def _told_apart(docs: DataFrame) -> DataFrame:
-    """The documents with ``_row``: the doc_id, or a stand-in where it is null or has an earlier text too."""
-    keyed = docs.withColumn("_sha", text_key())
-    texts = keyed.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_doc"))
-    repeated = texts.agg(F.min("_sha").alias("_first"), F.max("_sha").alias("_last")).where("_first <> _last")
-    repeated = settled(repeated.select("_doc", "_first"), "repeated-ids")
-    stand_in = F.lit(STAND_IN) + F.shiftrightunsigned(F.xxhash64("doc_id", "_sha"), 3)
-    own = F.col("doc_id").isNotNull() & F.coalesce(F.col("_first") == F.col("_sha"), F.lit(True))
+    """``_packed`` rows with ``row``: the doc_id, or a stand-in where it is null or has an earlier text too."""
+    keyed = _packed(docs)
+    texts = keyed.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("doc"))
+    repeated = texts.agg(F.min("sha").alias("first"), F.max("sha").alias("last")).where("first <> last")
+    repeated = settled(repeated.select("doc", "first"), "repeated-ids")
+    stand_in = F.lit(STAND_IN) + F.shiftrightunsigned(F.xxhash64("doc_id", "sha"), 3)
+    own = F.col("doc_id").isNotNull() & F.coalesce(F.col("first") == F.col("sha"), F.lit(True))
     if repeated.count() <= BROADCAST_IDS:
-        joined = keyed.join(F.broadcast(repeated), F.col("doc_id") == F.col("_doc"), "left")
+        joined = keyed.join(F.broadcast(repeated), F.col("doc_id") == F.col("doc"), "left")
     else:
-        joined = spread_join(keyed, repeated.withColumnRenamed("_doc", "doc_id"), ["doc_id"], ["_sha"])
-    return joined.withColumn("_row", F.when(own, F.col("doc_id")).otherwise(stand_in)).select(*docs.columns, "_row")
+        joined = spread_join(keyed, repeated.withColumnRenamed("doc", "doc_id"), ["doc_id"], ["sha"])
+    return joined.select("kept", "text", F.when(own, F.col("doc_id")).otherwise(stand_in).alias("row"))
 
 
 def _judged_apart(rows: DataFrame) -> DataFrame:
-    """(doc_id, text) for an operator that takes each row's ``_row`` as its doc_id."""
-    return rows.select(F.col("_row").alias("doc_id"), "text")
+    """(doc_id, text) for an operator that takes each document's ``row`` as its doc_id."""
+    return rows.select(F.col("row").alias("doc_id"), "text")
 
 
 def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
-    """The rows whose ``_row`` is not among ``gone`` (doc_id)."""
-    gone = _small(settled(gone.select(F.col("doc_id").alias("_gone")).distinct(), "dropped-rows"))
-    return rows.join(gone, F.col("_row") == F.col("_gone"), "left_anti")
+    """The rows whose ``row`` is not among ``gone`` (doc_id)."""
+    gone = _small(settled(gone.select(F.col("doc_id").alias("gone")).distinct(), "dropped-rows"))
+    return rows.join(gone, F.col("row") == F.col("gone"), "left_anti")
 
 
 def _once(rows: DataFrame) -> DataFrame:
-    """One row of each ``_row``; only those that repeat are moved."""
-    several = rows.groupBy(F.col("_row").alias("_several")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_several")
+    """One of the rows that agree on ``row``; only those that repeat are moved."""
+    several = rows.groupBy(F.col("row").alias("several")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("several")
     several = settled(several, "repeated-rows")
     if several.isEmpty():
         return rows
-    several, same = _small(several), F.col("_row") == F.col("_several")
-    return rows.join(several, same, "left_anti").unionByName(rows.join(several, same, "left_semi").dropDuplicates(["_row"]))
+    several, same = _small(several), F.col("row") == F.col("several")
+    return rows.join(several, same, "left_anti").unionByName(rows.join(several, same, "left_semi").dropDuplicates(["row"]))
 
 
 def _without_duplicates(docs: DataFrame, groups) -> DataFrame:
     rows = _told_apart(docs)
-    return _once(_without(rows, groups(_judged_apart(rows)).where("NOT kept"))).drop("_row")
+    return _once(_without(rows, groups(_judged_apart(rows)).where("NOT kept"))).select("kept.*")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # The score depends on the text alone, so equal texts share their decision.
+    """The documents that are not predicted toxic.
+
+    The score depends on the text alone, so equal texts share their decision,
+    whatever their doc_id.
+    """
     scores = toxicity_of_texts(docs, table(spark, sf_dir, "labels"))
     toxic = _small(settled(scores.where("predicted = 1").select("text_sha").distinct(), "toxic-texts"))
-    return docs.withColumn("_sha", text_key()).join(toxic, F.col("_sha") == F.col("text_sha"), "left_anti").drop("_sha")
+    return _packed(docs).join(toxic, F.col("sha") == F.col("text_sha"), "left_anti").select("kept.*")
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts that are equal but for white space, the longest, then the one with the smallest doc_id."""
     return _without_duplicates(docs, exact_groups)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates, linked directly or through others, the one with the smallest doc_id."""
     return _without_duplicates(docs, similar_groups)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that hold no benchmark item."""
     rows = _told_apart(docs)
-    return _without(rows, contaminated(_judged_apart(rows), table(spark, sf_dir, "benchmark"))).drop("_row")
+    return _without(rows, contaminated(_judged_apart(rows), table(spark, sf_dir, "benchmark"))).select("kept.*")
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
