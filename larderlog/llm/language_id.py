@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import settled, table, text_key
+from .common import few_rows, settled, table, text_key
 
 #: n-grams have one to three characters: three code points of 21 bits are an exact key of 64 bits.
 LONGEST, BITS = 3, 21
@@ -131,30 +131,28 @@ def landmark_table(landmarks: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]
 
 
 def _sample_rows(docs: DataFrame) -> DataFrame:
-    """(lang, doc_id, _sha, _place): distinct labelled training texts in hash order within their language, at most SAMPLE of all."""
+    """(lang, doc_id, _sha, _place): distinct labelled training texts by their place in hash order within the language, at most SAMPLE of all."""
     # A null doc_id is part of the training fold; a text counts once per language.
     rows = docs.where(~held_out() & F.col("lang").isNotNull()).select("lang", "doc_id", text_key().alias("_sha"))
     rows = rows.groupBy("lang", "_sha").agg(F.min("doc_id").alias("doc_id"))
-    langs = rows.select("lang").distinct().count()
-    each = max(SAMPLE // max(langs, 1), 20)
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("_sha"))
-    return rows.withColumn("_place", place).where(F.col("_place") <= each)
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    each = max(SAMPLE // max(len(sizes), 1), 20)
+    # Few more rows than wanted pass the hash, so no task ranks a whole language.
+    shares = docs.sparkSession.createDataFrame([(k, min(1.0, 1.2 * each / n)) for k, n in sizes.items()], "_lang string, _share double")
+    hashed = F.pmod(F.xxhash64("_sha"), F.lit(2**32)) / float(2**32)
+    rows = rows.join(F.broadcast(shares), F.col("lang") == F.col("_lang")).where(hashed < F.col("_share"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("_sha"), "_sha"))
+    return rows.select("lang", "doc_id", "_sha", place.alias("_place")).where(F.col("_place") <= each)
 
 
 def _grams_of_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for rows in _few(batches):
+    for rows in few_rows(batches, TEXTS_AT_ONCE):
         grams = [ngrams_of(t) for t in rows["text"]]
         out = rows[["lang", "_place"]].copy()
         out["grams"] = [g.view(np.int64) for g in grams]
         yield out[[len(g) > 0 for g in grams]]
 
 
-def _few(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for at in range(0, len(batch), TEXTS_AT_ONCE):
-            yield batch.iloc[at:at + TEXTS_AT_ONCE]
-
-
 def _normal_parts(known: np.ndarray, values: np.ndarray, langs: list[str]):
     """Sums of k kᵀ and k yᵀ over the task's texts: a row per landmark."""
     code = {lang: i for i, lang in enumerate(langs)}
@@ -162,7 +160,7 @@ def _normal_parts(known: np.ndarray, values: np.ndarray, langs: list[str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = values.shape[1]
         total = np.zeros((m, m + len(langs)))
-        for rows in _few(batches):
+        for rows in few_rows(batches, TEXTS_AT_ONCE):
             k = summed([np.asarray(g, dtype=np.int64).view(np.uint64) for g in rows["grams"]], known, values)
             y = np.full((len(rows), len(langs)), -1.0)
             y[np.arange(len(rows)), [code[x] for x in rows["lang"]]] = 1.0
@@ -228,7 +226,7 @@ def fit_languages(docs: DataFrame) -> Languages:
 
 def _predicted(shared):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in _few(batches):
+        for rows in few_rows(batches, TEXTS_AT_ONCE):
             names, score = shared.value.judged([ngrams_of(t) for t in rows["text"]])
             yield pd.DataFrame({"doc_id": rows["doc_id"], "held_out": rows["held_out"], "lang_pred": names, "score": score})
 

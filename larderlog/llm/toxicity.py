@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settled, table, text_key, text_of
+from .common import few_rows, settled, table, text_key, text_of
 
 #: Bounds: distinct labelled texts that terms are mined from, documents that the linear classifier is fitted on.
 LABELLED_TEXTS, FITTED_ROWS = 200_000, 20_000
@@ -30,6 +30,8 @@ TERM_VOTERS, LEAST_DOCS, LEAST_SHARE = 8, 3, 0.6
 #: Least log-likelihood ratio of a term against the share of toxic texts (chi-squared of one degree, 0.1 %).
 SIGNIFICANT = 10.83
 PREFIXES = (4, 6)
+#: Terms a task counts before it hands them on, and documents it judges at a time.
+HELD_TERMS, ROWS_AT_ONCE = 100_000, 500
 THRESHOLD = 0.3
 
 #: Insults of everyday English.
@@ -52,14 +54,21 @@ def terms_of(text: str) -> set[str]:
 
 
 def _term_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Documents per term and label, summed up within the task every few thousand documents."""
+    """Documents per term and label, summed up within the task; HELD_TERMS are handed on."""
+    seen = {0: Counter(), 1: Counter()}
+
+    def out() -> pd.DataFrame:
+        terms = list(seen[0].keys() | seen[1].keys())
+        return pd.DataFrame({"term": terms, "clean": [seen[0][t] for t in terms], "toxic": [seen[1][t] for t in terms]})
+
     for rows in batches:
-        seen = {0: Counter(), 1: Counter()}
         for text, toxic in zip(rows["text"], rows["toxic"]):
             seen[int(toxic)].update(terms_of(text or ""))
             seen[int(toxic)][""] += 1
-        terms = list(seen[0].keys() | seen[1].keys())
-        yield pd.DataFrame({"term": terms, "clean": [seen[0][t] for t in terms], "toxic": [seen[1][t] for t in terms]})
+            if len(seen[0]) + len(seen[1]) >= HELD_TERMS:
+                yield out()
+                seen = {0: Counter(), 1: Counter()}
+    yield out()
 
 
 def distinct_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -98,7 +107,7 @@ def _observed(terms: list[str]):
     place = {t: i for i, t in enumerate(terms)}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
+        for rows in few_rows(batches, ROWS_AT_ONCE):
             votes, found = [], []
             for text in rows["text"]:
                 text = text or ""
