@@ -11,7 +11,8 @@ matrices are combined in (max, +) over spans of chunks and then over spans, a
 forward and a backward vector give the best state at each border, and every
 chunk is traced back on its own.  Where a space follows a visible character no
 piece spans and no link is forbidden, so only the text up to the first and from
-the last such place of a chunk tells its states apart.
+the last such place of a chunk tells its states apart.  A short word between two such places
+has no state to hand on; its only path is found by merging it on its own.
 """
 
 from __future__ import annotations
@@ -22,16 +23,20 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import settled, spread_join, table, text_of
+from .common import few_rows, settled, table, text_of, warm_join
 
 #: Characters of a chunk; longer documents are cut.  Chunks whose matrices one task combines.
 CHUNK, SPAN = 32_768, 64
 #: Word segments and pairs of pieces that a task remembers.
-SEGMENTS, PAIRS = 200_000, 200_000
+SEGMENTS, PAIRS = 400_000, 400_000
+#: Segments of so many characters have the lattice's only path from merging, which is quadratic but short.
+SHORT = 64
+#: Texts that a task turns into ids at a time.
+TEXTS_AT_ONCE = 200
 SPACE_MARK = "▁"
 NEVER = -np.inf
 
@@ -57,7 +62,8 @@ class Pieces:
         for b, i in enumerate(self.byte_ids):
             self.as_bytes[i] = bytes([b])
         self.segments: dict[str, tuple[int, ...]] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[str, dict[str, bool]] = {}
+        self.n_pairs = 0
 
     def merged(self, text: str) -> list[str]:
         """Pieces of a short text by merging, the best score first, then the leftmost."""
@@ -77,26 +83,44 @@ class Pieces:
         """Whether piece y may follow piece x; anything may follow the beginning."""
         if not x:
             return True
-        known = self.pairs.get((x, y))
-        if known is None:
-            if len(self.pairs) >= PAIRS:
-                self.pairs.clear()
-            known = self.pairs[x, y] = self.merged(x + y) == [x, y]
+        behind = self.pairs.get(x)
+        known = None if behind is None else behind.get(y)
+        return self._told_apart(x, y) if known is None else known
+
+    def _told_apart(self, x: str, y: str) -> bool:
+        self.n_pairs += 1
+        if self.n_pairs > PAIRS:
+            self.pairs.clear()
+            self.n_pairs = 1
+        known = self.merged(x + y) == [x, y]
+        self.pairs.setdefault(x, {})[y] = known
         return known
 
     def ends(self, text: str, start: int, entry: str) -> list[str | None]:
         """The piece that ends at each place behind ``start``, entered behind piece ``entry``."""
         last: list[str | None] = [None] * (len(text) + 1)
         last[start] = entry
-        ids, longest, apart = self.ids, self.longest, self.stay_apart
+        ids, longest, pairs = self.ids, self.longest, self.pairs
+        open_at = [start]  # places that some piece ends at, within reach
         for i in range(start + 1, len(text) + 1):
-            for j in range(max(start, i - longest), i):  # long pieces are the likely ones
-                before = last[j]
-                if before is not None:
-                    piece = text[j:i]
-                    if (piece in ids or i - j == 1) and apart(before, piece):
-                        last[i] = piece
-                        break
+            if i - open_at[0] > longest:
+                del open_at[0]
+                if not open_at:
+                    break
+            for j in open_at:  # long pieces are the likely ones
+                piece = text[j:i]
+                if piece in ids or i - j == 1:
+                    before = last[j]
+                    if before:
+                        behind = pairs.get(before)
+                        known = None if behind is None else behind.get(piece)
+                        if known is None:
+                            known = self._told_apart(before, piece)
+                        if not known:
+                            continue
+                    last[i] = piece
+                    open_at.append(i)
+                    break
         return last
 
     @staticmethod
@@ -121,11 +145,12 @@ class Pieces:
     def segment(self, text: str) -> tuple[int, ...]:
         known = self.segments.get(text)
         if known is None:
-            known = tuple(self.id_list(self.traced(self.ends(text, 0, ""), 0, len(text))))
-            if len(text) <= 64:
-                if len(self.segments) >= SEGMENTS:
-                    self.segments.clear()
-                self.segments[text] = known
+            if len(text) > SHORT:
+                return tuple(self.id_list(self.traced(self.ends(text, 0, ""), 0, len(text))))
+            known = tuple(self.id_list(self.merged(text)))
+            if len(self.segments) >= SEGMENTS:
+                self.segments.clear()
+            self.segments[text] = known
         return known
 
     def encode(self, marked: str) -> list[int]:
@@ -214,9 +239,8 @@ def pieces_of(file: str) -> Pieces:
     return Pieces(file)
 
 
-def marked(text: Column) -> Column:
-    """The text as the model reads it: a leading space, spaces as marks; an empty text stays empty."""
-    return F.when(text == "", text).otherwise(F.concat(F.lit(SPACE_MARK), F.translate(text, " ", SPACE_MARK)))
+def _as_marked(text: str) -> str:
+    return text.replace(" ", SPACE_MARK)
 
 
 def _packed(m: np.ndarray) -> tuple[int, bytes]:
@@ -227,13 +251,6 @@ def _unpacked(rows: int, data: bytes) -> np.ndarray:
     return np.frombuffer(data, dtype=np.float32).reshape(rows, -1)
 
 
-def _slices(batches: Iterator[pd.DataFrame], rows: int = 200) -> Iterator[pd.DataFrame]:
-    """A few rows at a time: what a task makes of them is larger than they are."""
-    for batch in batches:
-        for at in range(0, len(batch), rows):
-            yield batch.iloc[at:at + rows]
-
-
 def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[list]:
     """Lists of rows that agree on ``keys``; rows come sorted by them."""
     held, here = [], None
@@ -252,7 +269,7 @@ def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[list]:
 def _short(file: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = pieces_of(file)
-        for rows in _slices(batches):
+        for rows in few_rows(batches, TEXTS_AT_ONCE):
             ids = [np.array(p.encode(p.marked(t)), dtype=np.int32) for t in rows["text"]]
             yield pd.DataFrame({"doc_id": rows["doc_id"], "text": rows["text"], "ids": ids})
 
@@ -263,7 +280,7 @@ def _transfers(file: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = pieces_of(file)
         for rows in batches:
-            m = [_packed(p.transfer(r.left, r.body, r.right, r.at == 0, r.at == r.last)) for r in rows.itertuples(index=False)]
+            m = [_packed(p.transfer(*map(_as_marked, (r.left, r.body, r.right)), r.at == 0, r.at == r.last)) for r in rows.itertuples(index=False)]
             yield pd.DataFrame({"key": rows["key"], "at": rows["at"], "rows": [x[0] for x in m], "matrix": [x[1] for x in m]})
 
     return run
@@ -314,9 +331,9 @@ def _traced_chunks(file: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = pieces_of(file)
         for rows in batches:
-            ids = [p.traced_chunk(r.left, r.body, r.right, r.at == 0, r.at == r.last, r.came, r.went)
+            ids = [p.traced_chunk(*map(_as_marked, (r.left, r.body, r.right)), r.at == 0, r.at == r.last, r.came, r.went)
                    for r in rows.itertuples(index=False)]
-            yield pd.DataFrame({"key": rows["key"], "at": rows["at"], "ids": ids})
+            yield pd.DataFrame({"key": rows["key"], "at": rows["at"], "body": rows["body"], "ids": ids})
 
     return run
 
@@ -324,7 +341,7 @@ def _traced_chunks(file: str):
 def _decoded(file: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = pieces_of(file)
-        for rows in _slices(batches):
+        for rows in few_rows(batches, TEXTS_AT_ONCE):
             yield rows.assign(decoded=[p.decode(ids) for ids in rows["ids"]])
 
     return run
@@ -341,16 +358,17 @@ def encode_pieces(docs: DataFrame, file: str, chunk: int = CHUNK, span: int = SP
     short = F.length("text") < chunk  # a mark goes in front
     done = rows.where(short).mapInPandas(_short(file), "doc_id long, text string, ids array<int>")
 
-    # Chunks with as much of their neighbours as a piece may span.
+    # Chunks with as much of their neighbours as a piece may span; a space goes in front of the text.
     margin = pieces_of(file).longest
-    giant = rows.where(~short).withColumn("key", F.unhex(F.sha2("text", 256))).withColumn("marked", marked(F.col("text")))
-    last = F.floor((F.length("marked") - 1) / chunk).cast("int")
-    cut = giant.dropDuplicates(["key"]).select("key", "marked", last.alias("last"), F.explode(F.sequence(F.lit(0), last)).alias("at"))
+    giant = rows.where(~short).select("doc_id", "text", F.unhex(F.sha2("text", 256)).alias("key"))
+    shifted = F.concat(F.lit(" "), "text")
+    last = F.floor(F.length("text") / chunk).cast("int")
+    cut = giant.dropDuplicates(["key"]).select("key", shifted.alias("line"), last.alias("last"), F.explode(F.sequence(F.lit(0), last)).alias("at"))
     at = F.col("at") * chunk
     left_from = F.greatest(at - margin, F.lit(0))
     chunks = settled(cut.select(
-        "key", "at", "last", F.substring("marked", left_from + 1, at - left_from).alias("left"),
-        F.substring("marked", at + 1, F.lit(chunk)).alias("body"), F.substring("marked", at + chunk + 1, F.lit(margin)).alias("right"),
+        "key", "at", "last", F.substring("line", left_from + 1, at - left_from).alias("left"),
+        F.substring("line", at + 1, F.lit(chunk)).alias("body"), F.substring("line", at + chunk + 1, F.lit(margin)).alias("right"),
     ).repartition("key", "at"), "chunks")
     matrices = chunks.mapInPandas(_transfers(file), "key binary, at int, rows int, matrix binary")
     matrices = settled(matrices.withColumn("span", F.floor(F.col("at") / span)), "matrices")
@@ -362,10 +380,11 @@ def encode_pieces(docs: DataFrame, file: str, chunk: int = CHUNK, span: int = SP
     )
     borders = matrices.join(vectors, ["key", "span"]).repartition("key", "span").sortWithinPartitions("key", "span", "at")
     states = borders.mapInPandas(_border_states, "key binary, at int, came int, went int")
-    traced = chunks.join(states, ["key", "at"]).mapInPandas(_traced_chunks(file), "key binary, at int, ids array<int>")
-    whole = traced.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("_parts"))
-    whole = whole.select("key", F.flatten("_parts.ids").alias("ids"))
-    joined = spread_join(giant.select("doc_id", "text", "key"), whole, ["key"], ["doc_id"])
+    traced = chunks.join(states, ["key", "at"]).mapInPandas(_traced_chunks(file), "key binary, at int, body string, ids array<int>")
+    parts = traced.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "body", "ids"))).alias("_parts"))
+    whole = parts.select("key", F.expr("substring(array_join(_parts.body, ''), 2)").alias("text"), F.flatten("_parts.ids").alias("ids"))
+    # The text comes back from its chunks, so the documents' own rows are narrow.
+    joined = warm_join(giant.select("doc_id", "key"), whole, ["key"], ["doc_id"], "inner", hot=200)
     return done.unionByName(joined.select("doc_id", "text", "ids"))
 
 

@@ -14,7 +14,8 @@ def frame(spark, rows):
     """Rows (doc_id, text) as documents, with extra columns whose names operators use themselves."""
     full = [(i, t, "en", "src0", len(t or "")) for i, t in rows]
     df = spark.createDataFrame(full, DOCS)
-    for name in ("shard", "slot", "ids", "label", "_id", "node", "key", "kept", "hash", "content", "n", "a", "b", "toxic", "score"):
+    names = "shard slot ids label _id node key kept hash content n a b toxic score text_sha _sha _row _first _last _doc _several _gone _n"
+    for name in f"{names} row sha doc first last several gone held_out votes hits decoded _hot_0 _crowded _salt _fact_0".split():
         df = df.withColumn(name, F.lit("clash"))
     return df
 

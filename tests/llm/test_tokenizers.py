@@ -60,6 +60,15 @@ def test_ids_equal_the_library_and_decode_to_the_text(spark, library, chunk):
     assert sentencepieces.encode_pieces(docs.limit(0), PIECES).count() == 0
 
 
+def test_copies_of_a_giant_text_meet_their_ids_in_parts(spark, library):
+    giant = "a giant text of many words " * 9
+    docs = spark.createDataFrame([(i, giant) for i in range(450)] + [(None, giant), (900, "word " * 40), (901, "x")], "doc_id long, text string")
+    got = sentencepieces.encode_pieces(docs, PIECES, 90, span=2).collect()
+    assert sorted(str(r["doc_id"]) for r in got) == sorted(str(r["doc_id"]) for r in docs.collect())
+    assert all(r["ids"] == library[1].encode(r["text"]) for r in got)
+    assert sum(r["text"] == giant for r in got) == 451
+
+
 def test_max_plus_product_is_associative():
     rnd = np.random.default_rng(2)
     x, y, z = (np.where(rnd.random((3, 3)) < 0.4, -np.inf, rnd.random((3, 3))) for _ in range(3))
