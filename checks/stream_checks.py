@@ -12,7 +12,7 @@ from larderlog.sources.buckets import BucketedState
 from larderlog.sources.payloads import stream_payload
 from larderlog.sources.sinks import read_state
 from larderlog.sources.starviews import companies, load, price_series, promo_observations
-from larderlog.streaming import ingest, prices
+from larderlog.streaming import ingest, keyed, prices
 
 from . import payload_texts as texts
 from .catering_checks import CHANGES, changed
@@ -56,6 +56,21 @@ def price_change_stream(spark, folder):
     return changed(prices.read_changes(spark, f"{out}/events"))
 
 
+@check(CHANGES)
+def price_change_keyed_stream(spark, folder):
+    """The same by state per combination; every file arrives an hour after the one before."""
+    out = work_folder(spark, "keyed-changes")
+    series = price_series(load(spark, folder, "events"))
+    for hour in range(3):
+        part = series.where(F.pmod(F.xxhash64("id"), F.lit(3)) == hour)
+        part = part.withColumn("landed_at", F.expr(f"TIMESTAMP '2024-03-01 0{hour}:00:00'"))
+        part.coalesce(1).write.mode("append").parquet(f"{out}/landed")
+    quotes = spark.readStream.schema(part.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/landed")
+    told = keyed.keyed_changes(quotes, "landed_at", lateness="400 days")
+    keyed.write_keyed_changes(told, f"{out}/changes", f"{out}/checkpoint").awaitTermination()
+    return changed(keyed.read_keyed_changes(spark, f"{out}/changes"))
+
+
 @check(
     """
 SELECT 'not json ' || o_orderkey AS raw, count(*) AS n FROM orders WHERE o_orderkey % 3 = 0 GROUP BY ALL
