@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -32,13 +33,17 @@ from .common import few_rows, settled, table, text_of, warm_join
 #: Characters of a chunk; longer documents are cut.  Chunks whose matrices one task combines.
 CHUNK, SPAN = 32_768, 64
 #: Word segments and pairs of pieces that a task remembers.
-SEGMENTS, PAIRS = 400_000, 400_000
+SEGMENTS, PAIRS = 200_000, 100_000
 #: Segments of so many characters have the lattice's only path from merging, which is quadratic but short.
 SHORT = 64
 #: Texts that a task turns into ids at a time.
 TEXTS_AT_ONCE = 200
 SPACE_MARK = "▁"
 NEVER = -np.inf
+NO_MERGE = 1 << 40
+#: Code points, and the factor of a pair's first symbol: symbols are pieces, then letters.
+_LETTERS = 0x110000
+_PAIR = 1 << 22
 
 _SEGMENT = re.compile(f"{SPACE_MARK}+[^{SPACE_MARK}]*|^[^{SPACE_MARK}]+")
 _SAFE = re.compile(f"(?<=[^{SPACE_MARK}])(?={SPACE_MARK})")
@@ -62,6 +67,7 @@ class Pieces:
         for b, i in enumerate(self.byte_ids):
             self.as_bytes[i] = bytes([b])
         self.segments: dict[str, tuple[int, ...]] = {}
+        self._number_merges()
         self.pairs: dict[str, dict[str, bool]] = {}
         self.n_pairs = 0
 
@@ -79,6 +85,107 @@ class Pieces:
                 scores[i] = rank.get(parts[i] + parts[i + 1], NEVER)
         return parts
 
+    def _number_merges(self) -> None:
+        """Merges as arrays: pairs of symbols, sorted, with the rank and the symbol of what they merge to."""
+        names = list(self.ids)
+        symbols = {p: k for k, p in enumerate(names)}
+        for c in sorted({c for p in names for c in p} - symbols.keys()):  # letters of pieces that are no piece themselves
+            symbols[c] = len(symbols)
+        self.piece_ids = np.array([self.ids[p] for p in names], dtype=np.int64)
+        self.n_symbols = len(symbols)
+        self.spelled = {k: [self.byte_ids[b] for b in p.encode("utf-8")] for p, k in symbols.items() if p not in self.ids}
+        self.letters = np.arange(_LETTERS, dtype=np.int64) + self.n_symbols  # any other letter is a symbol of its own
+        for p, k in symbols.items():
+            if len(p) == 1:
+                self.letters[ord(p)] = k
+        order = {p: k for k, p in enumerate(sorted(names, key=lambda p: -self.rank[p]))}
+        made = [(symbols[p[:k]] * _PAIR + symbols[p[k:]], order[p], symbols[p])
+                for p in names for k in range(1, len(p)) if p[:k] in symbols and p[k:] in symbols]
+        made.sort()
+        self.pair_keys, self.pair_ranks, self.pair_made = (np.array(c, dtype=np.int64) for c in zip(*made))
+
+    def _ranked(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank of merging two symbols (NO_MERGE without) and the symbol that results."""
+        key = left * _PAIR + right
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], NO_MERGE), self.pair_made[at]
+
+    def merged_many(self, words: list[str]) -> list[tuple[int, ...]]:
+        """Ids of many short texts; each has its own merges, one a round, all words at once."""
+        out: list[tuple[int, ...]] = [()] * len(words)
+        flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        symbol = self.letters[flat]
+        word = np.repeat(np.arange(len(words)), [len(w) for w in words])
+        rank, made = np.full(len(symbol), NO_MERGE), np.zeros(len(symbol), dtype=np.int64)
+        inside = np.flatnonzero(word[1:] == word[:-1])
+        rank[inside], made[inside] = self._ranked(symbol[inside], symbol[inside + 1])
+        while len(word):
+            first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+            size = np.diff(np.concatenate((first, [len(word)])))
+            best = np.minimum.reduceat(rank, first)
+            done = best == NO_MERGE
+            if done.any():
+                ended = np.repeat(done, size)
+                self._keep_ids(out, word[ended], symbol[ended])
+                word, symbol, rank, made = (x[~ended] for x in (word, symbol, rank, made))
+                continue
+            hit = np.flatnonzero(rank == np.repeat(best, size))
+            at = hit[np.concatenate(([True], word[hit][1:] != word[hit][:-1]))]  # the leftmost of each word
+            symbol[at] = made[at]
+            stays = np.ones(len(word), dtype=bool)
+            stays[at + 1] = False
+            at = at - np.arange(len(at))  # places after one symbol of each earlier word is gone
+            word, symbol, rank, made = (x[stays] for x in (word, symbol, rank, made))
+            # The new symbol's pairs with its neighbours.
+            for left in (at - 1, at):
+                left = left[(left >= 0) & (left + 1 < len(word))]
+                same = word[left] == word[left + 1]
+                rank[left[~same]] = NO_MERGE
+                left = left[same]
+                rank[left], made[left] = self._ranked(symbol[left], symbol[left + 1])
+            if len(word):
+                rank[-1] = NO_MERGE
+        return out
+
+    def _letter_ids(self, symbol: int) -> list[int]:
+        """Ids of a symbol that is no piece: the bytes of its letter."""
+        known = self.spelled.get(symbol)
+        return known if known is not None else [self.byte_ids[b] for b in chr(symbol - self.n_symbols).encode("utf-8", "surrogatepass")]
+
+    def _keep_ids(self, out: list, word: np.ndarray, symbol: np.ndarray) -> None:
+        known = symbol < len(self.piece_ids)
+        ids = self.piece_ids[np.where(known, symbol, 0)].tolist()
+        first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+        ends = np.concatenate((first[1:], [len(word)])).tolist()
+        plain = np.logical_and.reduceat(known, first).tolist()
+        for w, a, b, whole in zip(word[first].tolist(), first.tolist(), ends, plain):
+            if whole:
+                out[w] = tuple(ids[a:b])
+            else:
+                out[w] = tuple(x for i in range(a, b) for x in ([ids[i]] if known[i] else self._letter_ids(int(symbol[i]))))
+
+    def learn(self, segments: set[str]) -> None:
+        """Remember the ids of all short segments of a few texts."""
+        fresh = [s for s in segments if len(s) <= SHORT and s not in self.segments]
+        if len(self.segments) + len(fresh) > SEGMENTS:
+            self.segments.clear()
+            fresh = [s for s in segments if len(s) <= SHORT]
+        for at in range(0, len(fresh), 20_000):
+            some = fresh[at:at + 20_000]
+            self.segments.update(zip(some, self.merged_many(some)))
+
+    def encode_many(self, marked: list[str]) -> list[list[int]]:
+        """``encode`` of several texts; segments that are new are merged together."""
+        parts = [_SEGMENT.findall(m) for m in marked]
+        self.learn(set().union(*parts))
+        known, out = self.segments.__getitem__, []
+        for segments in parts:
+            try:
+                out.append(list(chain.from_iterable(map(known, segments))))
+            except KeyError:  # a long one
+                out.append(list(chain.from_iterable(self.segments.get(s) or self.segment(s) for s in segments)))
+        return out
+
     def stay_apart(self, x: str, y: str) -> bool:
         """Whether piece y may follow piece x; anything may follow the beginning."""
         if not x:
@@ -143,25 +250,18 @@ class Pieces:
         return SPACE_MARK + text.replace(" ", SPACE_MARK) if text else ""
 
     def segment(self, text: str) -> tuple[int, ...]:
-        known = self.segments.get(text)
-        if known is None:
-            if len(text) > SHORT:
-                return tuple(self.id_list(self.traced(self.ends(text, 0, ""), 0, len(text))))
-            known = tuple(self.id_list(self.merged(text)))
-            if len(self.segments) >= SEGMENTS:
-                self.segments.clear()
-            self.segments[text] = known
-        return known
+        """Ids of a segment that is not remembered: long ones are walked through the lattice."""
+        if len(text) > SHORT:
+            return tuple(self.id_list(self.traced(self.ends(text, 0, ""), 0, len(text))))
+        return self.merged_many([text])[0]
 
     def encode(self, marked: str) -> list[int]:
         """Ids of a marked text (see ``marked``) or of a stretch between safe places."""
-        out: list[int] = []
-        for s in _SEGMENT.findall(marked):
-            out += self.segment(s)
-        return out
+        return self.encode_many([marked])[0]
 
     def decode(self, ids) -> str:
-        text = b"".join([self.as_bytes[i] for i in ids]).decode("utf-8", "replace").replace(SPACE_MARK, " ")
+        spelled = self.as_bytes
+        text = b"".join([spelled[i] for i in ids]).decode("utf-8", "replace").replace(SPACE_MARK, " ")
         return text[1:] if text.startswith(" ") else text
 
     def states(self, left: str, right: str) -> list[tuple[int, int]]:
@@ -266,12 +366,13 @@ def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[list]:
         yield held
 
 
-def _short(file: str):
+def _short(file: str, decode: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = pieces_of(file)
         for rows in few_rows(batches, TEXTS_AT_ONCE):
-            ids = [np.array(p.encode(p.marked(t)), dtype=np.int32) for t in rows["text"]]
-            yield pd.DataFrame({"doc_id": rows["doc_id"], "text": rows["text"], "ids": ids})
+            ids = p.encode_many([p.marked(t) for t in rows["text"]])
+            out = {"doc_id": rows["doc_id"], "text": rows["text"], "ids": [np.array(i, dtype=np.int32) for i in ids]}
+            yield pd.DataFrame(out | ({"decoded": [p.decode(i) for i in ids]} if decode else {}))
 
     return run
 
@@ -342,13 +443,13 @@ def _decoded(file: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = pieces_of(file)
         for rows in few_rows(batches, TEXTS_AT_ONCE):
-            yield rows.assign(decoded=[p.decode(ids) for ids in rows["ids"]])
+            yield rows.assign(decoded=[p.decode(np.asarray(ids).tolist()) for ids in rows["ids"]])
 
     return run
 
 
-def encode_pieces(docs: DataFrame, file: str, chunk: int = CHUNK, span: int = SPAN) -> DataFrame:
-    """doc_id, text, ids (array<int>) of every row of (doc_id, text).
+def encode_pieces(docs: DataFrame, file: str, chunk: int = CHUNK, span: int = SPAN, decode: bool = False) -> DataFrame:
+    """doc_id, text, ids (array<int>) of every row of (doc_id, text); with ``decode`` the text decoded from the ids, too.
 
     ``file`` is a SentencePiece BPE model; ids equal the library's, without
     begin or end.  Null and empty texts have no ids; repeated rows are encoded
@@ -356,7 +457,8 @@ def encode_pieces(docs: DataFrame, file: str, chunk: int = CHUNK, span: int = SP
     """
     rows = docs.select("doc_id", text_of().alias("text"))
     short = F.length("text") < chunk  # a mark goes in front
-    done = rows.where(short).mapInPandas(_short(file), "doc_id long, text string, ids array<int>")
+    schema = "doc_id long, text string, ids array<int>" + (", decoded string" if decode else "")
+    done = rows.where(short).mapInPandas(_short(file, decode), schema)
 
     # Chunks with as much of their neighbours as a piece may span; a space goes in front of the text.
     margin = pieces_of(file).longest
@@ -385,7 +487,8 @@ def encode_pieces(docs: DataFrame, file: str, chunk: int = CHUNK, span: int = SP
     whole = parts.select("key", F.expr("substring(array_join(_parts.body, ''), 2)").alias("text"), F.flatten("_parts.ids").alias("ids"))
     # The text comes back from its chunks, so the documents' own rows are narrow.
     joined = warm_join(giant.select("doc_id", "key"), whole, ["key"], ["doc_id"], "inner", hot=200)
-    return done.unionByName(joined.select("doc_id", "text", "ids"))
+    joined = joined.select("doc_id", "text", "ids")
+    return done.unionByName(decode_pieces(joined, file) if decode else joined)
 
 
 def decode_pieces(encoded: DataFrame, file: str) -> DataFrame:
@@ -399,7 +502,7 @@ def op4_piece_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     file = public_tokenizers.path("piece_bpe_32k.model")
-    coded = decode_pieces(encode_pieces(table(spark, sf_dir, "documents"), file), file)
+    coded = encode_pieces(table(spark, sf_dir, "documents"), file, decode=True)
     return coded.select(
         "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.size("ids").cast("long").alias("n_pieces"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),

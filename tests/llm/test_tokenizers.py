@@ -57,6 +57,8 @@ def test_ids_equal_the_library_and_decode_to_the_text(spark, library, chunk):
     for r in got:
         assert r["ids"] == library[1].encode(r["text"]), r["text"][:40]
         assert r["decoded"] == library[1].decode(r["ids"]) == r["text"].replace("▁", " ")
+    at_once = sentencepieces.encode_pieces(docs, PIECES, chunk, span=3, decode=True).collect()
+    assert sorted(map(str, at_once)) == sorted(map(str, got))
     assert sentencepieces.encode_pieces(docs.limit(0), PIECES).count() == 0
 
 
