@@ -19,7 +19,7 @@ from larderlog.llm.common import settled, spread_join, table, text_key
 from larderlog.llm.decontamination import contaminated
 from larderlog.llm.exact_dedup import exact_groups
 from larderlog.llm.near_dedup import similar_groups
-from larderlog.llm.sentencepieces import decode_pieces, encode_pieces
+from larderlog.llm.sentencepieces import encode_pieces
 from larderlog.llm.toxicity import toxicity_of_texts
 
 #: Keys of at most so many documents (16 to 50 MB) are broadcast; more are joined by shuffle.
@@ -114,7 +114,7 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     file = public_tokenizers.path(PIECE_MODEL)
-    return decode_pieces(encode_pieces(docs, file), file)
+    return encode_pieces(docs, file, decode=True)
 
 
 STAGES = [
