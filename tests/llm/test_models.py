@@ -123,15 +123,68 @@ def test_most_contexts_of_rare_words_have_a_slot():
     rnd = np.random.default_rng(11)
     words = sorted({bytes(w) for w in rnd.integers(97, 123, (30000, 7), dtype=np.uint8)})
     code = lm_scoring.prefix_code(np.bincount(np.frombuffer(b"".join(words), dtype=np.uint8), minlength=256))
-    pairs = pd.DataFrame({"cls": 0, "word": words, "n": 1})
-    got = pd.concat(lm_scoring._slot_counts(code)(iter([pairs])))
-    n0, n1, owners = (np.zeros(int(lm_scoring.FIRST[-1]), dtype=np.int64) for _ in range(3))
-    n0[got["slot"]], n1[got["slot"]], owners[got["slot"]] = got["n0"], got["n1"], got["mark"]
+    pairs = pd.DataFrame({"cls": 0, "word": words, "n": 1, "part": 0})
+    table = np.zeros(-(-int(lm_scoring.FIRST[-1]) // lm_scoring.BLOCK) * lm_scoring.BLOCK, dtype=lm_scoring.SLOT)
+    for r in pd.concat(lm_scoring._slot_counts(code)(iter([pairs]))).itertuples():
+        table[r.block * lm_scoring.BLOCK:(r.block + 1) * lm_scoring.BLOCK] = lm_scoring._block_of(r.data)
+    n0, n1, owners = (table[c] for c in ("n0", "n1", "mark"))
     _, _, slots, marks = lm_scoring.bit_events([(0, w) for w in words], code)
     known = sum(lm_scoring.looked_up(slots, marks, n0, n1, owners)) > 0
     assert known[3].mean() > 0.78 and known[4].mean() > 0.78
 
 
+def test_merged_blocks_against_brute_force(monkeypatch):
+    rnd = np.random.default_rng(4)
+    monkeypatch.setattr(lm_scoring, "BLOCK", 300)
+    parts = []
+    for _ in range(5):
+        p = np.zeros(300, dtype=lm_scoring.SLOT)
+        p["mark"] = rnd.integers(0, 4, 300)
+        p["n0"], p["n1"] = rnd.integers(0, 9, 300) * (p["mark"] > 0), rnd.integers(0, 9, 300) * (p["mark"] > 0)
+        assert (lm_scoring._block_of(lm_scoring.zlib.compress(lm_scoring._columns(p))) == p).all()
+        parts.append(p)
+    got = lm_scoring.merged_block(parts)
+    for i in range(300):
+        sums = Counter()
+        for p in parts:
+            sums[int(p["mark"][i])] += float(p["n0"][i]) + float(p["n1"][i])
+        most = max((n for m, n in sums.items() if m), default=0)
+        want = min((m for m, n in sums.items() if m and n == most and n > 0), default=0)
+        assert got["mark"][i] == want
+        for c in ("n0", "n1"):
+            assert got[c][i] == sum(p[c][i] for p in parts if want and p["mark"][i] == want)
+
+
+def test_classes_are_estimated_over_all_training_texts(spark):
+    texts = [f"{k}a {k}b {k}c {k}d" for k in "xyz" for _ in range(50)] + ["", None]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    rnd = np.random.default_rng(2)
+    start = (np.zeros(lm_scoring.CLASSES), rnd.normal(-8, 2, (1 << lm_scoring.WORD_BITS, lm_scoring.CLASSES)).astype(np.float32))
+    prior, log_p = lm_scoring.refined_classes(docs, start)
+    docs_of, own = np.zeros(lm_scoring.CLASSES), np.zeros((1 << lm_scoring.WORD_BITS, lm_scoring.CLASSES))
+    for t in texts:
+        slots = [lm_scoring._SLOTS[w] for w in lm_scoring.tokens_of(t)[:-1]]
+        likely = start[0] + start[1][slots].sum(0, dtype=float)
+        share = np.exp(likely - likely.max())
+        share /= share.sum()
+        docs_of += share
+        for s in slots:
+            own[s] += share
+    overall = (own.sum(1) + 0.01) / (own.sum() + 0.01 * len(own))
+    assert np.exp(prior) == pytest.approx((docs_of + 1) / (docs_of.sum() + lm_scoring.CLASSES), rel=1e-5)
+    assert log_p == pytest.approx(np.log(0.95 * own / np.maximum(own.sum(0), 1e-9) + 0.05 * overall[:, None]), abs=1e-2)
+    nothing = lm_scoring.refined_classes(docs.limit(0), start)
+    assert nothing[0] is start[0]
+
+
+def test_scores_do_not_depend_on_the_layout(spark):
+    docs = frame(spark, corpus(23))
+    key = lambda r: (str(r["doc_id"]), r["n_tokens"], round(r["score"], 3))
+    one = sorted(lm_scoring.mixing_scores(docs.coalesce(1)).collect(), key=key)
+    many = sorted(lm_scoring.mixing_scores(docs.repartition(7)).collect(), key=key)
+    assert [r["score"] for r in one] == pytest.approx([r["score"] for r in many], rel=1e-6)
+
+
 def test_copies_of_one_toxic_text_leave_the_other_terms(spark):
     rnd = np.random.default_rng(7)
     word = lambda: "".join(chr(97 + c) for c in rnd.integers(0, 26, 9))
