@@ -25,8 +25,8 @@ RULES = [
     ("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
     ("com", "/fr/", "allow"), ("com", "/de/", "block"),
 ]
-#: Host words whose canonical URLs the query lists besides the rules.
-SPAM_HOST = "casino|free-bets|cheap-pills|spam-farm"
+#: The query lists the canonical URLs of pages whose id this divides.
+LISTED_EVERY = 50
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -125,10 +125,10 @@ def judge_urls(urls: DataFrame, rules: DataFrame, listed: DataFrame) -> DataFram
 
 
 def op7_url_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page's URL against the rules and the canonical URLs of spam hosts."""
+    """Every page's URL against the rules and the listed canonical URLs, those of every fiftieth page."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     host, path = host_and_path(F.col("url"))
-    listed = pages.where(host.rlike(SPAM_HOST)).select(canonical(host, path).alias("canonical")).distinct()
+    listed = pages.where(F.col("page_id") % LISTED_EVERY == 0).select(canonical(host, path).alias("canonical")).distinct()
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
     return judge_urls(pages, rules, listed).drop("url")
 
@@ -143,14 +143,18 @@ WITH split AS (
   FROM split
 ), rules(rhost, rpath, verdict) AS (
   VALUES {', '.join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)}
+), named AS (
+  SELECT *, CASE WHEN host <> '' THEN host || regexp_replace(path, '/+$', '') END AS canonical FROM parsed
+), listing AS (
+  SELECT DISTINCT canonical AS listed_url FROM named WHERE page_id % {LISTED_EVERY} = 0 AND canonical IS NOT NULL
 ), best AS (
   SELECT p.*, r.rhost || r.rpath AS rule, r.verdict,
          row_number() OVER (PARTITION BY page_id ORDER BY length(r.rhost || r.rpath) DESC NULLS LAST) AS place
-  FROM parsed p LEFT JOIN rules r
+  FROM named p LEFT JOIN rules r
     ON (p.host = r.rhost OR ends_with(p.host, '.' || r.rhost)) AND starts_with(p.path, r.rpath)
 )
 SELECT page_id, host, path, rule,
-       coalesce(verdict, CASE WHEN regexp_matches(host, '{SPAM_HOST}') THEN 'block' ELSE 'allow' END) AS verdict,
-       regexp_matches(host, '{SPAM_HOST}') AS listed
-FROM best WHERE place = 1
+       coalesce(verdict, CASE WHEN listed_url IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict,
+       listed_url IS NOT NULL AS listed
+FROM best LEFT JOIN listing ON canonical = listed_url WHERE place = 1
 """
