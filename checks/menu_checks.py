@@ -53,6 +53,34 @@ def option_meals(spark, folder):
     return plain(rows.drop("label", "fat_g", "carbs_g", "image_url", "allergens"))
 
 
+def _option_meals_of_days(spark, folder, as_of):
+    """Bitmaps of three batches of captures; every batch has days of many months, and the last repeats the first."""
+    t, out = star_tables(spark, folder), work_folder(spark, "served-days")
+    for n in range(4):
+        batch = t.daily_menu.where(F.col("id") % 3 == n % 3)
+        menus.served_days(batch).hint("rebalance", "month").write.partitionBy("month").parquet(f"{out}/batch={n}")
+    served = spark.read.parquet(out).drop("batch")
+    rows = menus.option_meals_of_days(t, menus.merged_days(served), as_of=as_of)
+    return plain(rows.select(
+        "company_id", "diet_id", "tier_id", "diet_option_id", "slot_name", "name", "kcal", "protein_g", "last_seen_date", "occurrences"
+    ))
+
+
+LINEUP_SQL = """SELECT company_id, diet_id, tier_id, diet_option_id, slot_name, name, CAST(kcal AS DOUBLE) AS kcal,
+  CAST(protein_g AS DOUBLE) AS protein_g, last_seen_date, occurrences FROM lineup"""
+
+
+@check(LINEUP_SQL, LINEUP)
+def option_meals_bitmaps(spark, folder):
+    return _option_meals_of_days(spark, folder, AS_OF)
+
+
+@check(LINEUP_SQL, {k: v.replace("1998-06-01", "1996-03-09") for k, v in LINEUP.items()})
+def option_meals_bitmaps_earlier(spark, folder):
+    """The same stored days, asked for a window that begins inside an earlier month."""
+    return _option_meals_of_days(spark, folder, "1996-03-09")
+
+
 @check(
     """
 SELECT slot_name, m.name, CAST(m.kcal AS DOUBLE) AS kcal, strftime(max(d.menu_date), '%Y-%m-%d') AS last_seen_date,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from larderlog.plans import catering, menus as menu_plans, state
+from larderlog.plans import catering, listings, menus as menu_plans, state
 from larderlog.session import work_folder
 from larderlog.sources import normalise as n
 from larderlog.sources import sinks
@@ -158,6 +158,43 @@ def listed_companies(spark, folder):
     return plain(rows.select("company_id", "fullName", F.col("currentPage").alias("page"), "rate"))
 
 
+TORN = {
+    "placed": """SELECT o_custkey % 25 AS city_id, o_orderkey % 3 AS run, o_orderkey % 50 AS page, min(o_orderkey) AS first
+      FROM orders GROUP BY ALL""",
+    "there": "SELECT * FROM placed WHERE page % 7 <> 3",
+}
+
+
+@check(
+    """
+SELECT CAST(city_id AS BIGINT) AS city_id, strftime(DATE '2001-01-01' + CAST(run AS INTEGER), '%Y-%m-%d') AS day, kind,
+  CAST(from_page AS BIGINT) AS from_page, CAST(to_page AS BIGINT) AS to_page, companies
+FROM (
+  SELECT city_id, run, 'missing' AS kind, min(page) AS from_page, max(page) AS to_page, CAST(NULL AS BIGINT) AS companies
+  FROM (SELECT city_id, run, page, page - row_number() OVER (PARTITION BY city_id, run ORDER BY page) AS island
+    FROM (SELECT DISTINCT city_id, run FROM there), generate_series(0, 51) g(page)
+    WHERE (city_id, run, page) NOT IN (SELECT (city_id, run, page) FROM there))
+  GROUP BY city_id, run, island
+  UNION ALL SELECT city_id, run, 'repeated', page, page, NULL FROM there WHERE page % 11 = 4
+  UNION ALL SELECT city_id, run, 'shifted', page, page, 1 FROM there
+    WHERE page % 13 = 5 AND (city_id, run, page - 1) IN (SELECT (city_id, run, page) FROM there))
+"""
+    , TORN,
+)
+def listing_gaps(spark, folder):
+    """Pages lost, answered twice, and companies that moved while the listing was read."""
+    gaps = listings.listing_gaps(parsed(spark, folder, "listing", texts.torn_listing))
+    return plain(gaps.select("city_id", F.to_date("captured_at").alias("day"), "kind", "from_page", "to_page", "companies"))
+
+
+@check("SELECT 7 AS city_id, count(DISTINCT s_suppkey // 10) AS pages FROM supplier")
+def complete_listings(spark, folder):
+    """A listing without a gap is complete."""
+    listing = parsed(spark, folder, "listing", texts.listing)
+    whole = listing.join(listings.complete_captures(listing), listings.CAPTURE, "left_semi")
+    return plain(whole.groupBy("city_id").agg(F.countDistinct("currentPage").alias("pages")))
+
+
 QUOTED = """l_quantity < 50 AND NOT (l_returnflag = 'R' AND l_linestatus = 'O' AND l_tax = 0)"""
 
 

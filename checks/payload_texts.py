@@ -145,6 +145,32 @@ def listing(spark, folder: str) -> DataFrame:
     return _json(rows)
 
 
+def torn_listing(spark, folder: str) -> DataFrame:
+    """Orders as companies on pages of ten per customer nation, read while the listing changes.
+
+    A city's page is lost where its number leaves 3 by 7, delivered twice where it leaves 4 by 11, and where it leaves 5 by 13 its
+    first company was on the page before, too.
+    """
+    o = load(spark, folder, "orders")
+    placed = o.select(
+        (F.col("o_custkey") % 25).alias("city_id"), (F.col("o_orderkey") % 3).alias("run"), (F.col("o_orderkey") % 50).alias("page"),
+        F.col("o_orderkey").alias("k"),
+    )
+    item = F.struct(F.col("k").alias("_k"), F.col("k").cast("string").alias("name"))
+    pages = _nest(placed, ["city_id", "run", "page"], item, "searchData")
+    before = pages.select("city_id", "run", (F.col("page") + 1).alias("page"), F.get("searchData", F.lit(0)).alias("_before"))
+    pages = pages.join(before, ["city_id", "run", "page"], "left")
+    moved = (F.col("page") % 13 == 5) & F.col("_before").isNotNull()
+    pages = pages.withColumn("searchData", F.when(moved, F.concat(F.array("_before"), "searchData")).otherwise(F.col("searchData")))
+    copies = F.when(F.col("page") % 7 == 3, 0).when(F.col("page") % 11 == 4, 2).otherwise(1)
+    rows = pages.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies.cast("int"))))
+    stamp = F.date_add(F.lit("2001-01-01").cast("date"), F.col("run").cast("int"))
+    return _json(rows.select(
+        "city_id", F.concat(stamp.cast("string"), F.lit("T00:00:00Z")).alias("captured_at"), F.col("page").alias("currentPage"),
+        F.lit(52).alias("totalPages"), "searchData",
+    ))
+
+
 def quotes(spark, folder: str) -> DataFrame:
     """Every 50-piece line is an unanswered quote; untaxed open returns are cut off."""
     rows = load(spark, folder, "lineitem").select(

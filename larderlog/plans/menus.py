@@ -77,6 +77,51 @@ def _tally(served: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+SERVED = ["company_id", "diet_calories_id", "slot_name", "name", "month"]
+
+
+def served_days(daily_menu: DataFrame) -> DataFrame:
+    """The days of each month that a dish was planned for a leaf and slot, as one number.
+
+    Bit d - 1 of ``days`` stands for day d.  Rows of several batches merge by
+    ``merged_days``, any number of times.
+    """
+    planned = daily_menu.where(F.col("meal_name").isNotNull() & F.col("menu_date").isNotNull())
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.dayofmonth("menu_date") - 1)
+    keys = [F.col("meal_name").alias("name") if c == "name" else F.trunc("menu_date", "month").alias("month") if c == "month" else F.col(c)
+            for c in SERVED]
+    return planned.groupBy(*keys).agg(F.bit_or(bit).alias("days"))
+
+
+def merged_days(days: DataFrame, keys: list[str] = SERVED) -> DataFrame:
+    return days.groupBy(*keys).agg(F.bit_or("days").alias("days"))
+
+
+def option_meals_of_days(t: Tables, served: DataFrame, as_of=None, days: int = 14) -> DataFrame:
+    """``option_meals`` from stored ``served_days`` instead of the menu's rows, for any ``as_of``.
+
+    Months before the window are not read where ``month`` is a partition; in its
+    first month earlier days are masked away.
+    """
+    start = F.date_sub(as_date(as_of), days)
+    since = F.call_function("shiftright", F.lit(0x7FFFFFFF).cast("bigint"), F.dayofmonth(start) - 1)
+    since = F.call_function("shiftleft", since, F.dayofmonth(start) - 1)
+    first = F.trunc(start, "month")
+    recent = served.where(F.col("month") >= first).withColumn(
+        "days", F.when(F.col("month") == first, F.col("days").bitwiseAND(since)).otherwise(F.col("days"))
+    ).where("days <> 0")
+    group = ["diet_id", "tier_id", "diet_option_id"]
+    groups = t.diet_calories.select("company_id", "diet_calories_id", *group).distinct()
+    shown = recent.join(groups, ["company_id", "diet_calories_id"])
+    # Leaves of one option group share their days; then months add up.
+    per_month = merged_days(shown, ["company_id", *group, "slot_name", "name", "month"])
+    last = F.date_add("month", F.length(F.bin("days")).cast("int") - 1)
+    dishes = per_month.groupBy("company_id", *group, "slot_name", "name").agg(
+        day_text(F.max(last)).alias("last_seen_date"), F.sum(F.bit_count("days")).alias("occurrences")
+    )
+    return dishes.join(t.meals.select("company_id", *DISH), ["company_id", "name"])
+
+
 def meals_by_slot(meals: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Slots of a line-up in day order with their dishes, counted.
 
