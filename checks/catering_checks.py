@@ -80,6 +80,22 @@ def company_tiles(spark, folder):
     return plain(tiles.select("city_id", "order_days", "company_id", "cheapest", "variants", hidden))
 
 
+@check(
+    """
+SELECT * FROM (SELECT city_id, order_days, company_id, CAST(cheapest AS DOUBLE) / 100 AS cheapest, variants,
+    row_number() OVER (PARTITION BY city_id, order_days ORDER BY cheapest NULLS LAST, company_id) AS rank
+  FROM (SELECT city_id, order_days, company_id, min(eff_c) AS cheapest, count(*) AS variants FROM priced GROUP BY ALL))
+WHERE rank BETWEEN 6 AND 10
+"""
+)
+def deep_page_of_tiles(spark, folder):
+    """The second page of five by prefix counts over eleven cells, for every city and order length."""
+    t = star_tables(spark, folder)
+    tiles = catering.company_tiles(catering.priced_leaves(t, unit="month", names=False), t.companies)
+    rows = catering.page_of_tiles(tiles, page_args(page=2, size=5), cells=11)
+    return plain(rows, "city_id", "order_days", "company_id", "cheapest", "variants", "rank")
+
+
 @check(
     """
 SELECT city_id, order_days, company_id, diet_calories_id, diet_id, tier_id, coalesce(tier_diet_option_id, '') AS tdo,

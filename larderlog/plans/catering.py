@@ -13,10 +13,13 @@ from ..functions.dates import bucket
 from ..functions.keys import per_day, price_delta, tier_option_id
 from ..functions.text import fold_case, joined_line
 from ..operators.keyed import best_per_bucket, current_with_previous, distinct_values, top_rows
+from ..operators.ranks import ranked_between
 from ..sources.tables import Tables
 from .arguments import KCAL_CAP, KCAL_PRESETS, KCAL_RANGE, SUGGESTIONS, PageArgs
 
 COMBO = ["company_id", "diet_calories_id", "_tdo", "order_days"]
+#: Ranks up to which a page's tiles and all before them may meet in one task.
+DEEP_RANKS = 10_000
 
 
 def live(df: DataFrame) -> DataFrame:
@@ -245,13 +248,15 @@ def page_totals(tiles: DataFrame) -> DataFrame:
     )
 
 
-def page_of_tiles(tiles: DataFrame, args: PageArgs) -> DataFrame:
+def page_of_tiles(tiles: DataFrame, args: PageArgs, cells: int | None = None) -> DataFrame:
     """Tiles of the page with their rank label, per (city, order length).
 
-    Tiles are narrow and few, one per company after the aggregation, so ranking
-    all of a city in one task is cheap however deep the page.
+    Up to DEEP_RANKS the leading tiles of a city are ranked in one task; deeper
+    pages, or any page if ``cells`` is given, are found by prefix counts, so that no task holds a city.
     """
     order = [F.asc_nulls_last("cheapest"), F.asc("company_id")]
+    if cells is not None or args.offset + args.size > DEEP_RANKS:
+        return ranked_between(tiles, ["city_id", "order_days"], order, args.offset, args.offset + args.size, cells)
     upto = top_rows(tiles, ["city_id", "order_days"], order, k=args.offset + args.size, rank="rank")
     return upto.where(F.col("rank") > args.offset)
 

@@ -12,6 +12,7 @@ from larderlog.operators.folding import Policy, first_known, replace_groups, ret
 from larderlog.operators.joins import keep_known, same_key_join
 from larderlog.operators.keyed import best_per_bucket, current_with_previous, latest_rows
 from larderlog.operators import sequence
+from larderlog.operators.ranks import ranked_between
 from larderlog.operators.sequence import previous_values, strictly_earlier
 
 from .conftest import rows, ts
@@ -216,3 +217,26 @@ def test_as_of_join_against_brute_force(spark, strict, unit):
         assert (tuple(r["m"]) if r["m"] else None) == want
     assert sequence.as_of_values(df, other.limit(0), ["k"], "at", ["rid"], "rid", "seen").where("matched IS NOT NULL").count() == 0
     assert sequence.as_of_values(df.limit(0), other, ["k"], "at", ["rid"], "rid", "seen").count() == 0
+
+
+@pytest.mark.parametrize("cells", [None, 1, 7])
+def test_ranks_by_prefix_counts_against_brute_force(spark, cells):
+    rnd = random.Random(8)
+    seen = [(rnd.choice(["a", "a", "a", "b", None]), rnd.choice([None, 1, 2, 3]), i) for i in range(400)]
+    df = spark.createDataFrame(seen, "k string, v int, id int").repartition(5)
+    order = [F.asc_nulls_last("v"), F.desc("id")]
+    for low, high in [(0, 3), (0, 1000), (100, 130), (239, 241), (5000, 6000)]:
+        want = []
+        for k in ("a", "b", None):
+            own = sorted((r for r in seen if r[0] == k), key=lambda r: (r[1] is None, r[1] or 0, -r[2]))
+            want += [(*r, n) for n, r in enumerate(own, 1) if low < n <= high]
+        got = ranked_between(df, ["k"], order, low, high, cells).collect()
+        assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    assert ranked_between(df.limit(0), ["k"], order, 0, 9, cells).count() == 0
+
+
+def test_no_task_holds_a_key(spark):
+    df = spark.range(4000).selectExpr("'hot' AS k", "id % 10 AS v", "id")
+    plan = ranked_between(df, ["k"], [F.asc("v"), F.asc("id")], 1500, 1600, 16)._jdf.queryExecution().executedPlan().toString()
+    windows = [line for line in plan.splitlines() if "row_number()" in line and "Window [" in line]
+    assert windows and all("_cell" in line for line in windows)
