@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from larderlog.plans import catering, listings, menus as menu_plans, state
 from larderlog.session import work_folder
 from larderlog.sources import normalise as n
-from larderlog.sources import sinks
+from larderlog.sources import payloads, sinks
 from larderlog.sources.payloads import parse_payload, split_rejects
 from larderlog.sources.sinks import append_observations
 from larderlog.sources.starviews import load, parts_as_leaves
@@ -158,6 +158,38 @@ def listed_companies(spark, folder):
     return plain(rows.select("company_id", "fullName", F.col("currentPage").alias("page"), "rate"))
 
 
+@check(
+    """
+SELECT 'quote' AS feed, field, type, n FROM (
+  SELECT 'loyalty' AS field, 'BIGINT' AS type, count(*) AS n FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 7 <> 0
+  UNION ALL SELECT 'loyalty', 'STRING', count(*) FROM orders WHERE o_orderkey % 3 = 1 AND o_orderkey % 7 <> 0
+  UNION ALL SELECT 'cart.coupon', 'OBJECT<code: STRING, uses: ARRAY<BIGINT>>', count(*) FROM orders
+    WHERE o_orderkey % 5 = 0 AND o_orderkey % 7 <> 0)
+"""
+)
+def appeared_fields(spark, folder):
+    """Which fields a feed began to send, and with what types."""
+    return plain(payloads.appeared_fields(texts.grown_quotes(spark, folder), "quote", "payload"))
+
+
+@check(
+    """
+SELECT CAST(o_orderkey AS VARCHAR) AS company_id, CAST(1.5 AS DOUBLE) AS total_cost, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey END AS points,
+  CASE WHEN o_orderkey % 5 = 0 THEN 'A' END AS coupon, o_orderkey % 3 < 2 OR o_orderkey % 5 = 0 AS grown
+FROM orders WHERE o_orderkey % 7 <> 0
+"""
+)
+def open_quotes(spark, folder):
+    """Known fields as ever, unknown ones kept beside them and read later by path; both written and read again."""
+    rows, out = payloads.parse_open_payload(texts.grown_quotes(spark, folder), "quote", "payload"), work_folder(spark, "open-quotes")
+    split_rejects(rows)[0].write.parquet(out)
+    extra = F.col(payloads.EXTRA)
+    return plain(spark.read.parquet(out).select(
+        "company_id", F.col("cart.totalCostToPay").alias("total_cost"), F.try_variant_get(extra, "$.loyalty", "bigint").alias("points"),
+        F.try_variant_get(extra, "$['cart.coupon'].code", "string").alias("coupon"), extra.isNotNull().alias("grown"),
+    ))
+
+
 TORN = {
     "placed": """SELECT o_custkey % 25 AS city_id, o_orderkey % 3 AS run, o_orderkey % 50 AS page, min(o_orderkey) AS first
       FROM orders GROUP BY ALL""",

@@ -145,6 +145,18 @@ def listing(spark, folder: str) -> DataFrame:
     return _json(rows)
 
 
+def grown_quotes(spark, folder: str) -> DataFrame:
+    """Quotes of orders with fields that no schema names; every seventh is unreadable."""
+    k = F.col("o_orderkey")
+    loyalty = F.when(k % 3 == 0, F.format_string(',"loyalty":%d', k)).when(k % 3 == 1, F.lit(',"loyalty":"gold"')).otherwise(F.lit(""))
+    coupon = F.when(k % 5 == 0, F.lit(',"coupon":{"code":"A","uses":[1,2]}')).otherwise(F.lit(""))
+    line = F.concat(
+        F.lit('{"company_id":"'), k.cast("string"), F.lit('","captured_at":"2001-01-01T00:00:00Z","cart":{"totalCostToPay":1.5'), coupon,
+        F.lit("}"), loyalty, F.when(k % 7 == 0, F.lit(",")).otherwise(F.lit("}")),
+    )
+    return load(spark, folder, "orders").select(line.alias("payload"))
+
+
 def torn_listing(spark, folder: str) -> DataFrame:
     """Orders as companies on pages of ten per customer nation, read while the listing changes.
 

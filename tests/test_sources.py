@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from larderlog.plans import state
 from larderlog.schemas import table
 from larderlog.sources import normalise as n
-from larderlog.sources import sinks
+from larderlog.sources import payloads, sinks
 from larderlog.sources.payloads import parse_payload, payload_kinds, read_payload, split_rejects
 from larderlog.sources.tables import empty_table, read_tables
 
@@ -154,3 +154,21 @@ def test_catalogue_fold_keeps_what_is_not_updatable(make, spark):
     assert {r.diet_id: r.valid_to for r in empty.collect()} == {1: None, 2: ts("2026-05-02")}
     back = state.fold_diets(second, make("diets", diet(2, "2026-05-03"), diet(1, "2026-05-03"), **extra))
     assert {r.valid_to for r in back.collect()} == {None}
+
+
+def test_unknown_fields_survive_beside_the_known_ones(spark):
+    texts = [
+        '{"company_id":"a","cart":{"totalCostToPay":2.0,"coupon":{"code":"A"}},"loyalty":7,"items":[{"new":1}]}',
+        '{"company_id":"b","loyalty":null,"Company_Id":"c"}', '{"company_id":"c","cart":{"totalCostToPay":1.0}}', '{"broken', None, "[1]", "",
+    ]
+    df = spark.createDataFrame([(t,) for t in texts], "payload string")
+    got = payloads.parse_open_payload(df, "quote", "payload")
+    good, bad = payloads.split_rejects(got)
+    assert bad.count() == got.where(f"{payloads.REJECT_COLUMN} IS NOT NULL").count() >= 1
+    extra = {r["company_id"]: r["e"] for r in good.where("company_id IS NOT NULL").select("company_id", F.to_json("extra").alias("e")).collect()}
+    assert json.loads(extra["a"]) == {"loyalty": 7, "cart.coupon": {"code": "A"}}
+    assert json.loads(extra["b"]) == {"loyalty": None, "Company_Id": "c"} and extra["c"] is None
+    plain = payloads.parse_payload(df, "quote", "payload")
+    assert sorted(map(str, got.drop("extra").collect())) == sorted(map(str, plain.collect()))
+    told = {(r["field"], r["type"]): r["n"] for r in payloads.appeared_fields(df, "quote", "payload").collect()}
+    assert told == {("loyalty", "BIGINT"): 1, ("loyalty", "VOID"): 1, ("Company_Id", "STRING"): 1, ("cart.coupon", "OBJECT<code: STRING>"): 1}
