@@ -9,6 +9,7 @@ from larderlog.schemas import table
 from larderlog.session import work_folder
 from larderlog.sources.buckets import BucketedState
 from larderlog.sources.normalise import known_companies
+from larderlog.sources.sinks import accounted, write_accounted
 from larderlog.sources.starviews import companies, load, promo_observations, star_tables
 from larderlog.sources.tables import empty_table
 
@@ -263,19 +264,42 @@ def quote_jobs(spark, folder):
     return plain(work.quote_jobs(star_tables(spark, folder), as_of="2001-06-01"))
 
 
-@check(
-    """
+ACCOUNTING = """
 SELECT coalesce(j.company_id, a.company_id) AS company_id, coalesce(j.jobs, 0) AS jobs, coalesce(a.stored, 0) AS stored,
   greatest(coalesce(j.jobs, 0) - coalesce(a.stored, 0), 0) AS failed,
   coalesce(j.jobs, 0) > 0 AND coalesce(a.stored, 0) = 0 AS silent
 FROM (SELECT company_id, 4 * count(*) AS jobs FROM leaves JOIN codes USING (company_id) GROUP BY company_id) j
 FULL JOIN (SELECT company_id, count(*) AS stored FROM prices WHERE total_c IS NOT NULL AND len(promo_codes) > 0
   GROUP BY company_id) a ON a.company_id = j.company_id
-""",
-    {**USABLE, **LEAVES},
-)
+"""
+
+
+@check(ACCOUNTING, {**USABLE, **LEAVES})
 def run_accounting(spark, folder):
     t = star_tables(spark, folder)
     jobs = work.quote_jobs(t, as_of="2001-06-01", with_code_only=True)
     answers = t.prices.where(F.col("total_cost").isNotNull() & (F.size("promo_codes") > 0))
     return plain(work.run_accounting(jobs, answers))
+
+
+def _answered(spark, folder):
+    """Answers with a code in three batches, the second of which is delivered twice."""
+    t, out = star_tables(spark, folder), work_folder(spark, "answers")
+    answers = t.prices.where(F.size("promo_codes") > 0)
+    for batch in (0, 1, 1, 2):
+        write_accounted(answers.where(F.col("id") % 3 == batch), out, batch)
+    return t, out
+
+
+@check(ACCOUNTING, {**USABLE, **LEAVES})
+def run_accounting_observed(spark, folder):
+    """From the counts that the writes left, without reading the answers again."""
+    t, out = _answered(spark, folder)
+    stored = accounted(spark, out).where("priced > 0").select("company_id", F.col("priced").alias("stored"))
+    return plain(work.accounting_of_counts(work.quote_jobs(t, as_of="2001-06-01", with_code_only=True), stored))
+
+
+@check("SELECT id % 3 AS batch_id, count(*) AS rows, count(total_c) AS priced FROM prices WHERE len(promo_codes) > 0 GROUP BY ALL")
+def answer_totals(spark, folder):
+    """Totals observed by the writes themselves."""
+    return plain(accounted(spark, _answered(spark, folder)[1], "totals"), "batch_id", "rows", "priced")

@@ -68,8 +68,13 @@ def quote_jobs(
 
 def run_accounting(jobs: DataFrame, answers: DataFrame) -> DataFrame:
     """Per company: jobs planned, rows stored, failed jobs, and whether nothing came back."""
+    return accounting_of_counts(jobs, answers.groupBy("company_id").agg(F.count(F.lit(1)).alias("stored")))
+
+
+def accounting_of_counts(jobs: DataFrame, stored: DataFrame) -> DataFrame:
+    """``run_accounting`` from counts (company_id, stored) that the writes left, several per company if need be."""
     sides = jobs.groupBy("company_id").agg(F.count(F.lit(1)).alias("jobs")).unionByName(
-        answers.groupBy("company_id").agg(F.count(F.lit(1)).alias("stored")), allowMissingColumns=True
+        stored.select("company_id", "stored"), allowMissingColumns=True
     )
     totals = sides.groupBy("company_id").agg(
         F.coalesce(F.sum("jobs"), F.lit(0)).alias("jobs"), F.coalesce(F.sum("stored"), F.lit(0)).alias("stored")

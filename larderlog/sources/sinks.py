@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dates import bucket
@@ -93,6 +93,31 @@ def settle(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def write_accounted(rows: DataFrame, root: str, batch_id: int, by: Sequence[str] = ("company_id",)) -> dict[str, int]:
+    """Write a batch with its accounting; gives its totals.
+
+    Totals (``rows``, ``priced``) are observed while the rows are written, nothing
+    is read again for them.  Counts per ``by`` are one aggregate over the columns it needs of what was written.
+    A batch that is run again replaces its rows and its accounting.
+    """
+    root, seen = root.rstrip("/"), Observation()
+    observed = rows.observe(seen, F.count(F.lit(1)).alias("rows"), F.count("total_cost").alias("priced"))
+    observed.write.mode("overwrite").parquet(f"{root}/rows/batch_id={batch_id}")
+    totals = {k: int(v) for k, v in seen.get.items()}
+    spark = rows.sparkSession
+    note = spark.createDataFrame([(totals["rows"], totals["priced"])], "rows BIGINT, priced BIGINT")
+    written = spark.read.schema(rows.schema).parquet(f"{root}/rows/batch_id={batch_id}")
+    counts = written.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.count("total_cost").alias("priced"))
+    counts.write.mode("overwrite").parquet(f"{root}/counts/batch_id={batch_id}")
+    note.coalesce(1).write.mode("overwrite").parquet(f"{root}/totals/batch_id={batch_id}")
+    return totals
+
+
+def accounted(spark: SparkSession, root: str, what: str = "counts") -> DataFrame:
+    """``counts`` per key and batch, or the ``totals`` per batch."""
+    return spark.read.parquet(f"{root.rstrip('/')}/{what}")
+
+
 def snapshot_documents(
     catalogue: DataFrame,
     leaves: DataFrame,

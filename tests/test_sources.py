@@ -172,3 +172,15 @@ def test_unknown_fields_survive_beside_the_known_ones(spark):
     assert sorted(map(str, got.drop("extra").collect())) == sorted(map(str, plain.collect()))
     told = {(r["field"], r["type"]): r["n"] for r in payloads.appeared_fields(df, "quote", "payload").collect()}
     assert told == {("loyalty", "BIGINT"): 1, ("loyalty", "VOID"): 1, ("Company_Id", "STRING"): 1, ("cart.coupon", "OBJECT<code: STRING>"): 1}
+
+
+def test_accounting_comes_from_the_writes(make, spark, tmp_path):
+    batch = lambda *totals: make("prices", *[{"company_id": c, "total_cost": v} for c, v in totals])
+    root = str(tmp_path)
+    assert sinks.write_accounted(batch(("a", 1.0), ("a", None), (None, 2.0)), root, 0) == {"rows": 3, "priced": 2}
+    assert sinks.write_accounted(batch(("b", 1.0)), root, 1) == {"rows": 1, "priced": 1}
+    assert sinks.write_accounted(batch(("a", 1.0), ("b", 1.0)), root, 1) == {"rows": 2, "priced": 2}  # run again
+    assert sinks.write_accounted(batch().limit(0), root, 2) == {"rows": 0, "priced": 0}
+    counts = sinks.accounted(spark, root).groupBy("company_id").agg(F.sum("rows").alias("r"), F.sum("priced").alias("p"))
+    assert sorted(rows(counts), key=str) == sorted([("a", 3, 2), ("b", 1, 1), (None, 1, 1)], key=str)
+    assert sorted(rows(sinks.accounted(spark, root, "totals"), "batch_id", "rows", "priced")) == [(0, 3, 2), (1, 2, 2), (2, 0, 0)]
