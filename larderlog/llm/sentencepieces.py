@@ -38,6 +38,8 @@ SEGMENTS, PAIRS = 200_000, 100_000
 SHORT = 64
 #: Texts that a task turns into ids at a time.
 TEXTS_AT_ONCE = 200
+#: Chunks that are traced back at a time.
+CHUNKS_AT_ONCE = 16
 SPACE_MARK = "▁"
 NEVER = -np.inf
 NO_MERGE = 1 << 40
@@ -431,10 +433,10 @@ def _border_states(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _traced_chunks(file: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = pieces_of(file)
-        for rows in batches:
+        for rows in few_rows(batches, CHUNKS_AT_ONCE):
             ids = [p.traced_chunk(*map(_as_marked, (r.left, r.body, r.right)), r.at == 0, r.at == r.last, r.came, r.went)
                    for r in rows.itertuples(index=False)]
-            yield pd.DataFrame({"key": rows["key"], "at": rows["at"], "body": rows["body"], "ids": ids})
+            yield pd.DataFrame({"key": rows["key"], "at": rows["at"], "body": rows["body"], "ids": [np.array(i, dtype=np.int32) for i in ids]})
 
     return run
 

@@ -7,7 +7,7 @@ import xxhash
 
 from .common import WORDS_PER_SHINGLE
 
-_CACHED_WORDS = 250_000
+_CACHED_WORDS = 100_000
 
 
 class _WordHashes(dict):
