@@ -58,14 +58,14 @@ def price_change_stream(spark, folder):
 
 @check(CHANGES)
 def price_change_keyed_stream(spark, folder):
-    """The same by state per combination; every file arrives an hour after the one before."""
+    """The same by state per leaf; every delivery of up to eight files arrives an hour after the one before."""
     out = work_folder(spark, "keyed-changes")
     series = price_series(load(spark, folder, "events"))
     for hour in range(3):
         part = series.where(F.pmod(F.xxhash64("id"), F.lit(3)) == hour)
         part = part.withColumn("landed_at", F.expr(f"TIMESTAMP '2024-03-01 0{hour}:00:00'"))
-        part.coalesce(1).write.mode("append").parquet(f"{out}/landed")
-    quotes = spark.readStream.schema(part.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/landed")
+        part.repartition(8, "id").write.mode("append").parquet(f"{out}/landed")
+    quotes = spark.readStream.schema(part.schema).option("maxFilesPerTrigger", 8).parquet(f"{out}/landed")
     told = keyed.keyed_changes(quotes, "landed_at", lateness="400 days")
     keyed.write_keyed_changes(told, f"{out}/changes", f"{out}/checkpoint").awaitTermination()
     return changed(keyed.read_keyed_changes(spark, f"{out}/changes"))

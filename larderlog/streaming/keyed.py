@@ -1,14 +1,18 @@
-"""Price changes by state per combination, with timers.
-
-Each combination keeps its captures of the last ``lateness`` and the instant before
-them, in Spark's own state store; a micro-batch costs the combinations it brings.  The
-timer runs on the arrival of captures: a combination of which nothing arrived for
-``expiry`` is forgotten, and its next capture counts as the first.
+"""Price changes by state per leaf, with timers.
+
+Each leaf keeps, of every combination (order length, codes) it is quoted for, the
+captures of the last ``lateness`` and the instant before them, in Spark's own state
+store; a micro-batch costs the leaves it brings.  Timers run on the arrival of
+captures: a combination of which nothing arrived for ``expiry`` is forgotten, and its
+next capture counts as the first.  A leaf is one call of the Python function with few
+columns, as a call costs more than the rows of a leaf: quotes come and go as JSON.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -21,8 +25,13 @@ from ..operators.keyed import top_rows
 from ..plans.pricing import QUOTED
 
 PRICE = "per_day_cost_with_discounts"
-#: What a combination keeps of a capture; times are microseconds.
-STATE = "seq LONG, arrived_ms LONG, times ARRAY<LONG>, ids ARRAY<LONG>, prices ARRAY<DECIMAL(10,2)>"
+#: The parts of a combination's key that share a state.
+LEAF = ["company_id", "city_id", "diet_calories_id"]
+#: What a combination keeps of its captures; times are microseconds.
+STATE = (
+    "combinations ARRAY<STRUCT<order_days: INT, promo_codes: ARRAY<STRING>, seq: LONG, arrived_ms: LONG, "
+    "times: ARRAY<LONG>, ids: ARRAY<LONG>, prices: ARRAY<DECIMAL(10,2)>>>"
+)
 CHANGE = (
     "company_id STRING, city_id LONG, diet_calories_id LONG, order_days INT, promo_codes ARRAY<STRING>, captured_us LONG, id LONG, "
     f"{PRICE} DECIMAL(10,2), prev_per_day DECIMAL(10,2), changed BOOLEAN, late BOOLEAN, seq LONG"
@@ -68,36 +77,45 @@ def kept_captures(captures: list[Capture], lateness_us: int) -> list[Capture]:
 def _told(lateness_us: int, expiry_ms: int):
     columns = [part.split()[0] for part in CHANGE.split(", ")]
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        seq, stored = 0, []
-        last, times, ids, prices = 0, [], [], []
-        if state.exists:
-            seq, last, times, ids, prices = state.get
-        arriving: list[Capture] = []
-        first, arrived = None, last
-        for rows in batches:
-            told_prices = [None if pd.isna(p) else p for p in rows[PRICE]]
-            arriving += zip(rows["captured_us"].astype(int), rows["id"].astype(int), told_prices)
-            arrived = max(arrived, int(rows["arrived_ms"].max()))
-            first = min(int(rows["arrived_ms"].min()), arrived if first is None else first)
+    def told_of(combination: tuple, stored_state: tuple | None, arriving: list[dict]) -> tuple[tuple, list[tuple]]:
+        """The next state of a combination and what is told of it."""
+        seq, last, times, ids, prices = stored_state or (0, 0, [], [], [])
+        stored: list[Capture] = []
         # Also where captures come in the very batch that would have fired the timer.
-        if first is not None and first <= last + expiry_ms:
+        if min(q["arrived_ms"] for q in arriving) <= last + expiry_ms:
             stored = list(zip(times, ids, prices))
+        captures = [(q["captured_us"], q["id"], Decimal(q["price"]) if "price" in q else None) for q in arriving]
         floor = max(c[0] for c in stored) - lateness_us if stored else None
-        late = [c for c in arriving if floor is not None and c[0] < floor]
-        new = [c for c in arriving if floor is None or c[0] >= floor]
+        late = [c for c in captures if floor is not None and c[0] < floor]
+        new = [c for c in captures if floor is None or c[0] >= floor]
+        kept = kept_captures(stored + new, lateness_us)
+        arrived = max(last, *(q["arrived_ms"] for q in arriving))
+        state = (*combination, seq + 1, arrived, [c[0] for c in kept], [c[1] for c in kept], [c[2] for c in kept])
         told = [(*c, before, changed, False) for c, before, changed in told_changes(stored, new)] + [(*c, None, False, True) for c in late]
-        if stored or new:
-            kept = kept_captures(stored + new, lateness_us)
-            state.update((seq + 1, arrived, [int(c[0]) for c in kept], [int(c[1]) for c in kept], [c[2] for c in kept]))
-            # A timer never lies behind the watermark.
-            state.setTimeoutTimestamp(max(arrived, state.getCurrentWatermarkMs()) + expiry_ms)
-        if told:
-            named = [(*key[:4], list(key[4]), int(at), int(i), price, before, changed, is_late, seq + 1) for at, i, price, before, changed, is_late in told]
-            yield pd.DataFrame(named, columns=columns)
+        return state, [(*t, seq + 1) for t in told]
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        known = {(c[0], tuple(c[1])): tuple(c) for c in state.get[0]} if state.exists else {}
+        arriving: dict[tuple, list[dict]] = {}
+        if not state.hasTimedOut:
+            for rows in batches:
+                for q in map(json.loads, rows["quote"]):
+                    arriving.setdefault((q["order_days"], tuple(q["promo_codes"])), []).append(q)
+        leaf, out = [key[0], int(key[1]), int(key[2])], []
+        for (days, codes), quotes in arriving.items():
+            before = known.get((days, codes))
+            known[days, codes], told = told_of((days, list(codes)), before[2:] if before else None, quotes)
+            out += [json.dumps(dict(zip(columns, [*leaf, days, codes, *t])), default=str) for t in told]
+        # The timer is that of the combination that expires first; the others outlive it.
+        now = state.getCurrentWatermarkMs()
+        kept = [c for k, c in known.items() if k in arriving or c[3] + expiry_ms > now]
+        if kept:
+            state.update((kept,))
+            state.setTimeoutTimestamp(max(min(c[3] for c in kept), now) + expiry_ms if arriving else min(c[3] for c in kept) + expiry_ms)
+        elif state.exists:
+            state.remove()
+        if out:
+            yield pd.DataFrame({"told": out})
 
     return run
 
@@ -111,13 +129,15 @@ def keyed_changes(quotes: DataFrame, arrived: str, lateness: str = "2 days", exp
     ``late`` and change nothing.  Rows without a key part or a time are left out.
     """
     usable = quotes.dropna(subset=[*QUOTED, "captured_at"])
-    rows = usable.select(
-        *QUOTED, F.unix_micros("captured_at").alias("captured_us"), "id", F.col(PRICE).cast("decimal(10,2)").alias(PRICE), F.col(arrived).alias("arrived"),
-        F.unix_millis(arrived).alias("arrived_ms"),
-    ).withWatermark("arrived", "0 seconds")
-    told = rows.groupBy(*QUOTED).applyInPandasWithState(
-        _told(_micros(lateness), _micros(expiry) // 1000), CHANGE, STATE, "append", GroupStateTimeout.EventTimeTimeout
+    quote = F.struct(
+        F.col("order_days").cast("int").alias("order_days"), "promo_codes", F.unix_micros("captured_at").alias("captured_us"), "id",
+        F.col(PRICE).cast("decimal(10,2)").cast("string").alias("price"), F.unix_millis(arrived).alias("arrived_ms"),
+    )
+    rows = usable.select(*LEAF, F.to_json(quote).alias("quote"), F.col(arrived).alias("arrived")).withWatermark("arrived", "0 seconds")
+    told = rows.groupBy(*LEAF).applyInPandasWithState(
+        _told(_micros(lateness), _micros(expiry) // 1000), "told STRING", STATE, "append", GroupStateTimeout.EventTimeTimeout
     )
+    told = told.select(F.from_json("told", CHANGE, {"mode": "FAILFAST"}).alias("t")).select("t.*")
     return told.withColumn("captured_at", F.timestamp_micros("captured_us")).drop("captured_us")
 
 

@@ -72,3 +72,21 @@ def test_state_keeps_the_lateness_and_one_instant_before_it():
     assert keyed.kept_captures(captures[:1], 2) == captures[:1]
     told = keyed.told_changes(captures[:3], [(10, 3, None), (10, 4, 7)])
     assert told == [((10, 3, None), 7, True), ((10, 4, 7), 7, False)]
+
+
+def test_combinations_of_a_leaf_share_one_state_and_expire_one_by_one(make, spark, tmp_path):
+    def coded(i, at, value, days, codes):
+        return {**quote(i, 1, at, value), "order_days": days, "promo_codes": codes}
+
+    groups = [[coded(1, "2026-05-01", 5.0, 10, []), coded(2, "2026-05-01", 7.0, 10, ["ł\"A", "B"]), coded(3, "2026-05-01", 9.0, 5, [])],
+              [coded(4, "2026-05-02", 6.0, 10, [])], [coded(5, "2026-05-03", None, 10, [])],
+              [coded(6, "2026-05-04", 8.0, 10, ["ł\"A", "B"]), coded(7, "2026-05-04", 1.25, 10, [])]]
+    (tmp_path / "a").mkdir(), (tmp_path / "b").mkdir()
+    # Nothing came of the coded one for three days, so it begins anew; the plain one goes on.
+    assert sorted(rows(run(make, spark, tmp_path / "a", groups, expiry="36 hours")[1], "id", "prev_per_day")) == [(4, 5.0), (5, 6.0), (7, None)]
+    left = spark.read.format("statestore").load(str(tmp_path / "a" / "check"))
+    assert [len(r[0]) for r in left.selectExpr("inline(array(value))").selectExpr("groupState.combinations").collect()] == [2]
+    told, stand = run(make, spark, tmp_path / "b", groups)
+    assert sorted(rows(stand, "id", "promo_codes"))[2] == (6, ["ł\"A", "B"])
+    left = spark.read.format("statestore").load(str(tmp_path / "b" / "check"))
+    assert left.count() == 1
