@@ -46,8 +46,8 @@ def variant_meals(
     """Dishes served lately under a leaf or its siblings, most frequent first per slot."""
     siblings = sibling_leaves(t.diet_calories, target_option(t.diet_calories, company, leaf, tier))
     menu = t.daily_menu.where(F.col("company_id") == company)
-    served = _lineup(menu, t.meals.where(F.col("company_id") == company), as_of, days)
-    rows = _tally(served.join(siblings, ["company_id", "diet_calories_id"], "left_semi"), [])
+    served = _lineup(menu, as_of, days)
+    rows = _tally(served.join(siblings, ["company_id", "diet_calories_id"], "left_semi"), [], t.meals.where(F.col("company_id") == company))
     return rows.orderBy("slot_name", F.desc("occurrences"), F.desc("last_seen_date"), "name")
 
 
@@ -55,26 +55,29 @@ def option_meals(t: Tables, as_of=None, days: int = 14) -> DataFrame:
     """``variant_meals`` for every option group at once."""
     group = ["diet_id", "tier_id", "diet_option_id"]
     groups = t.diet_calories.select("company_id", "diet_calories_id", *group).distinct()
-    served = _lineup(t.daily_menu, t.meals, as_of, days).drop("tier_id")
-    return _tally(served.join(groups, ["company_id", "diet_calories_id"]), ["company_id", *group])
+    served = _lineup(t.daily_menu, as_of, days).drop("tier_id")
+    return _tally(served.join(groups, ["company_id", "diet_calories_id"]), ["company_id", *group], t.meals)
 
 
-def _lineup(menu: DataFrame, meals: DataFrame, as_of, days: int) -> DataFrame:
+def _lineup(menu: DataFrame, as_of, days: int) -> DataFrame:
     recent = menu.where(
         (F.col("menu_date") >= F.date_sub(as_date(as_of), days)) & F.col("meal_name").isNotNull()
     )
     # A dish is often planned for many leaves and captures; one row per day is enough.
-    shown = recent.select(
+    return recent.select(
         "company_id", "diet_calories_id", "tier_id", "menu_date", "slot_name", F.col("meal_name").alias("name")
     ).distinct()
-    return shown.join(meals.select("company_id", *DISH), ["company_id", "name"])
 
 
-def _tally(served: DataFrame, keys: list[str]) -> DataFrame:
-    return served.groupBy(*keys, "slot_name", *DISH).agg(
+def _tally(served: DataFrame, keys: list[str], meals: DataFrame) -> DataFrame:
+    """Days are counted in narrow rows; the dish's fields come by a join afterwards."""
+    group = [*keys, "company_id"] if "company_id" not in keys else keys
+    counted = served.groupBy(*group, "slot_name", "name").agg(
         day_text(F.max("menu_date")).alias("last_seen_date"),
         F.countDistinct("menu_date").alias("occurrences"),
     )
+    rows = counted.join(meals.select("company_id", *DISH).distinct(), ["company_id", "name"])
+    return rows.select(*keys, "slot_name", *DISH, "last_seen_date", "occurrences")
 
 
 SERVED = ["company_id", "diet_calories_id", "slot_name", "name", "month"]

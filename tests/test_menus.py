@@ -118,3 +118,17 @@ def test_dish_fold_is_batch_split_invariant(spark):
     assert sorted(rows(drift), key=str) == sorted(rows(d1.unionByName(d2)), key=str)
     same, none_new = fold(spark, second, dish(spark, (9, "X", "f1", "2026-05-09")))
     assert none_new.count() == 0 and {r.name: r.updated_at for r in same.collect()}["X"] == ts("2026-05-04")
+
+
+def test_dish_fields_join_after_the_days_are_counted(make):
+    from types import SimpleNamespace
+
+    t = SimpleNamespace(
+        daily_menu=make("daily_menu", entry(1, "2026-05-01", "x")),
+        meals=make("meals", {"company_id": "a", "name": "x"}), diet_calories=make("diet_calories", {"company_id": "a", "diet_id": 1, "diet_calories_id": 1}),
+    )
+    found = menus.option_meals(t, as_of="2026-05-02")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    counts = [line for line in plan.splitlines() if "Aggregate" in line and "count(distinct" in line]
+    assert counts and not any("allergens" in line for line in counts)
+    assert [(r.name, r.occurrences) for r in found.collect()] == [("x", 1)]
