@@ -27,6 +27,11 @@ def stream(spark, folder, name):
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
+def land_text(lines, path):
+    """Payloads land compressed; files stay small, as one of them is read by one task."""
+    lines.write.option("compression", "gzip").option("maxRecordsPerFile", 250_000).text(path)
+
+
 @check(
     """
 SELECT strftime(date_trunc('day', captured_at), '%Y-%m-%d') AS day, company_id, diet_calories_id,
@@ -81,9 +86,9 @@ def stream_rejects(spark, folder):
     out = work_folder(spark, "rejects")
     key = F.col("o_orderkey")
     good = F.to_json(F.struct(key.cast("string").alias("company_id"), F.col("o_orderdate").alias("captured_at")))
-    load(spark, folder, "orders").select(
+    land_text(load(spark, folder, "orders").select(
         F.when(key % 3 == 0, F.concat(F.lit("not json "), key.cast("string"))).otherwise(good).alias("value")
-    ).write.text(f"{out}/landed")
+    ), f"{out}/landed")
     ingest.append_stream(
         stream_payload(spark, "quote", f"{out}/landed"), normalise.price_rows, f"{out}/prices", f"{out}/checkpoint",
         unit="year",
@@ -131,7 +136,7 @@ SELECT CAST(l_partkey // 20 AS VARCHAR) AS company_id, l_partkey AS diet_calorie
 )
 def quote_ingest_stream(spark, folder):
     out = work_folder(spark, "quotes")
-    texts.quotes(spark, folder).withColumnRenamed("payload", "value").write.text(f"{out}/landed")
+    land_text(texts.quotes(spark, folder).withColumnRenamed("payload", "value"), f"{out}/landed")
     ingest.append_stream(
         stream_payload(spark, "quote", f"{out}/landed"), normalise.price_rows, f"{out}/prices", f"{out}/checkpoint",
         unit="year",

@@ -116,3 +116,11 @@ def test_redelivered_rows_are_dropped(make, spark, tmp_path):
         "checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
     query.awaitTermination()
     assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2, 3, 4]
+
+
+def test_text_lands_compressed_in_small_files(spark, tmp_path):
+    from checks.stream_checks import land_text
+
+    land_text(spark.range(600_000).coalesce(1).selectExpr("concat('{\"id\": ', id, '}') AS value"), str(tmp_path / "t"))
+    assert len(list((tmp_path / "t").glob("*.txt.gz"))) == len(list((tmp_path / "t").glob("part-*"))) == 3
+    assert spark.read.text(str(tmp_path / "t")).distinct().count() == 600_000
