@@ -50,11 +50,11 @@ def daily_cheapest_stream(spark, folder):
 
 @check(CHANGES)
 def price_change_stream(spark, folder):
-    """Captures arrive in no order, in several files and micro-batches."""
+    """Captures arrive in no order, in three micro-batches of eight files."""
     out = work_folder(spark, "price-changes")
     series = price_series(load(spark, folder, "events"))
-    series.repartition(3, F.xxhash64("id")).write.parquet(f"{out}/landed")
-    quotes = spark.readStream.schema(series.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/landed")
+    series.repartition(24, F.xxhash64("id")).write.parquet(f"{out}/landed")
+    quotes = spark.readStream.schema(series.schema).option("maxFilesPerTrigger", 8).parquet(f"{out}/landed")
     prices.change_stream(
         quotes, f"{out}/events", f"{out}/state", f"{out}/checkpoint", lateness="400 days"
     ).awaitTermination()

@@ -124,3 +124,30 @@ def test_text_lands_compressed_in_small_files(spark, tmp_path):
     land_text(spark.range(600_000).coalesce(1).selectExpr("concat('{\"id\": ', id, '}') AS value"), str(tmp_path / "t"))
     assert len(list((tmp_path / "t").glob("*.txt.gz"))) == len(list((tmp_path / "t").glob("part-*"))) == 3
     assert spark.read.text(str(tmp_path / "t")).distinct().count() == 600_000
+
+
+class Landed(Exception):
+    pass
+
+
+def landed_files(spark, monkeypatch, tmp_path, query, module, reader):
+    """How many files a query's input lands in, before anything reads them."""
+    from checks import stream_checks
+
+    def stop(*args, **options):
+        raise Landed
+
+    monkeypatch.setattr(stream_checks, "work_folder", lambda *_: str(tmp_path))
+    monkeypatch.setattr(getattr(stream_checks, module), reader, stop)
+    try:
+        getattr(stream_checks, query)(spark, "/root/testdata/sf0.001")
+    except Landed:
+        return len(list((tmp_path / "landed").glob("part-*")))
+
+
+def test_a_micro_batch_of_price_changes_is_read_by_several_tasks(spark, monkeypatch, tmp_path):
+    assert landed_files(spark, monkeypatch, tmp_path, "price_change_stream", "prices", "change_stream") == 24
+
+
+def test_a_micro_batch_of_sightings_is_read_by_several_tasks(spark, monkeypatch, tmp_path):
+    assert landed_files(spark, monkeypatch, tmp_path, "campaign_bucket_stream", "ingest", "bucketed_fold_stream") > 8
