@@ -114,12 +114,14 @@ def campaign_stream(spark, folder):
 
 @check(CAMPAIGN_SQL + "FROM campaigns")
 def campaign_bucket_stream(spark, folder):
-    """Sightings land in eight files, one micro-batch each; at most two versions of a bucket can be read."""
+    """Sightings land in eight deliveries of eight files, one micro-batch each; at most two versions of a bucket can be read."""
     firms = companies(load(spark, folder, "supplier"))
     out = work_folder(spark, "campaign-buckets")
     landed = load(spark, folder, "orders")
-    landed.repartition(8, "o_orderpriority", "o_orderstatus").write.parquet(f"{out}/landed")
-    orders = spark.readStream.schema(landed.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/landed")
+    delivery = F.pmod(F.xxhash64("o_orderpriority", "o_orderstatus"), F.lit(8))
+    for n in range(8):
+        landed.where(delivery == n).repartition(8, "o_orderkey").write.mode("append").parquet(f"{out}/landed")
+    orders = spark.readStream.schema(landed.schema).option("maxFilesPerTrigger", 8).parquet(f"{out}/landed")
     kept = BucketedState(spark, f"{out}/state", table("campaigns"), ["code", "source", "company_id"], buckets=16, keep=2)
     ingest.bucketed_fold_stream(
         promo_observations(orders), state.fold_campaigns, kept, f"{out}/checkpoint",
