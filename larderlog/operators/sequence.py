@@ -1,9 +1,10 @@
 """Order-dependent operators for keys of any size.
 
-A plain window sends all rows of a key to one task.  Here every key is cut into
+A plain window sends all rows of a key to one task.  Here a key is cut into
 segments of time, windowed inside (key, segment), and one summary row per segment
 hands its last value on to the next segment of the key.  The result equals the
 plain window; the wide rows are exchanged once, the summaries are narrow.
+``previous_values`` cuts crowded keys only and leaves the others to the plain window.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import same_key_join
+from .keyed import crowded
 
 
 def _carried(rows: DataFrame, keys: Sequence[str], packed: Column, order: Column) -> DataFrame:
@@ -37,7 +39,24 @@ def previous_values(
     ``order`` must be a total order without NULLs, and the tuple ``segment`` must
     grow with it (a truncated time, say).  A previous row whose values are NULL
     still gives a non-NULL struct.
+
+    Keys are counted first.  Rows of keys that are not crowded are exchanged once, by
+    their key; segments and their summaries cost crowded keys alone.
     """
+    busy = crowded(df, keys)
+    if busy is not None:
+        hot = _stitched(df.where(busy), keys, order, values, segment, name)
+        return _in_one_window(df.where(~busy), keys, order, values, name).unionByName(hot)
+    return _in_one_window(df, keys, order, values, name)
+
+
+def _in_one_window(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str], name: str) -> DataFrame:
+    return df.withColumn(name, F.lag(F.struct(*values)).over(Window.partitionBy(*keys).orderBy(*order)))
+
+
+def _stitched(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str], segment: Sequence[Column], name: str
+) -> DataFrame:
     packed = F.struct(*values)
     rows = df.withColumn("_seg", F.struct(*[s.alias(f"s{i}") for i, s in enumerate(segment)]))
     inside = Window.partitionBy(*keys, "_seg").orderBy(*order)

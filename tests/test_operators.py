@@ -11,7 +11,7 @@ from larderlog.operators.compare import snapshot_diff
 from larderlog.operators.folding import Policy, first_known, replace_groups, retire, upsert
 from larderlog.operators.joins import keep_known, same_key_join
 from larderlog.operators.keyed import best_per_bucket, current_with_previous, latest_rows
-from larderlog.operators import sequence
+from larderlog.operators import keyed, sequence
 from larderlog.operators.ranks import ranked_between
 from larderlog.operators.sequence import previous_values, strictly_earlier
 
@@ -240,3 +240,42 @@ def test_no_task_holds_a_key(spark):
     plan = ranked_between(df, ["k"], [F.asc("v"), F.asc("id")], 1500, 1600, 16)._jdf.queryExecution().executedPlan().toString()
     windows = [line for line in plan.splitlines() if "row_number()" in line and "Window [" in line]
     assert windows and all("_cell" in line for line in windows)
+
+
+@pytest.mark.parametrize("busy", [10**9, 50, 0])
+def test_previous_values_of_crowded_and_other_keys(spark, monkeypatch, busy):
+    monkeypatch.setattr(keyed, "CROWDED", busy)
+    data = captures(seed=8)
+    data += [(1000 + i, None, float(i), datetime(2026, 1, 1)) for i in range(30)]
+    df = spark.createDataFrame(data, "id int, k string, v double, t timestamp")
+    out = previous_values(df, ["k"], ["t", "id"], ["v"], [F.date_trunc("hour", "t")])
+    got = {r.id: None if r.previous is None else (r.previous.v,) for r in out.collect()}
+    want, last = {}, {}
+    for i, k, v, _ in sorted(data, key=lambda x: (x[3], x[0])):
+        want[i] = last.get(k)
+        last[k] = (v,)
+    assert got == want
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert ("Join" in plan) == (busy < len(data)) and plan.count("Window") >= 1 + 2 * ("Join" in plan)
+
+
+@pytest.mark.parametrize("busy,size", [(10**9, 10**6), (50, 100), (0, 7)])
+def test_dealt_rows_need_one_shuffle(spark, monkeypatch, busy, size):
+    monkeypatch.setattr(keyed, "CROWDED", busy)
+    monkeypatch.setattr(keyed, "ROWS_A_PART", size)
+    df = spark.createDataFrame(captures(seed=9) + [(1000, None, None, None)], "id int, k string, v double, t timestamp")
+    df = df.withColumn("day", F.to_date("t"))
+    keys, order = ["day", "k"], [F.desc_nulls_last("v"), F.desc("id")]
+    best = lambda some: keyed.top_rows(some, keys, order)
+    spread = keyed.dealt(df, ["day"], keys, best)
+    out = keyed.top_rows(spread, ["_part", *keys], order).drop("_part")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(out.collect(), key=str) == sorted(best(df).collect(), key=str)
+    assert plan.count("Exchange") == (1 if busy > 1000 else 2)  # the second is of crowded keys alone
+    if busy < 1000:  # what is left of the hot key is shuffled, not its rows
+        assert spread.where("k = 'hot'").count() < df.where("k = 'hot'").count() / 5
+
+
+def test_dealing_no_rows(spark):
+    df = spark.createDataFrame([], "k string, d int")
+    assert keyed.dealt(df, ["d"], ["k"], lambda some: some).count() == 0
