@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.dates import bucket
-from ..operators.keyed import top_rows
+from ..operators.keyed import dealt, top_rows
 
 
 @dataclass(frozen=True)
@@ -48,16 +48,21 @@ class BestRows:
         return top_rows(rows, self.keys, self.order)
 
     def add(self, rows: DataFrame, batch_id: int) -> None:
-        """Write the partials of a batch; its rows without a capture time go to a partition of their own."""
+        """Write the partials of a batch; its rows without a capture time go to a partition of their own.
+
+        Rows are shuffled once, for the choice per key and for the files; of crowded keys at most one row per key and map task.
+        """
         dated = rows.select(*self.schema.fieldNames()).withColumn("capture_date", F.to_date(bucket(self.at, self.unit)))
-        self._write(top_rows(dated, ["capture_date", *self.keys], self.order), batch_id)
+        keys = ["capture_date", *self.keys]
+        spread = dealt(dated, ["capture_date"], keys, lambda some: top_rows(some, keys, self.order))
+        self._write(top_rows(spread, ["_part", *keys], self.order).drop("_part"), batch_id)
 
     def _write(self, partials: DataFrame, batch_id: int) -> None:
         (
             partials.withColumn("batch_id", F.lit(batch_id).cast("long"))
-            .hint("rebalance", "capture_date")
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
+            .option("compression", "zstd")
             .partitionBy("capture_date", "batch_id")
             .parquet(self.root)
         )

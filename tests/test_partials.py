@@ -84,3 +84,12 @@ def test_roll_up(make, spark, tmp_path):
     assert coarse.partials().select(bucket("captured_at", "year")).distinct().count() <= 2
     with pytest.raises(ValueError, match="finer"):
         fine.view(until="2026-02-01", rolled=coarse)
+
+
+def test_a_batch_is_shuffled_once_for_choice_and_files(make, spark, tmp_path, monkeypatch):
+    plans = []
+    latest = pricing.latest_view(spark, str(tmp_path))
+    keep = lambda self, df, batch_id: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(type(latest), "_write", keep)
+    latest.add(make("prices", *quotes(60, 5)), 0)
+    assert plans[0].count("Exchange") == 1 and "rebalance" not in plans[0].lower()
