@@ -297,10 +297,9 @@ def menu_snapshot_diff_pruned(spark, folder):
     levels = [["menu_year"], ["menu_year", "menu_date", "company_id"]]
     keys, values = [*snapshots.MENU_ITEM, "menu_year"], ["is_default"]
     for name, which in (("a", F.col("captured_at") < F.lit(AS_OF).cast("timestamp")), ("b", F.lit(True))):
-        side = menu.where(which).withColumn("menu_year", F.year("menu_date"))
-        side = side.groupBy(*[k for k in keys if k != "meal_name"], F.coalesce("meal_name", F.lit("")).alias("meal_name"))
-        side = side.agg(F.bool_or("is_default").alias("is_default"))
-        write_compared(side, f"{out}/{name}", levels, keys, values)
+        side = menu.where(which).withColumns({"menu_year": F.year("menu_date"), "meal_name": F.coalesce("meal_name", F.lit(""))})
+        side = side.select(*keys, *values)
+        write_compared(side, f"{out}/{name}", levels, keys, values, merge={"is_default": F.bool_or("is_default")})
     diff = snapshots.stored_diff(spark, f"{out}/a", f"{out}/b", side.schema, levels, keys, values)
     return plain(diff.drop("menu_year"))
 

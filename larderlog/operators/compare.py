@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from .joins import same_key_join
 
+#: Differing partitions of a coarse level that are told to the finer one as a small table.
+MOST_TOLD = 10_000
+
 
 def snapshot_diff(
     before: DataFrame, after: DataFrame, keys: Sequence[str], values: Sequence[str]
@@ -92,6 +95,10 @@ def differing_partitions(before: DataFrame, after: DataFrame, levels: Sequence[S
             F.first(F.when(F.col("_side") == "a", F.col("_digest")), True).alias("_a"),
         )
         wanted = both.where(~F.col("_b").eqNullSafe(F.col("_a"))).select(*level)
+        if level is not levels[-1]:  # a small table leaves the digests where they are; very many partitions are joined
+            few = wanted.limit(MOST_TOLD + 1).collect()
+            if len(few) <= MOST_TOLD:
+                wanted = F.broadcast(before.sparkSession.createDataFrame(few, wanted.schema))
     return wanted
 
 

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dates import bucket
 from ..operators.compare import partition_digests
 from ..operators.joins import same_key_join
+from ..operators.keyed import dealt
 from ..session import work_folder
 
 # Columns that cluster the files of an observation table inside a date.
@@ -167,15 +168,34 @@ def write_snapshot(documents: DataFrame, path: str) -> None:
     )
 
 
-def write_compared(rows: DataFrame, path: str, levels: Sequence[Sequence[str]], keys: Sequence[str], values: Sequence[str]) -> None:
+def write_compared(
+    rows: DataFrame,
+    path: str,
+    levels: Sequence[Sequence[str]],
+    keys: Sequence[str],
+    values: Sequence[str],
+    merge: Mapping[str, Column] | None = None,
+) -> None:
     """Write one snapshot with the digests by which ``plans.snapshots.stored_diff`` prunes.
 
     Rows are partitioned by the columns of the first level and sorted by those
     of the last inside the files; digests are one narrow row per partition of the last level.
+
+    ``merge`` names an aggregate per value, which can be applied to its own results:
+    rows that share a key are merged, in the shuffle that clusters them.
     """
     path = path.rstrip("/")
     coarse, fine = list(levels[0]), list(levels[-1])
-    clustered = rows.select(*dict.fromkeys([*keys, *values])).hint("rebalance", *coarse).sortWithinPartitions(*coarse, *fine)
+    columns = list(dict.fromkeys([*keys, *values]))
+
+    def merged(some: DataFrame, *more: str) -> DataFrame:
+        return some.groupBy(*more, *keys).agg(*[merge[v].alias(v) for v in values]).select(*columns)
+
+    if merge is None:
+        clustered = rows.select(*columns).hint("rebalance", *coarse)
+    else:
+        clustered = merged(dealt(rows.select(*columns), coarse, keys, merged), "_part")
+    clustered = clustered.sortWithinPartitions(*coarse, *fine)
     clustered.write.mode("overwrite").partitionBy(*coarse).parquet(f"{path}/rows")
     written = read_compared(rows.sparkSession, path, rows.select(*dict.fromkeys([*keys, *values])).schema)
     partition_digests(written, fine, keys, values).write.mode("overwrite").parquet(f"{path}/digests")

@@ -6,6 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from larderlog.operators import compare
 from larderlog.operators.compare import differing_partitions, partition_digests, rolled_digests, snapshot_diff
 from larderlog.plans.snapshots import stored_diff
 from larderlog.sources.sinks import read_compared, write_compared
@@ -73,3 +74,30 @@ def test_digests_see_order_free_content_and_nothing_else(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     assert listed(rolled_digests(partition_digests(df, ["day", "company"], KEYS, VALUES), ["day"])) == listed(
         rolled_digests(partition_digests(df, ["day"], KEYS, VALUES), ["day"]))
+
+
+def test_repeated_keys_are_merged_while_they_are_written(spark, tmp_path):
+    once = [(*r[:3], r[3] is None) for r in snapshot(6)]
+    schema, values = "company string, day int, item string, v boolean", ["v"]
+    twice = spark.createDataFrame([(*r[:3], False) for r in once] + once + once, schema)
+    write_compared(twice, str(tmp_path / "a"), LEVELS, KEYS, values, merge={"v": F.bool_or("v")})
+    write_compared(spark.createDataFrame(once, schema), str(tmp_path / "b"), LEVELS, KEYS, values)
+    a, b = (read_compared(spark, str(tmp_path / x), twice.schema) for x in "ab")
+    assert listed(a.select("company", "day", "item", "v")) == sorted(map(str, spark.createDataFrame(once, schema).collect()))
+    assert stored_diff(spark, str(tmp_path / "a"), str(tmp_path / "b"), twice.schema, LEVELS, KEYS, values).count() == 0 and b.count() == a.count()
+
+
+def test_few_differing_partitions_leave_the_digests_unshuffled(spark, tmp_path, monkeypatch):
+    before = snapshot(2)
+    after = [(*r[:3], 7.0, r[4]) if r[:2] == ("b", 1) else r for r in before]
+    digests = [spark.read.parquet(f"{p}/digests") for p in stored(spark, tmp_path, before, after)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        told = differing_partitions(*digests, LEVELS)
+        monkeypatch.setattr(compare, "MOST_TOLD", 0)
+        joined = differing_partitions(*digests, LEVELS)
+        plans = [x._jdf.queryExecution().executedPlan().toString() for x in (told, joined)]
+        assert listed(told) == listed(joined) == ["Row(day=1, company='b')"]
+        assert "SortMergeJoin" not in plans[0] and "SortMergeJoin" in plans[1]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
