@@ -25,6 +25,8 @@ from larderlog.llm.toxicity import toxicity_of_texts
 #: Keys of at most so many documents (16 to 50 MB) are broadcast; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 PIECE_MODEL = "piece_bpe_32k.model"
+#: Segments a Python worker of the encoding remembers: it lives on beside the other stages.
+REMEMBERED_SEGMENTS = 50_000
 
 
 #: Stand-in ids of rows whose doc_id does not tell them apart begin here, below those of near_dedup.
@@ -114,7 +116,7 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     file = public_tokenizers.path(PIECE_MODEL)
-    return encode_pieces(docs, file, decode=True)
+    return encode_pieces(docs, file, decode=True, remembered=REMEMBERED_SEGMENTS)
 
 
 STAGES = [

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settled, spread_join, table
+from .common import lean, settled, spread_join, table
 from .components import components
 from .decontamination import shingle_sql
 from .shingles import minwise, shingle_sets
@@ -171,7 +171,7 @@ def _confirm(docs: DataFrame, pairs: DataFrame, percent: int, purpose: str, clus
     ids = (ids if clusters is None else ids.unionByName(clusters.select("_id"))).distinct()
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     texts = docs.join(ids, "_id", "left_semi").dropDuplicates(["_id", "_text"]).select("_id", "text")
-    sets = settled(texts.mapInPandas(_full_sets, "_id long, shingles binary"), f"{purpose}-sets")
+    sets = settled(texts.mapInPandas(lean(_full_sets), "_id long, shingles binary"), f"{purpose}-sets")
     both = pairs.join(sets.select(F.col("_id").alias("a"), F.col("shingles").alias("set_a")), "a").join(
         sets.select(F.col("_id").alias("b"), F.col("shingles").alias("set_b")), "b"
     )
@@ -245,7 +245,7 @@ _MEMBER = ["node", "_id", "n", "label", *_SKETCH]
 
 def _compare_nodes(rows: DataFrame, percent: int, differing: int) -> DataFrame:
     dealt = rows.select(*_MEMBER).repartition("node").sortWithinPartitions("node")
-    return dealt.mapInPandas(_node_pairs(percent, differing), "a long, b long, cluster long")
+    return dealt.mapInPandas(lean(_node_pairs(percent, differing)), "a long, b long, cluster long")
 
 
 def _sized(rows: DataFrame) -> DataFrame:
@@ -270,7 +270,7 @@ def similar_groups(docs: DataFrame, percent: int = 80) -> DataFrame:
     similarity = percent / 100
     trees, differing = trees_for(similarity), most_differing_bits(similarity)
     docs = docs.select(_own_id().alias("_id"), "doc_id", "text")
-    rows = settled(docs.mapInPandas(_signatures(trees), _SIGNED), "signatures")
+    rows = settled(docs.mapInPandas(lean(_signatures(trees)), _SIGNED), "signatures")
     classes = rows.where("n > 0").groupBy("digest").agg(
         F.min("_id").alias("_id"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in ("roots", "tokens", *_SKETCH)]
     )

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import few_rows, settled, table, text_of, warm_join
+from .common import few_rows, lean, settled, table, text_of, warm_join
 
 #: Characters of a chunk; longer documents are cut.  Chunks whose matrices one task combines.
 CHUNK, SPAN = 32_768, 64
@@ -69,6 +69,7 @@ class Pieces:
         for b, i in enumerate(self.byte_ids):
             self.as_bytes[i] = bytes([b])
         self.segments: dict[str, tuple[int, ...]] = {}
+        self.most_segments = SEGMENTS
         self._number_merges()
         self.pairs: dict[str, dict[str, bool]] = {}
         self.n_pairs = 0
@@ -169,7 +170,7 @@ class Pieces:
     def learn(self, segments: set[str]) -> None:
         """Remember the ids of all short segments of a few texts."""
         fresh = [s for s in segments if len(s) <= SHORT and s not in self.segments]
-        if len(self.segments) + len(fresh) > SEGMENTS:
+        if len(self.segments) + len(fresh) > self.most_segments:
             self.segments.clear()
             fresh = [s for s in segments if len(s) <= SHORT]
         for at in range(0, len(fresh), 20_000):
@@ -368,9 +369,10 @@ def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[list]:
         yield held
 
 
-def _short(file: str, decode: bool):
+def _short(file: str, decode: bool, remembered: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = pieces_of(file)
+        p.most_segments = remembered
         for rows in few_rows(batches, TEXTS_AT_ONCE):
             ids = p.encode_many([p.marked(t) for t in rows["text"]])
             out = {"doc_id": rows["doc_id"], "text": rows["text"], "ids": [np.array(i, dtype=np.int32) for i in ids]}
@@ -450,17 +452,20 @@ def _decoded(file: str):
     return run
 
 
-def encode_pieces(docs: DataFrame, file: str, chunk: int = CHUNK, span: int = SPAN, decode: bool = False) -> DataFrame:
+def encode_pieces(
+    docs: DataFrame, file: str, chunk: int = CHUNK, span: int = SPAN, decode: bool = False, remembered: int = SEGMENTS
+) -> DataFrame:
     """doc_id, text, ids (array<int>) of every row of (doc_id, text); with ``decode`` the text decoded from the ids, too.
 
     ``file`` is a SentencePiece BPE model; ids equal the library's, without
     begin or end.  Null and empty texts have no ids; repeated rows are encoded
     row by row; an empty table gives no rows; other columns are ignored.
+    ``remembered`` bounds the segments whose ids a Python worker keeps, which changes its memory and no result.
     """
     rows = docs.select("doc_id", text_of().alias("text"))
     short = F.length("text") < chunk  # a mark goes in front
     schema = "doc_id long, text string, ids array<int>" + (", decoded string" if decode else "")
-    done = rows.where(short).mapInPandas(_short(file, decode), schema)
+    done = rows.where(short).mapInPandas(lean(_short(file, decode, remembered)), schema)
 
     # Chunks with as much of their neighbours as a piece may span; a space goes in front of the text.
     margin = pieces_of(file).longest
@@ -484,7 +489,7 @@ def encode_pieces(docs: DataFrame, file: str, chunk: int = CHUNK, span: int = SP
     )
     borders = matrices.join(vectors, ["key", "span"]).repartition("key", "span").sortWithinPartitions("key", "span", "at")
     states = borders.mapInPandas(_border_states, "key binary, at int, came int, went int")
-    traced = chunks.join(states, ["key", "at"]).mapInPandas(_traced_chunks(file), "key binary, at int, body string, ids array<int>")
+    traced = chunks.join(states, ["key", "at"]).mapInPandas(lean(_traced_chunks(file)), "key binary, at int, body string, ids array<int>")
     parts = traced.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "body", "ids"))).alias("_parts"))
     whole = parts.select("key", F.expr("substring(array_join(_parts.body, ''), 2)").alias("text"), F.flatten("_parts.ids").alias("ids"))
     # The text comes back from its chunks, so the documents' own rows are narrow.

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import few_rows, settled, table, text_key, text_of
+from .common import few_rows, lean, settled, table, text_key, text_of
 
 #: Bounds: distinct labelled texts that terms are mined from, documents that the linear classifier is fitted on.
 LABELLED_TEXTS, FITTED_ROWS = 200_000, 20_000
@@ -86,7 +86,7 @@ def distinct_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def mine_terms(labelled: DataFrame) -> list[str]:
     """All terms of (text, toxic) that mark toxic documents with enough support and significance, the best first."""
-    counts = labelled.select("text", "toxic").mapInPandas(_term_counts, "term string, clean long, toxic long")
+    counts = labelled.select("text", "toxic").mapInPandas(lean(_term_counts), "term string, clean long, toxic long")
     counts = settled(counts.groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "term-counts")
     every = counts.where("term = ''").first()
     if every is None or not every["clean"] or not every["toxic"]:
@@ -247,7 +247,7 @@ def toxicity_of_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     seen = docs.select("doc_id", held_out().alias("held_out"), text_key().alias("text_sha"), "text")
     schema = "doc_id long, held_out boolean, text_sha binary, votes int, hits array<int>"
-    seen = settled(seen.mapInPandas(_observed(terms), schema), "votes")
+    seen = settled(seen.mapInPandas(lean(_observed(terms)), schema), "votes")
     marked = seen.join(usable, "doc_id", "left").withColumn("label", F.when(~F.col("held_out"), F.col("toxic")))
     patterns = marked.groupBy("votes", "label").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 3 * 2 ** VOTERS rows
     model = LabelModel().fit([r["votes"] for r in patterns], [r["n"] for r in patterns],
@@ -267,7 +267,7 @@ def toxicity_of_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
             out["score"] = 1 / (1 + np.exp(-np.clip(_dot(x, w, len(rows)) + b, -40, 40)))
             yield out
 
-    scores = seen.mapInPandas(scored, "doc_id long, held_out boolean, votes int, text_sha binary, score double")
+    scores = seen.mapInPandas(lean(scored), "doc_id long, held_out boolean, votes int, text_sha binary, score double")
     return scores.select("doc_id", "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "votes", "text_sha")
 
 

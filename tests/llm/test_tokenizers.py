@@ -96,3 +96,20 @@ def test_transfer_matrices_find_the_only_path(library):
             assert best.max() == 0
             ids += p.traced_chunk(*x, *map(int, np.unravel_index(best.argmax(), best.shape)))
         assert ids == library[1].encode(text)
+
+
+def test_remembered_segments_change_memory_and_no_ids(spark):
+    import public_tokenizers
+
+    from larderlog.llm import sentencepieces
+    from larderlog.llm.common import lean
+
+    file = public_tokenizers.path("piece_bpe_32k.model")
+    p = sentencepieces.Pieces(file)
+    texts = [p.marked(" ".join(f"word{i * k} other{k}" for i in range(40))) for k in range(30)]
+    want = [p.encode_many([t])[0] for t in texts]
+    few = sentencepieces.Pieces(file)
+    few.most_segments = 60
+    assert [few.encode_many([t])[0] for t in texts] == want and len(few.segments) <= 60 < len(p.segments)
+    batches = [[1], [2]]
+    assert list(lean(lambda b: (x * 2 for x in b))(iter(batches))) == [[1, 1], [2, 2]]
