@@ -211,3 +211,73 @@ def test_the_class_is_judged_at_every_token():
     log_p[lm_scoring._SLOTS[tokens[0]], 3] = -1
     log_p[lm_scoring._SLOTS[tokens[2]], 5] = 5
     assert lm_scoring._classes_of(tokens, np.zeros(lm_scoring.CLASSES), log_p) == [0, 3, 3, 5]
+
+
+def _some_pairs(n=3000):
+    rnd = np.random.default_rng(6)
+    return sorted({(int(k), bytes(w)) for k, w in zip(rnd.integers(0, 3, n), rnd.integers(97, 101, (n, 6), dtype=np.uint8))}) + [(0, b"x" * 5000), (1, b"\n")]
+
+
+def test_common_beginnings_are_predicted_once(monkeypatch):
+    pairs = _some_pairs()
+    code = lm_scoring.prefix_code(np.bincount(np.frombuffer(b"".join(w for _, w in pairs), dtype=np.uint8), minlength=256))
+    rnd, size = np.random.default_rng(8), int(lm_scoring.FIRST[-1])
+    n0, n1 = (rnd.integers(0, 9, size).astype(np.float32) for _ in "01")
+    owners = rnd.integers(1, 3, size).astype(np.int16)
+    weights, refined = lm_scoring.Mixer.averaged([])
+    owner, bit, slots, marks = lm_scoring.bit_events(pairs, code)
+    st, gate = lm_scoring._opinions(*lm_scoring.looked_up(slots, marks, n0, n1, owners))
+    x = np.einsum("if,fi->f", st, weights[gate])
+    p = np.clip((3 * lm_scoring._squash(x) + refined[lm_scoring._cell(x, gate)]) / 4, 1e-7, 1 - 1e-7)
+    want = np.bincount(owner, weights=np.log10(np.where(bit == 1, p, 1 - p)))
+    events, plain = [], lm_scoring._bits_of
+    monkeypatch.setattr(lm_scoring, "_bits_of", lambda *a: events.append(len(a[0])) or plain(*a))
+    assert lm_scoring.log10_of(pairs, code, n0, n1, owners, weights, refined) == pytest.approx(want, rel=1e-4)
+    assert sum(events) < sum(len(w) + 1 for _, w in pairs) * 0.6
+
+
+def test_counts_of_distinct_events_equal_those_of_all():
+    pairs = _some_pairs()
+    n = np.random.default_rng(9).integers(1, 50, len(pairs)).astype(float)
+    code = lm_scoring.prefix_code(np.ones(256))
+    owner, bit, slots, marks = lm_scoring.bit_events(pairs, code)
+    every = Counter()
+    for key, w in zip(zip(bit.tolist(), *slots.tolist(), *marks.tolist()), n[owner]):
+        every[key] += w
+    weight, bit, slots, marks = lm_scoring.weighted_events(pairs, n, code)
+    shared = Counter()
+    for key, w in zip(zip(bit.tolist(), *slots.tolist(), *marks.tolist()), weight):
+        shared[key] += w
+    assert shared == every and list(shared) == list(every) and len(weight) < len(owner) * 0.6
+
+
+def test_runs_of_classes():
+    tokens = lm_scoring.tokens_of("ein kurzer Text mit Ende")
+    rnd = np.random.default_rng(3)
+    model = np.zeros(lm_scoring.CLASSES), rnd.normal(-8, 2, (1 << lm_scoring.WORD_BITS, lm_scoring.CLASSES)).astype(np.float32)
+    runs = lm_scoring._class_runs(tokens, *model)
+    assert [(k, w) for k, words in runs for w in words] == list(zip(lm_scoring._classes_of(tokens, *model), tokens))
+    assert all(a[0] != b[0] for a, b in zip(runs, runs[1:]))
+
+
+def test_told_scores_are_those_of_the_pairs():
+    pairs = _some_pairs(200)
+    hashes, classes = lm_scoring._word_hashes([w for _, w in pairs]), np.array([c for c, _ in pairs])
+    keys = lm_scoring._pair_keys(hashes, classes)
+    want, predicted = np.arange(len(pairs)) * -1.0, []
+    place = {p: k for k, p in enumerate(pairs)}
+    predict = lambda some: predicted.extend(some) or want[[place[p] for p in some]]
+    for known in (np.arange(0, len(pairs), 2), np.arange(0)):
+        order = known[np.argsort(keys[known])]
+        predicted.clear()
+        assert (lm_scoring._told_or_predicted(pairs, hashes, (keys[order], want[order]), predict) == want).all()
+        assert len(predicted) == len(pairs) - len(known)
+
+
+def test_scores_are_the_same_with_and_without_told_pairs(spark, monkeypatch):
+    docs = frame(spark, corpus(29))
+    key = lambda r: (str(r["doc_id"]), r["n_tokens"], round(r["score"], 3))
+    told = sorted(lm_scoring.mixing_scores(docs).collect(), key=key)
+    monkeypatch.setattr(lm_scoring, "FREQUENT", 1)
+    alone = sorted(lm_scoring.mixing_scores(docs).collect(), key=key)
+    assert [r["score"] for r in told] == pytest.approx([r["score"] for r in alone], rel=1e-9)
