@@ -20,10 +20,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,7 +43,7 @@ TEXTS_AT_ONCE = 200
 CHUNKS_AT_ONCE = 16
 SPACE_MARK = "▁"
 NEVER = -np.inf
-NO_MERGE = 1 << 40
+NO_MERGE = (1 << 31) - 1
 #: Code points, and the factor of a pair's first symbol: symbols are pieces, then letters.
 _LETTERS = 0x110000
 _PAIR = 1 << 22
@@ -63,12 +64,15 @@ class Pieces:
         self.rank = {p: model.get_score(i) for p, i in self.ids.items()}
         self.longest = max(map(len, self.ids))
         self.byte_ids = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        self.as_bytes = [b""] * model.vocab_size()
+        as_bytes = [b""] * model.vocab_size()
         for p, i in self.ids.items():
-            self.as_bytes[i] = p.encode("utf-8")
+            as_bytes[i] = p.replace(SPACE_MARK, " ").encode("utf-8")
         for b, i in enumerate(self.byte_ids):
-            self.as_bytes[i] = bytes([b])
-        self.segments: dict[str, tuple[int, ...]] = {}
+            as_bytes[i] = bytes([b])
+        self.bytes_of = np.frombuffer(b"".join(as_bytes), dtype=np.uint8)
+        self.n_bytes = np.array(list(map(len, as_bytes)), dtype=np.int64)
+        self.bytes_at = np.cumsum(self.n_bytes) - self.n_bytes
+        self.segments: dict[str, bytes] = {}  # packed ids of a segment, by its text behind the first mark
         self.most_segments = SEGMENTS
         self._number_merges()
         self.pairs: dict[str, dict[str, bool]] = {}
@@ -94,10 +98,10 @@ class Pieces:
         symbols = {p: k for k, p in enumerate(names)}
         for c in sorted({c for p in names for c in p} - symbols.keys()):  # letters of pieces that are no piece themselves
             symbols[c] = len(symbols)
-        self.piece_ids = np.array([self.ids[p] for p in names], dtype=np.int64)
+        self.piece_ids = np.array([self.ids[p] for p in names], dtype=np.int32)
         self.n_symbols = len(symbols)
         self.spelled = {k: [self.byte_ids[b] for b in p.encode("utf-8")] for p, k in symbols.items() if p not in self.ids}
-        self.letters = np.arange(_LETTERS, dtype=np.int64) + self.n_symbols  # any other letter is a symbol of its own
+        self.letters = np.arange(self.n_symbols, self.n_symbols + _LETTERS, dtype=np.int32)  # any other letter is a symbol of its own
         for p, k in symbols.items():
             if len(p) == 1:
                 self.letters[ord(p)] = k
@@ -105,21 +109,21 @@ class Pieces:
         made = [(symbols[p[:k]] * _PAIR + symbols[p[k:]], order[p], symbols[p])
                 for p in names for k in range(1, len(p)) if p[:k] in symbols and p[k:] in symbols]
         made.sort()
-        self.pair_keys, self.pair_ranks, self.pair_made = (np.array(c, dtype=np.int64) for c in zip(*made))
+        self.pair_keys, self.pair_ranks, self.pair_made = (np.array(c, dtype=t) for c, t in zip(zip(*made), (np.int64, np.int32, np.int32)))
 
     def _ranked(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank of merging two symbols (NO_MERGE without) and the symbol that results."""
-        key = left * _PAIR + right
+        key = left.astype(np.int64) * _PAIR + right
         at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], NO_MERGE), self.pair_made[at]
+        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], np.int32(NO_MERGE)), self.pair_made[at]
 
-    def merged_many(self, words: list[str]) -> list[tuple[int, ...]]:
-        """Ids of many short texts; each has its own merges, one a round, all words at once."""
-        out: list[tuple[int, ...]] = [()] * len(words)
+    def merged_many(self, words: list[str]) -> list[bytes]:
+        """Packed ids of many short texts; each has its own merges, one a round, all words at once."""
+        out = [b""] * len(words)
         flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         symbol = self.letters[flat]
-        word = np.repeat(np.arange(len(words)), [len(w) for w in words])
-        rank, made = np.full(len(symbol), NO_MERGE), np.zeros(len(symbol), dtype=np.int64)
+        word = np.repeat(np.arange(len(words), dtype=np.int32), list(map(len, words)))
+        rank, made = np.full(len(symbol), NO_MERGE, dtype=np.int32), np.zeros(len(symbol), dtype=np.int32)
         inside = np.flatnonzero(word[1:] == word[:-1])
         rank[inside], made[inside] = self._ranked(symbol[inside], symbol[inside + 1])
         while len(word):
@@ -155,39 +159,58 @@ class Pieces:
         known = self.spelled.get(symbol)
         return known if known is not None else [self.byte_ids[b] for b in chr(symbol - self.n_symbols).encode("utf-8", "surrogatepass")]
 
-    def _keep_ids(self, out: list, word: np.ndarray, symbol: np.ndarray) -> None:
+    def _keep_ids(self, out: list[bytes], word: np.ndarray, symbol: np.ndarray) -> None:
         known = symbol < len(self.piece_ids)
-        ids = self.piece_ids[np.where(known, symbol, 0)].tolist()
-        first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
-        ends = np.concatenate((first[1:], [len(word)])).tolist()
-        plain = np.logical_and.reduceat(known, first).tolist()
-        for w, a, b, whole in zip(word[first].tolist(), first.tolist(), ends, plain):
-            if whole:
-                out[w] = tuple(ids[a:b])
-            else:
-                out[w] = tuple(x for i in range(a, b) for x in ([ids[i]] if known[i] else self._letter_ids(int(symbol[i]))))
-
-    def learn(self, segments: set[str]) -> None:
-        """Remember the ids of all short segments of a few texts."""
-        fresh = [s for s in segments if len(s) <= SHORT and s not in self.segments]
+        ids = self.piece_ids[np.where(known, symbol, 0)]
+        starts = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+        own = word[starts].tolist()
+        if not known.all():
+            spelled = [self._letter_ids(x) for x in symbol[~known].tolist()]
+            size = np.ones(len(ids), dtype=np.int64)
+            size[~known] = list(map(len, spelled))
+            starts, ids, known = (np.cumsum(size) - size)[starts], np.repeat(ids, size), np.repeat(known, size)
+            ids[~known] = list(chain.from_iterable(spelled))
+        data, cuts = ids.tobytes(), [*(starts * ids.itemsize).tolist(), ids.nbytes]
+        for w, a, b in zip(own, cuts, cuts[1:]):
+            out[w] = data[a:b]
+
+    def learn(self, fresh: dict[str, None]) -> None:
+        """Remember the ids of the short ones of new segments, in order of appearance."""
         if len(self.segments) + len(fresh) > self.most_segments:
-            self.segments.clear()
-            fresh = [s for s in segments if len(s) <= SHORT]
-        for at in range(0, len(fresh), 20_000):
-            some = fresh[at:at + 20_000]
-            self.segments.update(zip(some, self.merged_many(some)))
+            # Frequent segments were met first, so the first ones stay.
+            room = max(0, min(self.most_segments // 2, self.most_segments - len(fresh)))
+            self.segments = dict(islice(self.segments.items(), room))
+        short = [s for s in fresh if len(s) < SHORT]  # a mark goes in front
+        for at in range(0, len(short), 20_000):
+            some = short[at:at + 20_000]
+            self.segments.update(zip(some, self.merged_many([SPACE_MARK + s for s in some])))
+
+    def packed_many(self, parts: list[list[str]]) -> list[bytes]:
+        """Packed ids of several texts, given as ``cut`` gives them; segments that are new are merged together."""
+        found = [list(map(self.segments.get, own)) for own in parts]
+        self.learn(dict.fromkeys(s for own, ids in zip(parts, found) for s, x in zip(own, ids) if x is None))
+        known = self.segments.get
+        return [b"".join([x or known(s) or self.segment(SPACE_MARK + s) for s, x in zip(own, ids)]) for own, ids in zip(parts, found)]
+
+    @staticmethod
+    def cut_marked(marked: str) -> list[str]:
+        """Segments of a text that is empty or starts with a mark, each without its first mark."""
+        if SPACE_MARK * 2 in marked or marked.endswith(SPACE_MARK):
+            return [s[1:] for s in _SEGMENT.findall(marked)]
+        return marked[1:].split(SPACE_MARK) if marked else []
+
+    @classmethod
+    def cut(cls, text: str) -> list[str]:
+        """``cut_marked`` of ``marked``; a text with single spaces between words is split at once."""
+        if not text or SPACE_MARK in text or "  " in text or text[0] == " " or text[-1] == " ":
+            return cls.cut_marked(cls.marked(text))
+        return text.split(" ")
 
     def encode_many(self, marked: list[str]) -> list[list[int]]:
-        """``encode`` of several texts; segments that are new are merged together."""
-        parts = [_SEGMENT.findall(m) for m in marked]
-        self.learn(set().union(*parts))
-        known, out = self.segments.__getitem__, []
-        for segments in parts:
-            try:
-                out.append(list(chain.from_iterable(map(known, segments))))
-            except KeyError:  # a long one
-                out.append(list(chain.from_iterable(self.segments.get(s) or self.segment(s) for s in segments)))
-        return out
+        """``encode`` of several texts."""
+        heads = [m.partition(SPACE_MARK)[0] for m in marked]  # empty but where a text starts without a mark
+        rest = self.packed_many([self.cut_marked(m[len(h):]) for h, m in zip(heads, marked)])
+        return [unpacked_ids((self.segment(h) if h else b"") + ids) for h, ids in zip(heads, rest)]
 
     def stay_apart(self, x: str, y: str) -> bool:
         """Whether piece y may follow piece x; anything may follow the beginning."""
@@ -252,20 +275,27 @@ class Pieces:
     def marked(text: str) -> str:
         return SPACE_MARK + text.replace(" ", SPACE_MARK) if text else ""
 
-    def segment(self, text: str) -> tuple[int, ...]:
-        """Ids of a segment that is not remembered: long ones are walked through the lattice."""
+    def segment(self, text: str) -> bytes:
+        """Packed ids of a segment that is not remembered: long ones are walked through the lattice."""
         if len(text) > SHORT:
-            return tuple(self.id_list(self.traced(self.ends(text, 0, ""), 0, len(text))))
+            return np.array(self.id_list(self.traced(self.ends(text, 0, ""), 0, len(text))), dtype=np.int32).tobytes()
         return self.merged_many([text])[0]
 
     def encode(self, marked: str) -> list[int]:
         """Ids of a marked text (see ``marked``) or of a stretch between safe places."""
         return self.encode_many([marked])[0]
 
+    def decode_many(self, ids: np.ndarray, ends: list[int]) -> list[str]:
+        """Texts of ids that lie one text behind the other, each up to its end."""
+        size = self.n_bytes[ids]
+        until = np.cumsum(size)
+        raw = self.bytes_of[np.repeat(self.bytes_at[ids] - until + size, size) + np.arange(size.sum())].tobytes()
+        cuts = np.concatenate(([0], until))[[0, *ends]].tolist()
+        texts = (raw[a:b].decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:]))
+        return [t[1:] if t.startswith(" ") else t for t in texts]
+
     def decode(self, ids) -> str:
-        spelled = self.as_bytes
-        text = b"".join([spelled[i] for i in ids]).decode("utf-8", "replace").replace(SPACE_MARK, " ")
-        return text[1:] if text.startswith(" ") else text
+        return self.decode_many(np.asarray(ids, dtype=np.int64), [len(ids)])[0]
 
     def states(self, left: str, right: str) -> list[tuple[int, int]]:
         """(characters before, characters behind) of every piece that ends at or spans a border."""
@@ -331,6 +361,10 @@ class Pieces:
         return ids if final else ids + self.id_list([self._piece_at(left, body, right, len(body), (back, ahead))])
 
 
+def unpacked_ids(ids: bytes) -> list[int]:
+    return memoryview(ids).cast("i").tolist()
+
+
 def combined(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """(max, +) product."""
     return (x[:, :, None] + y[None, :, :]).max(axis=1)
@@ -370,13 +404,20 @@ def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[list]:
 
 
 def _short(file: str, decode: bool, remembered: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces_of(file)
         p.most_segments = remembered
-        for rows in few_rows(batches, TEXTS_AT_ONCE):
-            ids = p.encode_many([p.marked(t) for t in rows["text"]])
-            out = {"doc_id": rows["doc_id"], "text": rows["text"], "ids": [np.array(i, dtype=np.int32) for i in ids]}
-            yield pd.DataFrame(out | ({"decoded": [p.decode(i) for i in ids]} if decode else {}))
+        for whole in batches:
+            for at in range(0, whole.num_rows, TEXTS_AT_ONCE):
+                rows = whole.slice(at, TEXTS_AT_ONCE)
+                packed = p.packed_many([p.cut(t) for t in rows.column("text").to_pylist()])
+                flat = np.frombuffer(b"".join(packed), dtype=np.int32)
+                ends = (np.cumsum(list(map(len, packed))) // flat.itemsize).tolist()
+                out = {"doc_id": rows.column("doc_id"), "text": rows.column("text"),
+                       "ids": pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), pa.array(flat))}
+                if decode:
+                    out["decoded"] = pa.array(p.decode_many(flat, ends), pa.string())
+                yield pa.RecordBatch.from_pydict(out)
 
     return run
 
@@ -447,7 +488,7 @@ def _decoded(file: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = pieces_of(file)
         for rows in few_rows(batches, TEXTS_AT_ONCE):
-            yield rows.assign(decoded=[p.decode(np.asarray(ids).tolist()) for ids in rows["ids"]])
+            yield rows.assign(decoded=[p.decode(ids) for ids in rows["ids"]])
 
     return run
 
@@ -465,7 +506,7 @@ def encode_pieces(
     rows = docs.select("doc_id", text_of().alias("text"))
     short = F.length("text") < chunk  # a mark goes in front
     schema = "doc_id long, text string, ids array<int>" + (", decoded string" if decode else "")
-    done = rows.where(short).mapInPandas(lean(_short(file, decode, remembered)), schema)
+    done = rows.where(short).mapInArrow(lean(_short(file, decode, remembered)), schema)
 
     # Chunks with as much of their neighbours as a piece may span; a space goes in front of the text.
     margin = pieces_of(file).longest

@@ -113,3 +113,24 @@ def test_remembered_segments_change_memory_and_no_ids(spark):
     assert [few.encode_many([t])[0] for t in texts] == want and len(few.segments) <= 60 < len(p.segments)
     batches = [[1], [2]]
     assert list(lean(lambda b: (x * 2 for x in b))(iter(batches))) == [[1, 1], [2, 2]]
+
+
+def test_segments_met_first_outlive_an_overflow(library):
+    p = sentencepieces.Pieces(PIECES)
+    p.most_segments = 40
+    texts = [f"the of and {' '.join(f'new{i}x{k}' for i in range(25))}" for k in range(4)]
+    for text in [*TEXTS, *texts]:
+        text = text or ""
+        assert sentencepieces.unpacked_ids(p.packed_many([p.cut(text)])[0]) == library[1].encode(text) == p.encode_many([p.marked(text)])[0], text[:40]
+    p = sentencepieces.Pieces(PIECES)
+    p.most_segments = 40
+    for text in texts:
+        p.packed_many([p.cut(text)])
+        assert {"the", "of", "and"} <= p.segments.keys() and len(p.segments) <= 40
+
+
+def test_many_texts_are_decoded_at_once(library):
+    p = sentencepieces.pieces_of(PIECES)
+    ids = [library[1].encode(t or "") for t in TEXTS]
+    ends = np.cumsum(list(map(len, ids))).tolist()
+    assert p.decode_many(np.concatenate(ids).astype(np.int32), ends) == [library[1].decode(x) for x in ids]
