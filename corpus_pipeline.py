@@ -12,6 +12,8 @@ as it is, whatever its name.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,12 +23,15 @@ from larderlog.llm.exact_dedup import exact_groups
 from larderlog.llm.near_dedup import similar_groups
 from larderlog.llm.sentencepieces import encode_pieces
 from larderlog.llm.toxicity import toxicity_of_texts
+from larderlog.session import configure
 
 #: Keys of at most so many documents (16 to 50 MB) are broadcast; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 PIECE_MODEL = "piece_bpe_32k.model"
 #: Segments a Python worker of the encoding remembers: it lives on beside the other stages.
 REMEMBERED_SEGMENTS = 50_000
+#: Bytes of texts that Python workers get at a time, in stages that run one behind the other in the same executors.
+BATCH_BYTES = 2 << 20
 
 
 #: Stand-in ids of rows whose doc_id does not tell them apart begin here, below those of near_dedup.
@@ -84,6 +89,17 @@ def _without_duplicates(docs: DataFrame, groups) -> DataFrame:
     return _once(_without(rows, groups(_judged_apart(rows)).where("NOT kept"))).select("kept.*")
 
 
+def _stage(run):
+    """``run`` with the session's settings, which nobody else applies to a stage on its own, and with small batches."""
+    @functools.wraps(run)
+    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        configure(spark).conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+        return run(spark, docs, sf_dir)
+
+    return stage
+
+
+@_stage
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that are not predicted toxic.
 
@@ -95,28 +111,32 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _packed(docs).join(toxic, F.col("sha") == F.col("text_sha"), "left_anti").select("kept.*")
 
 
+@_stage
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that are equal but for white space, the longest, then the one with the smallest doc_id."""
     return _without_duplicates(docs, exact_groups)
 
 
+@_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates, linked directly or through others, the one with the smallest doc_id."""
     return _without_duplicates(docs, similar_groups)
 
 
+@_stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that hold no benchmark item."""
     rows = _told_apart(docs)
     return _without(rows, contaminated(_judged_apart(rows), table(spark, sf_dir, "benchmark"))).select("kept.*")
 
 
+@_stage
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, text, ids and the text decoded from them."""
     import public_tokenizers
 
     file = public_tokenizers.path(PIECE_MODEL)
-    return encode_pieces(docs, file, decode=True, remembered=REMEMBERED_SEGMENTS)
+    return encode_pieces(docs, file, decode=True, most=REMEMBERED_SEGMENTS)
 
 
 STAGES = [

@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain, islice
 
 import numpy as np
@@ -29,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import few_rows, lean, settled, table, text_of, warm_join
+from .common import few_rows, lean, remembered, settled, table, text_of, warm_join
 
 #: Characters of a chunk; longer documents are cut.  Chunks whose matrices one task combines.
 CHUNK, SPAN = 32_768, 64
@@ -370,10 +369,9 @@ def combined(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (x[:, :, None] + y[None, :, :]).max(axis=1)
 
 
-@lru_cache(maxsize=4)
 def pieces_of(file: str) -> Pieces:
-    """The task's vocabulary, kept as long as its Python worker lives."""
-    return Pieces(file)
+    """The task's vocabulary, kept by its Python worker until a task of another kind comes."""
+    return remembered(file, lambda: Pieces(file))
 
 
 def _as_marked(text: str) -> str:
@@ -403,10 +401,10 @@ def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[list]:
         yield held
 
 
-def _short(file: str, decode: bool, remembered: int):
+def _short(file: str, decode: bool, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces_of(file)
-        p.most_segments = remembered
+        p.most_segments = most
         for whole in batches:
             for at in range(0, whole.num_rows, TEXTS_AT_ONCE):
                 rows = whole.slice(at, TEXTS_AT_ONCE)
@@ -494,19 +492,19 @@ def _decoded(file: str):
 
 
 def encode_pieces(
-    docs: DataFrame, file: str, chunk: int = CHUNK, span: int = SPAN, decode: bool = False, remembered: int = SEGMENTS
+    docs: DataFrame, file: str, chunk: int = CHUNK, span: int = SPAN, decode: bool = False, most: int = SEGMENTS
 ) -> DataFrame:
     """doc_id, text, ids (array<int>) of every row of (doc_id, text); with ``decode`` the text decoded from the ids, too.
 
     ``file`` is a SentencePiece BPE model; ids equal the library's, without
     begin or end.  Null and empty texts have no ids; repeated rows are encoded
     row by row; an empty table gives no rows; other columns are ignored.
-    ``remembered`` bounds the segments whose ids a Python worker keeps, which changes its memory and no result.
+    ``most`` bounds the segments whose ids a Python worker keeps, which changes its memory and no result.
     """
     rows = docs.select("doc_id", text_of().alias("text"))
     short = F.length("text") < chunk  # a mark goes in front
     schema = "doc_id long, text string, ids array<int>" + (", decoded string" if decode else "")
-    done = rows.where(short).mapInArrow(lean(_short(file, decode, remembered)), schema)
+    done = rows.where(short).mapInArrow(lean(_short(file, decode, most), file), schema)
 
     # Chunks with as much of their neighbours as a piece may span; a space goes in front of the text.
     margin = pieces_of(file).longest
@@ -520,7 +518,7 @@ def encode_pieces(
         "key", "at", "last", F.substring("line", left_from + 1, at - left_from).alias("left"),
         F.substring("line", at + 1, F.lit(chunk)).alias("body"), F.substring("line", at + chunk + 1, F.lit(margin)).alias("right"),
     ).repartition("key", "at"), "chunks")
-    matrices = chunks.mapInPandas(_transfers(file), "key binary, at int, rows int, matrix binary")
+    matrices = chunks.mapInPandas(lean(_transfers(file), file), "key binary, at int, rows int, matrix binary")
     matrices = settled(matrices.withColumn("span", F.floor(F.col("at") / span)), "matrices")
     products = matrices.repartition("key", "span").sortWithinPartitions("key", "span", "at").mapInPandas(
         _span_products, "key binary, span long, rows int, matrix binary"
@@ -530,7 +528,7 @@ def encode_pieces(
     )
     borders = matrices.join(vectors, ["key", "span"]).repartition("key", "span").sortWithinPartitions("key", "span", "at")
     states = borders.mapInPandas(_border_states, "key binary, at int, came int, went int")
-    traced = chunks.join(states, ["key", "at"]).mapInPandas(lean(_traced_chunks(file)), "key binary, at int, body string, ids array<int>")
+    traced = chunks.join(states, ["key", "at"]).mapInPandas(lean(_traced_chunks(file), file), "key binary, at int, body string, ids array<int>")
     parts = traced.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "body", "ids"))).alias("_parts"))
     whole = parts.select("key", F.expr("substring(array_join(_parts.body, ''), 2)").alias("text"), F.flatten("_parts.ids").alias("ids"))
     # The text comes back from its chunks, so the documents' own rows are narrow.
@@ -542,7 +540,7 @@ def encode_pieces(
 def decode_pieces(encoded: DataFrame, file: str) -> DataFrame:
     """Adds ``decoded`` to rows with ``ids``; bytes that are no UTF-8 become U+FFFD."""
     schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())])
-    return encoded.mapInPandas(_decoded(file), schema)
+    return encoded.mapInPandas(lean(_decoded(file), file), schema)
 
 
 def op4_piece_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-from .common import WORDS_PER_SHINGLE
+from .common import WORDS_PER_SHINGLE, remembered
 
 _CACHED_WORDS = 100_000
 
@@ -20,9 +20,6 @@ class _WordHashes(dict):
         return value
 
 
-_HASHES = _WordHashes()
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
@@ -42,9 +39,10 @@ def shingle_sets(texts, k: int = WORDS_PER_SHINGLE) -> list[np.ndarray]:
     ``bytes`` lower-cases A-Z only and splits at exactly 0x20 and 0x09 to 0x0D.
     """
     tokens = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
+    hashes = remembered("shingle words", _WordHashes)
     out = []
     for ws in tokens:
-        h = np.fromiter(map(_HASHES.__getitem__, ws), dtype=np.uint64, count=len(ws))
+        h = np.fromiter(map(hashes.__getitem__, ws), dtype=np.uint64, count=len(ws))
         if len(h) == 0:
             out.append(h)
         elif len(h) < k:

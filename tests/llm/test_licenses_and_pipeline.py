@@ -128,3 +128,32 @@ def test_reserved_rights_stop_inheritance_and_yield_to_a_licence(spark):
     got = {r["doc_id"]: (r["license"], r["via"]) for r in licenses.scan_licenses(df).collect()}
     assert got == {1: ("MIT", "own"), 2: ("Proprietary", "reserved"), 3: ("MIT", "directory"), 4: ("CC-BY", "own"), 5: ("ISC", "own"),
                    6: ("CC-BY-SA", "own"), 7: ("LGPL", "own")}
+
+
+def test_stages_on_their_own_get_small_batches(spark):
+    from larderlog.session import configure
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    try:
+        for name, stage in corpus_pipeline.STAGES:
+            spark.conf.unset(key)
+            stage(spark, frame(spark, corpus(7)).limit(3), SF)
+            assert int(spark.conf.get(key)) == corpus_pipeline.BATCH_BYTES, name
+        docs = spark.range(4000).selectExpr("id", "repeat('text ', 2000) text").coalesce(1)
+        sizes = docs.mapInPandas(lambda batches: (b.assign(id=b["text"].str.len().sum())[["id"]].head(1) for b in batches), "id long")
+        assert max(r["id"] for r in sizes.collect()) < 2 * corpus_pipeline.BATCH_BYTES
+    finally:
+        configure(spark)
+
+
+def test_a_worker_remembers_nothing_of_other_tasks():
+    from larderlog.llm import common, shingles
+
+    hashed = common.lean(lambda batches: (shingles.shingle_sets(b) for b in batches))
+    seen = common.lean(lambda batches: ({*common._remembered, common.remembered("pieces", lambda: "pieces")} for _ in batches), "pieces")
+    common.remembered("pieces", lambda: "pieces")
+    sets = list(hashed(iter([["a b c d e f"], ["a b c d e f g"]])))
+    assert len(sets) == 2 and not common._remembered
+    common.remembered("shingle words", dict)
+    assert "shingle words" not in list(seen(iter([[1]])))[0] and set(common._remembered) == {"pieces"}
+    common._remembered.clear()
