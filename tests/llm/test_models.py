@@ -4,6 +4,7 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from larderlog.llm import lm_scoring, toxicity
@@ -304,3 +305,52 @@ def test_classes_follow_the_sums_before_each_token():
         known = log_p[[lm_scoring._SLOTS[t] for t in tokens]]
         before = prior + np.cumsum(known, axis=0, dtype=np.float64) - known
         assert (lm_scoring._likeliest(tokens, prior, log_p) == before.argmax(1)).all()
+
+
+def _classifier(seed=5):
+    rnd = np.random.default_rng(seed)
+    return rnd.normal(-2, 1, lm_scoring.CLASSES), rnd.normal(-8, 2, (1 << lm_scoring.WORD_BITS, lm_scoring.CLASSES)).astype(np.float32)
+
+
+def test_groups_of_texts_hold_the_tokens_of_each_text(monkeypatch):
+    texts = [*(t for _, t in corpus(31)), None, "", " ", "\x0b A\x1cb\u0085C\xa0d \r\n", "Ä" + " b" * 30, "\u1680 \u2003x"]
+    batches = pa.table({"text": texts}).to_batches(max_chunksize=50)
+    prior, log_p = _classifier()
+    for size, tokens, texts_at_once in ((1 << 20, 8192, 1000), (2000, 7, 3)):
+        monkeypatch.setattr(lm_scoring, "GROUP", size)
+        monkeypatch.setattr(lm_scoring, "TOKENS_AT_ONCE", tokens)
+        monkeypatch.setattr(lm_scoring, "TEXTS_AT_ONCE", texts_at_once)
+        got = []
+        for group in lm_scoring.Group.of(iter(batches)):
+            cls, number = np.divmod(group.pairs(prior, log_p), len(group.words))
+            assert len({*group.words}) == len(group.words) and (number == group.numbers).all()
+            pairs, ends = list(zip(cls.tolist(), group.words[number])), np.cumsum(group.sizes)
+            got += [pairs[b - n:b] for b, n in zip(ends, group.sizes)]
+        want = [(lm_scoring._classes_of(lm_scoring.tokens_of(t), prior, log_p), lm_scoring.tokens_of(t)) for t in texts]
+        assert got == [list(zip(*w)) for w in want]
+
+
+def test_a_task_counts_a_pair_once_for_all_its_batches():
+    texts = [t for _, t in corpus(37)]
+    prior, log_p = _classifier()
+    want = Counter(p for t in texts for p in zip(lm_scoring._classes_of(lm_scoring.tokens_of(t), prior, log_p), lm_scoring.tokens_of(t)))
+    classes = type("Shared", (), {"value": (prior, log_p)})
+    rows = pa.Table.from_batches(lm_scoring._pair_counts(classes)(iter(pa.table({"text": texts}).to_batches(max_chunksize=9)))).to_pylist()
+    assert len(rows) == len(want) and {(r["cls"], r["word"]): r["n"] for r in rows} == want
+
+
+def test_pairs_are_told_from_a_number_of_times_on(spark, monkeypatch):
+    pairs = spark.createDataFrame([(n,) for n in [9, 5, 5, 3, 3, 3, 1]], "n long")
+    for most, least in ((7, 1), (6, 3), (5, 5), (3, 5), (2, 9), (1, 9), (0, 2 ** 62)):
+        monkeypatch.setattr(lm_scoring, "TOLD", most)
+        assert lm_scoring._least_told(pairs) == (7, least)
+    assert lm_scoring._least_told(pairs.limit(0)) == (0, 2 ** 62)
+
+
+def test_scores_are_the_same_when_no_pair_is_told(spark, monkeypatch):
+    docs = frame(spark, corpus(41))
+    key = lambda r: (str(r["doc_id"]), r["n_tokens"], round(r["score"], 3))
+    told = sorted(lm_scoring.mixing_scores(docs).collect(), key=key)
+    monkeypatch.setattr(lm_scoring, "TOLD", 0)
+    alone = sorted(lm_scoring.mixing_scores(docs).collect(), key=key)
+    assert [r["score"] for r in told] == pytest.approx([r["score"] for r in alone], rel=1e-9)
